@@ -159,6 +159,22 @@ SQL: dict[str, str] = {
                        FILTER (WHERE tf.term IS NOT NULL), []))) AS termFrequencies,
                count(tf.term)::BIGINT AS numTerms
         FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
+    "s5_append_documents": f"""WITH {INDEX}
+        SELECT k.file, k.transcription, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}
+        FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
+    "s6_scan_terms": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT term, file, tf_count, num_terms FROM postings
+        UNION ALL SELECT term, file, tf_count, num_terms FROM c_postings""",
+    "s6_scan_lexicon": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT term, count(*)::BIGINT AS df FROM (SELECT term FROM postings UNION ALL SELECT term FROM c_postings)
+        GROUP BY term""",
+    "a8_ingest_count": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT (SELECT count(*) FROM norm)::BIGINT AS returned, 'b1' AS batch_id, (SELECT count(*) FROM norm)::BIGINT AS n_documents
+        UNION ALL SELECT 0::BIGINT, 'b2', 0::BIGINT
+        UNION ALL SELECT (SELECT count(*) FROM c_norm)::BIGINT, 'b3', (SELECT count(*) FROM c_norm)::BIGINT""",
+    "r1_ingest_stream": f"WITH {INDEX} SELECT file, num_terms FROM nd",
+    "r2_document_frequency_stream": f"WITH {INDEX} SELECT term, df FROM lex",
+    "r3_search_stream": f"WITH {INDEX}, {QUERY_SIDE} SELECT query_id, rank, file, score FROM top",
     "s7_import_index": f"""WITH {INDEX}
         SELECT k.file, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}
         FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file""",

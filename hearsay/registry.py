@@ -257,6 +257,94 @@ def s7_import_index(spark, sf_dir):
     return docs.select("file", "num_terms", _tf_map_text().alias("tf_map"))
 
 
+# ---- the Parquet index store (S4–S6, A8) -----------------------------------
+
+def _store(spark: SparkSession, name: str):
+    from hearsay.session import scratch_path
+    from hearsay.sources.store import IndexStore
+
+    return IndexStore(spark, scratch_path(spark, name)).create()
+
+
+def s5_append_documents(spark, sf_dir):
+    from hearsay.plans.ingest import ingest_corpus
+
+    store = _store(spark, "s5")
+    ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="documents")
+    return store.documents().select("file", "transcription", "num_terms", _tf_map_text().alias("tf_map"))
+
+
+def _two_batch_store(spark, sf_dir, name):
+    from hearsay.plans.ingest import ingest_corpus
+
+    store = _store(spark, name)
+    ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="documents")
+    ingest_corpus(store, conversations_corpus(spark, sf_dir), batch_id="conversations")
+    return store
+
+
+def s6_scan_terms(spark, sf_dir):
+    return _two_batch_store(spark, sf_dir, "s6").postings()
+
+
+def s6_scan_lexicon(spark, sf_dir):
+    return _two_batch_store(spark, sf_dir, "s6").lexicon()
+
+
+def a8_ingest_count(spark, sf_dir):
+    from hearsay.plans.ingest import ingest_corpus
+
+    store = _store(spark, "a8")
+    first = ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="b1")
+    again = ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="b2")
+    second = ingest_corpus(store, conversations_corpus(spark, sf_dir), batch_id="b3")
+    counts = store.commits().select(F.col("batch_id"), F.col("n_documents"))
+    return counts.select(F.when(F.col("batch_id") == "b1", first).when(F.col("batch_id") == "b2", again)
+                         .otherwise(second).cast("bigint").alias("returned"), "batch_id", "n_documents")
+
+
+# ---- streaming (R1–R3) ------------------------------------------------------
+
+def r1_ingest_stream(spark, sf_dir):
+    from hearsay.session import scratch_path
+    from hearsay.streaming.ingest import ingest_stream
+    from hearsay.streaming.sources import documents_corpus_stream
+
+    store = _store(spark, "r1")
+    q = ingest_stream(documents_corpus_stream(spark, sf_dir), store, scratch_path(spark, "r1-ckpt"), name="r1_ingest")
+    q.awaitTermination()
+    return store.documents().select("file", "num_terms")
+
+
+def r2_document_frequency_stream(spark, sf_dir):
+    from hearsay.session import scratch_path
+    from hearsay.streaming.frequency import (document_frequency_stream, read_frequency_state,
+                                             write_frequency_updates)
+    from hearsay.streaming.sources import documents_corpus_stream
+
+    out_path = scratch_path(spark, "r2-state")
+    q = write_frequency_updates(document_frequency_stream(documents_corpus_stream(spark, sf_dir)), out_path,
+                                scratch_path(spark, "r2-ckpt"), name="r2_document_frequency")
+    q.awaitTermination()
+    return read_frequency_state(spark, out_path)
+
+
+def r3_search_stream(spark, sf_dir):
+    from hearsay.plans.ingest import ingest_corpus
+    from hearsay.session import scratch_path
+    from hearsay.streaming.search import search_stream
+    from hearsay.streaming.sources import benchmark_query_stream
+
+    store = _store(spark, "r3")
+    ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="documents")
+    out_path = scratch_path(spark, "r3-results")
+    q = search_stream(benchmark_query_stream(spark, sf_dir), store.index, out_path, scratch_path(spark, "r3-ckpt"),
+                      k=K, name="r3_search", round_to=ROUND)
+    q.awaitTermination()
+    res = spark.read.schema("query_id string, rank int, file string, score double, epoch bigint").parquet(out_path)
+    return res.select("query_id", "rank", "file", _round())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s3_read_corpus": s3_read_corpus,
     "t1_strip_punctuation": t1_strip_punctuation,
@@ -294,4 +382,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o2_results_json": o2_results_json,
     "s7_import_index": s7_import_index,
     "s8_export_index": s8_export_index,
+    "s5_append_documents": s5_append_documents,
+    "s6_scan_terms": s6_scan_terms,
+    "s6_scan_lexicon": s6_scan_lexicon,
+    "a8_ingest_count": a8_ingest_count,
+    "r1_ingest_stream": r1_ingest_stream,
+    "r2_document_frequency_stream": r2_document_frequency_stream,
+    "r3_search_stream": r3_search_stream,
 }

@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Streaming state without a watermark (seen files, df per term) grows with
+    # the collection: keep it in RocksDB rather than on the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -66,3 +70,22 @@ def local_path(path: str) -> str:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``hearsay`` importable in Python workers (for ``mapInPandas``).
+
+    Zips the package once per application into the shared checkpoint folder
+    and registers it with ``addPyFile``; a no-op when already importable
+    there (e.g. installed on the cluster image and marked so in the conf).
+    """
+    if spark.conf.get("spark.hearsay.packageShipped", "false") == "true":
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="hearsay-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "hearsay"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="hearsay")
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.hearsay.packageShipped", "true")
