@@ -35,6 +35,9 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.StringType(), False)])
 
 
+# Known paths up to which the anti-join broadcasts them (a path is ~100 bytes).
+BROADCAST_KNOWN_FILES = 1_000_000
+
 TABLES = {
     "documents": _with_batch(ix.DOCUMENTS_SCHEMA),
     "postings": _with_batch(ix.POSTINGS_SCHEMA),
@@ -109,6 +112,30 @@ class IndexStore:
     def _batch(self, table: str, batch_id: str) -> DataFrame:
         return self._read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
 
+    def known_files(self, ids: list[str]) -> tuple[DataFrame, int]:
+        """Paths of the committed batches and their number (from commit rows, no scan)."""
+        n = self.commits().where(F.col("batch_id").isin(ids)).agg(F.sum("n_documents")).first()[0]
+        return self.documents(ids).select("file"), int(n or 0)
+
+    def fresh_rows(self, corpus: DataFrame, ids: list[str]) -> DataFrame:
+        """J2 for a batch: rows of ``corpus`` whose file is new, one per file.
+
+        Transcripts are the bulk of the data, so they move only when needed:
+        uniqueness is checked on the ``file`` column alone (a partial count, no
+        text shuffled) and ``dropDuplicates`` runs only if a path repeats; the
+        anti-join is skipped for an empty index and broadcasts the known paths
+        when their count (read from commit rows) is within
+        ``BROADCAST_KNOWN_FILES``; beyond that it is a shuffle join on ``file``.
+        """
+        repeated = corpus.groupBy("file").count().where(F.col("count") > 1).limit(1).count() > 0
+        rows = corpus.dropDuplicates(["file"]) if repeated else corpus
+        if not ids:
+            return rows
+        known, n_known = self.known_files(ids)
+        if n_known <= BROADCAST_KNOWN_FILES:
+            known = F.broadcast(known)
+        return rows.join(known, "file", "left_anti")
+
     def append(self, corpus: DataFrame, batch_id: str) -> int:
         """Index the new files of ``corpus`` as batch ``batch_id``; returns how many.
 
@@ -116,10 +143,10 @@ class IndexStore:
         rewritten in place. Files already in other committed batches are
         skipped (path equality only); each path is taken once.
         """
-        if self.is_committed(batch_id):
+        ids = self.committed_ids()
+        if batch_id in ids:
             return 0
-        known = self.documents()           # committed only: never this batch's own rows
-        fresh = ix.new_sources(corpus, known)
+        fresh = self.fresh_rows(corpus, ids)   # committed batches only: never this batch's own rows
         documents = ix.build_documents(fresh, self.stop_words)
 
         seen = Observation(f"documents-{batch_id}")
