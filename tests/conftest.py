@@ -1,0 +1,44 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from hearsay.session import get_spark  # noqa: E402
+
+GOLDEN_STOP_WORDS = ["the", "and", "of", "don't"]
+GOLDEN = [
+    ("/v/a.mp4", "Ice hockey! The puck, the stick; score."),
+    ("/v/b.mp4", "Ice ice baby"),
+    ("/v/c.mp4", "The and of"),
+    ("/v/d.mp4", "Don't score"),
+]
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = get_spark("local[2]", spark_sql_shuffle_partitions="4")
+    s.sparkContext.setLogLevel("ERROR")
+    if not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hearsay-test-ckpt-"))
+    yield s
+    s.stop()
+
+
+@pytest.fixture()
+def workdir():
+    return tempfile.mkdtemp(prefix="run-")
+
+
+@pytest.fixture()
+def golden_corpus(spark):
+    return spark.createDataFrame(GOLDEN, "file string, transcript string")
+
+
+@pytest.fixture()
+def golden_index(golden_corpus):
+    from hearsay.plans.index import build_index
+
+    return build_index(golden_corpus, GOLDEN_STOP_WORDS)
