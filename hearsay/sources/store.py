@@ -6,7 +6,9 @@ Layout under ``root``::
     postings/batch_id=<id>/    (term, file, tf_count, num_terms), range-partitioned
                                and sorted by (term, file) → row groups prune on term
     lexicon/batch_id=<id>/     (term, df) of that batch
-    commits/batch_id=<id>/     one row per batch, written last
+    commits/batch_id=<id>/     one row per batch, written last; a compaction's row
+                               lists the batches it replaces
+    settings/                  the stop-word list, fixed when the index is created
 
 Two tables cannot be appended atomically together, so every write goes to
 its batch's own partitions (dynamic overwrite: a replay rewrites them, it
@@ -16,6 +18,7 @@ A crash mid-batch leaves nothing visible; replaying the batch finishes it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,9 +30,12 @@ from hearsay.plans.index import TfIdfIndex
 
 COMMITS_SCHEMA = T.StructType([
     T.StructField("n_documents", T.LongType(), False),
+    T.StructField("replaces", T.ArrayType(T.StringType(), False), False),
     T.StructField("batch_id", T.StringType(), False),
 ])
 
+SETTINGS_SCHEMA = T.StructType([T.StructField("stop_words", T.ArrayType(T.StringType(), False), False)])
+
 
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.StringType(), False)])
@@ -65,8 +71,18 @@ class IndexStore:
         for name, schema in TABLES.items():
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("ignore").partitionBy("batch_id").parquet(self.path(name))
+        from hearsay.functions.stopwords import ENGLISH_STOP_WORDS
+
+        words = list(ENGLISH_STOP_WORDS) if self.stop_words is None else self.stop_words
+        self.spark.createDataFrame([(words,)], SETTINGS_SCHEMA).coalesce(1).write.mode("ignore").parquet(
+            self.path("settings"))
         return self
 
+    def settings_stop_words(self) -> list[str]:
+        """The list the index was created with; later appends must use the same."""
+        row = self.spark.read.schema(SETTINGS_SCHEMA).parquet(self.path("settings")).first()
+        return list(row["stop_words"]) if row else []
+
     # ---- reads (S6) ---------------------------------------------------------
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
@@ -75,8 +91,13 @@ class IndexStore:
         return self._read("commits")
 
     def committed_ids(self) -> list[str]:
-        """Ids of committed batches: metadata, one row per ingest, not data."""
-        return sorted(r["batch_id"] for r in self.commits().select("batch_id").collect())
+        """Visible batches: committed and not replaced by a committed compaction.
+
+        Commit rows are metadata (one per ingest or compaction), not data.
+        """
+        rows = self.commits().select("batch_id", "replaces").collect()
+        replaced = {b for r in rows for b in r["replaces"]}
+        return sorted(r["batch_id"] for r in rows if r["batch_id"] not in replaced)
 
     def _committed(self, table: str, ids: list[str] | None = None) -> DataFrame:
         # A literal IN on the partition column: uncommitted batch folders are
@@ -143,27 +164,71 @@ class IndexStore:
         rewritten in place. Files already in other committed batches are
         skipped (path equality only); each path is taken once.
         """
-        ids = self.committed_ids()
-        if batch_id in ids:
+        rows = self.commits().select("batch_id", "replaces").collect()
+        if any(r["batch_id"] == batch_id for r in rows):   # committed, maybe compacted since
             return 0
+        replaced = {b for r in rows for b in r["replaces"]}
+        ids = sorted(r["batch_id"] for r in rows if r["batch_id"] not in replaced)
         fresh = self.fresh_rows(corpus, ids)   # committed batches only: never this batch's own rows
+        if self.stop_words is None:
+            self.stop_words = self.settings_stop_words()
         documents = ix.build_documents(fresh, self.stop_words)
 
         seen = Observation(f"documents-{batch_id}")
         self._overwrite(documents.observe(seen, F.count(F.lit(1)).alias("n")), "documents", batch_id)
         n = int(seen.get["n"])
 
+        self._write_postings_and_lexicon(batch_id)
+        self._commit(batch_id, n, [])
+        return n
+
+    def _write_postings_and_lexicon(self, batch_id: str) -> None:
         # Postings come from the written documents' term maps: the transcripts
         # are not tokenised twice. Range partitioning on (term, file) splits a
-        # hot term over several files instead of one.
+        # hot term over several files instead of one; sorting gives row groups
+        # narrow term ranges, so a term lookup reads few of them.
         postings = ix.postings_from_documents(self._batch("documents", batch_id))
-        parts = self.postings_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings = postings.repartitionByRange(parts, "term", "file").sortWithinPartitions("term", "file")
-        self._overwrite(postings, "postings", batch_id)
-
+        # Without an explicit count AQE sizes the range partitions from the data.
+        if self.postings_partitions:
+            postings = postings.repartitionByRange(self.postings_partitions, "term", "file")
+        else:
+            postings = postings.repartitionByRange("term", "file")
+        self._overwrite(postings.sortWithinPartitions("term", "file"), "postings", batch_id)
         lexicon = ix.document_frequency(self._batch("postings", batch_id))
         self._overwrite(lexicon, "lexicon", batch_id)
 
-        marker = self.spark.createDataFrame([(n, batch_id)], COMMITS_SCHEMA)
+    def _commit(self, batch_id: str, n: int, replaces: list[str]) -> None:
+        marker = self.spark.createDataFrame([(n, replaces, batch_id)], COMMITS_SCHEMA)
         self._overwrite(marker.drop("batch_id"), "commits", batch_id)
-        return n
+
+    # ---- maintenance ------------------------------------------------------
+    def compact(self, batch_id: str | None = None) -> str | None:
+        """Rewrite all visible batches as one sorted batch; one commit row switches.
+
+        Many small batches (a stream's micro-batches) mean many small files
+        and weak pruning by term. The new batch's commit row names the
+        batches it replaces, so readers move from the old set to the new one
+        at a single write; a crash before it leaves the old set visible.
+        """
+        ids = self.committed_ids()
+        if len(ids) <= 1:
+            return None
+        new_id = batch_id or f"compact-{uuid.uuid4().hex}"
+        seen = Observation(f"compact-{new_id}")
+        self._overwrite(self.documents(ids).observe(seen, F.count(F.lit(1)).alias("n")), "documents", new_id)
+        n = int(seen.get["n"])
+        self._write_postings_and_lexicon(new_id)
+        self._commit(new_id, n, ids)
+        return new_id
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders of batches a committed compaction replaced."""
+        rows = self.commits().select("batch_id", "replaces").collect()
+        replaced = sorted({b for r in rows for b in r["replaces"]})
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for b in replaced:
+            for table in ("documents", "postings", "lexicon"):
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/batch_id={b}")
+                path.getFileSystem(conf).delete(path, True)
+        return replaced

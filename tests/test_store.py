@@ -118,3 +118,25 @@ def test_export_terms_chunks_cover_list(spark, golden_index):
         lists.setdefault(r["term"], []).extend(json.loads(r["documents"]))
     assert sorted(lists["ice"]) == ["/v/a.mp4", "/v/b.mp4"]
     assert 1 <= ex.where(F.col("term") == "ice").count() <= 2   # at most ceil(df / chunk_size) chunks
+
+
+def test_compaction_switches_atomically(spark, workdir, golden_corpus):
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    for i, f in enumerate(["/v/a.mp4", "/v/b.mp4", "/v/c.mp4", "/v/d.mp4"]):
+        ingest_corpus(store, golden_corpus.where(F.col("file") == f), f"s{i}")
+    before = snapshot(store)
+    new_id = store.compact()
+    assert store.committed_ids() == [new_id]
+    assert snapshot(store) == before
+    assert ingest_corpus(store, golden_corpus, "s1") == 0          # a replayed, compacted batch stays done
+    assert sorted(store.vacuum()) == ["s0", "s1", "s2", "s3"]
+    assert snapshot(store) == before
+    assert [r["file"][-5] for r in search(store.index(), ["ice"], 3).collect()] == ["b", "a"]
+
+
+def test_stop_words_fixed_at_create(spark, workdir, golden_corpus):
+    IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    reopened = IndexStore(spark, workdir + "/ix").create()     # no list given: the recorded one is used
+    assert reopened.settings_stop_words() == GOLDEN_STOP_WORDS
+    ingest_corpus(reopened, golden_corpus, "b1")
+    assert dict(tuple(r) for r in reopened.lexicon().collect())["dont"] == 1
