@@ -139,8 +139,12 @@ def inverted_index(postings: DataFrame, chunk_size: int = 10_000) -> DataFrame:
 
 
 def is_indexed(sources: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(file, indexed)`` for each distinct source path."""
-    known = documents.select("file").distinct().withColumn("indexed", F.lit(True))
+    """``(file, indexed)`` for each distinct source path.
+
+    An index holds each file once, so the index side needs no ``distinct``
+    (no shuffle of the big side beyond the join itself).
+    """
+    known = documents.select("file").withColumn("indexed", F.lit(True))
     return (sources.select("file").distinct().join(known, "file", "left")
             .select("file", F.coalesce("indexed", F.lit(False)).alias("indexed")))
 
@@ -161,8 +165,8 @@ def lookup_term(postings: DataFrame, term: str) -> DataFrame:
 
 
 def lookup_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Term map and num_terms of the given files (semi-join, any size)."""
-    return documents.join(files.select("file").distinct(), "file", "left_semi").select(
+    """Term map and num_terms of the given files (semi-join: repeats in ``files`` are harmless)."""
+    return documents.join(files.select("file"), "file", "left_semi").select(
         "file", "term_frequencies", "num_terms")
 
 

@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from hearsay.functions.text import index_tokens, normalize
 from hearsay.functions.tfidf import idf, tf, tf_idf
 
+# (query, term) rows up to which a query side is broadcast. Each row is a few
+# dozen bytes, far below an executor's broadcast budget; beyond it joins
+# shuffle and AQE splits skewed keys.
+BROADCAST_QUERY_TERMS = 2_000_000
+
+
+def fits(df: DataFrame, limit: int) -> bool:
+    """Size check before a broadcast: counts at most ``limit + 1`` rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
 # C-locale blanks (what stream extraction of a typed line stops at): Java's \s.
 _ASCII_BLANKS = r"\s+"
 
@@ -96,10 +107,13 @@ def score_documents(scored_terms: DataFrame) -> DataFrame:
 def query_term_frequencies(documents: DataFrame, candidates: DataFrame, qterms: DataFrame) -> DataFrame:
     """Count of each query term in each candidate document, 0 when absent.
 
-    Dense form, as the reference builds it: one row per (query, candidate,
-    query term), read from the candidate's term map by key.
+    Dense form: one row per (query, candidate, query term), read from the
+    candidate's term map by key. The query-term side is broadcast when its
+    size checks small, so a query with millions of candidates is not
+    gathered into one task by a shuffle on ``query_id``.
     """
-    per_query = candidates.join(qterms, "query_id")
+    q = F.broadcast(qterms) if fits(qterms, BROADCAST_QUERY_TERMS) else qterms
+    per_query = candidates.join(q, "query_id")
     docs = documents.select("file", "term_frequencies")
     j = per_query.join(docs, "file")
     return j.select(

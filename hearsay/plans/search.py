@@ -19,28 +19,18 @@ from pyspark.sql import types as T
 from hearsay.operators import scoring as sc
 from hearsay.plans.index import TfIdfIndex
 
-# Query-term rows up to which the query side is broadcast. Each row is a
-# (query_id, term) pair of a few dozen bytes, so this stays far below the
-# executors' broadcast budget; beyond it the join shuffles (AQE skew-split).
-BROADCAST_QUERY_TERMS = 2_000_000
-
 QUERY_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
     T.StructField("terms", T.ArrayType(T.StringType(), False), False),
 ])
 
 
-def _query_side_is_small(qterms: DataFrame, limit: int) -> bool:
-    # Counts at most limit + 1 rows: the check itself stays bounded.
-    return qterms.limit(limit + 1).count() <= limit
-
-
 def scored_candidates(index: TfIdfIndex, queries: DataFrame, broadcast_queries: bool | None = None,
                       pushdown_terms: Sequence[str] | None = None) -> DataFrame:
     """``(query_id, file, score)`` for every candidate of every query."""
     qterms = sc.query_terms(queries)
     if broadcast_queries is None:
-        broadcast_queries = _query_side_is_small(qterms, BROADCAST_QUERY_TERMS)
+        broadcast_queries = sc.fits(qterms, sc.BROADCAST_QUERY_TERMS)
     postings = index.postings
     lexicon = index.lexicon
     if pushdown_terms is not None:
