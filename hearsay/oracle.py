@@ -150,13 +150,13 @@ SQL: dict[str, str] = {
     "o2_results_json": f"""WITH {INDEX}, {QUERY_SIDE},
         agg AS (SELECT query_id, list({{'file': replace(file, '\\', '/'), 'score': score::DECIMAL(38,6)}} ORDER BY rank) AS v
                 FROM top GROUP BY query_id)
-        SELECT q.query_id, to_json({{'videos': coalesce(agg.v, []::STRUCT(file VARCHAR, score DECIMAL(38,6))[]),
-                                      'duration': {{'count': 0::BIGINT, 'unit': 'ms'}}}}) AS json
+        SELECT q.query_id, CAST(to_json({{'videos': coalesce(agg.v, []::STRUCT(file VARCHAR, score DECIMAL(38,6))[]),
+                                           'duration': {{'count': 0::BIGINT, 'unit': 'ms'}}}}) AS VARCHAR) AS json
         FROM (SELECT DISTINCT query_id FROM bq) q LEFT JOIN agg ON q.query_id = agg.query_id""",
     "s8_export_index": f"""WITH {INDEX}
         SELECT k.file, k.transcription,
-               to_json(map_from_entries(coalesce(list({{'k': tf.term, 'v': tf.tf_count}} ORDER BY tf.term)
-                       FILTER (WHERE tf.term IS NOT NULL), []))) AS termFrequencies,
+               CAST(to_json(map_from_entries(coalesce(list({{'k': tf.term, 'v': tf.tf_count}} ORDER BY tf.term)
+                       FILTER (WHERE tf.term IS NOT NULL), []))) AS VARCHAR) AS termFrequencies,
                count(tf.term)::BIGINT AS numTerms
         FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
     "s5_append_documents": f"""WITH {INDEX}

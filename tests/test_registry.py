@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check_oracle import TABLES, digest
+from tools.check_oracle import TABLES, digest, types_match
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -39,5 +39,6 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    assert types_match(df, rel) == []
     assert len(s_rows) == len(d_rows)
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, d_rows)[0]
