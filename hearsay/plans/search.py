@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearsay.operators import indexing as ix
 from hearsay.operators import scoring as sc
 from hearsay.plans.index import TfIdfIndex
 
@@ -31,9 +32,17 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, broadcast_queries:
     qterms = sc.query_terms(queries)
     if broadcast_queries is None:
         broadcast_queries = sc.fits(qterms, sc.BROADCAST_QUERY_TERMS)
-    postings = index.postings
     lexicon = index.lexicon
-    if pushdown_terms is not None:
+    if pushdown_terms is None:
+        # A query table needs a full pass over the index anyway. Reading the
+        # documents' term maps is less I/O than the postings (the path is
+        # stored once per document, not once per term), and all of a
+        # document's terms reach the same task, so the partial aggregate
+        # finishes each (query, file) sum before the shuffle: one row per
+        # candidate pair crosses it.
+        postings = ix.postings_from_documents(index.documents.select("file", "term_frequencies", "num_terms"))
+    else:
+        postings = index.postings
         # Literal IN on the scans: Parquet row-group pruning on the sorted term column.
         terms = sorted(set(pushdown_terms))
         postings = postings.where(F.col("term").isin(terms))
