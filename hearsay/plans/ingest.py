@@ -28,6 +28,9 @@ def ingest_sources(store: IndexStore, sources: DataFrame, make_extractor: Callab
     ``make_extractor`` builds the path → transcript function once per task
     (a speech model loads once per task, not per file).
     """
+    batch_id = batch_id or new_batch_id()
+    if store.is_committed(batch_id):
+        return 0
     fresh = ix.new_sources(sources.select("file"), store.documents().select("file"))
     corpus = extract_transcripts(fresh, make_extractor, num_tasks=num_tasks)
-    return store.append(corpus, batch_id or new_batch_id())
+    return store.append(corpus, batch_id, assume_new=True)

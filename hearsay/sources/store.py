@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,26 +157,31 @@ class IndexStore:
             known = F.broadcast(known)
         return rows.join(known, "file", "left_anti")
 
-    def append(self, corpus: DataFrame, batch_id: str) -> int:
+    def append(self, corpus: DataFrame, batch_id: str, assume_new: bool = False) -> int:
         """Index the new files of ``corpus`` as batch ``batch_id``; returns how many.
 
         Safe to repeat: a committed batch is not redone, an uncommitted one is
         rewritten in place. Files already in other committed batches are
         skipped (path equality only); each path is taken once.
+        ``assume_new`` skips that check for a corpus already reduced to new,
+        distinct paths (``ingest_sources`` does it on paths before extraction,
+        so the extractor is not run for a check).
         """
         rows = self.commits().select("batch_id", "replaces").collect()
         if any(r["batch_id"] == batch_id for r in rows):   # committed, maybe compacted since
             return 0
         replaced = {b for r in rows for b in r["replaces"]}
         ids = sorted(r["batch_id"] for r in rows if r["batch_id"] not in replaced)
-        fresh = self.fresh_rows(corpus, ids)   # committed batches only: never this batch's own rows
+        # Committed batches only: never this batch's own rows.
+        fresh = corpus if assume_new else self.fresh_rows(corpus, ids)
         if self.stop_words is None:
             self.stop_words = self.settings_stop_words()
         documents = ix.build_documents(fresh, self.stop_words)
 
-        seen = Observation(f"documents-{batch_id}")
-        self._overwrite(documents.observe(seen, F.count(F.lit(1)).alias("n")), "documents", batch_id)
-        n = int(seen.get["n"])
+        self._overwrite(documents, "documents", batch_id)
+        # Counted from the written files (Parquet footers), not from task
+        # accumulators, so retried tasks cannot skew it.
+        n = self._batch("documents", batch_id).count()
 
         self._write_postings_and_lexicon(batch_id)
         self._commit(batch_id, n, [])
@@ -214,9 +219,8 @@ class IndexStore:
         if len(ids) <= 1:
             return None
         new_id = batch_id or f"compact-{uuid.uuid4().hex}"
-        seen = Observation(f"compact-{new_id}")
-        self._overwrite(self.documents(ids).observe(seen, F.count(F.lit(1)).alias("n")), "documents", new_id)
-        n = int(seen.get["n"])
+        self._overwrite(self.documents(ids), "documents", new_id)
+        n = self._batch("documents", new_id).count()
         self._write_postings_and_lexicon(new_id)
         self._commit(new_id, n, ids)
         return new_id

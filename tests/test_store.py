@@ -140,3 +140,27 @@ def test_stop_words_fixed_at_create(spark, workdir, golden_corpus):
     assert reopened.settings_stop_words() == GOLDEN_STOP_WORDS
     ingest_corpus(reopened, golden_corpus, "b1")
     assert dict(tuple(r) for r in reopened.lexicon().collect())["dont"] == 1
+
+
+def test_extractor_runs_once_per_new_file(spark, workdir):
+    media = os.path.join(workdir, "media")
+    os.makedirs(media)
+    for name in ["a.mp4", "b.mp4", "c.mp4"]:
+        with open(os.path.join(media, name), "w") as fh:
+            fh.write("ice " + name[0])
+    log = os.path.join(workdir, "calls.log")
+
+    def counting_extractor():
+        def extract(path):
+            with open(log, "a") as fh:
+                fh.write(path + "\n")
+            with open(path) as fh:
+                return fh.read()
+        return extract
+
+    store = IndexStore(spark, workdir + "/ix").create()
+    ingest_corpus(store, spark.createDataFrame([(os.path.join(media, "a.mp4"), "ice a")], "file string, transcript string"), "b0")
+    assert ingest_sources(store, list_sources(spark, media), counting_extractor, "b1") == 2
+    with open(log) as fh:
+        calls = sorted(os.path.basename(x) for x in fh.read().split())
+    assert calls == ["b.mp4", "c.mp4"]
