@@ -42,3 +42,14 @@ def test_postings_scan_prunes_columns(spark, workdir):
     ingest_corpus(store, spark.createDataFrame(GOLDEN, "file string, transcript string"), "b")
     p = plan(store.postings().where(F.col("term") == "ice").select("file"))
     assert "ReadSchema: struct<term:string,file:string>" in p
+
+
+def test_hot_term_spreads_over_postings_files(spark, workdir):
+    # "hot" is in every document: ranging on (term, file) must not put all of
+    # its postings into one file / task.
+    rows = [(f"/v/{i:04d}.mp4", f"hot word{i} other{i % 7}") for i in range(400)]
+    store = IndexStore(spark, workdir + "/ix", stop_words=[], postings_partitions=8).create()
+    ingest_corpus(store, spark.createDataFrame(rows, "file string, transcript string"), "b")
+    hot = store.postings().where(F.col("term") == "hot").select(F.input_file_name().alias("f"))
+    assert hot.count() == 400
+    assert hot.distinct().count() > 1
