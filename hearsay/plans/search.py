@@ -66,8 +66,9 @@ def search_batch(index: TfIdfIndex, queries: DataFrame, k: int = 3, round_to: in
 
 
 def query_frame(spark: SparkSession, terms: Sequence[str], query_id: str = "q") -> DataFrame:
-    """A one-row query table for a literal list of terms."""
-    return spark.createDataFrame([(query_id, list(terms))], QUERY_SCHEMA)
+    """A one-row query table for a literal list of terms (a JVM-side literal, no Python RDD)."""
+    terms_col = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    return spark.range(1).select(F.lit(query_id).alias("query_id"), terms_col.alias("terms"))
 
 
 def search(index: TfIdfIndex, terms: Sequence[str], k: int = 3, max_terms: int | None = 5,
