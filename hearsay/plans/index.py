@@ -20,9 +20,16 @@ class TfIdfIndex:
     documents: DataFrame   # (file, transcription, term_frequencies, num_terms)
     postings: DataFrame    # (term, file, tf_count, num_terms)
     lexicon: DataFrame     # (term, df)
+    n_documents_source: DataFrame | None = None   # one row, one column: N, if known cheaper
 
     def n_documents(self) -> Column:
-        """N as a scalar subquery over the documents (empty ones count)."""
+        """N as a scalar subquery (empty documents count).
+
+        A store answers from its commit rows (one per batch) instead of
+        opening every documents file footer.
+        """
+        if self.n_documents_source is not None:
+            return self.n_documents_source.scalar()
         return ix.corpus_size_col(self.documents)
 
 

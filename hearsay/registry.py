@@ -54,7 +54,9 @@ def _round(c: str = "score"):
 # ---- sources / text -------------------------------------------------------
 
 def s3_read_corpus(spark, sf_dir):
-    return documents_corpus(spark, sf_dir)
+    from hearsay.sources.corpus import read_corpus
+
+    return read_corpus(spark, f"{sf_dir}/documents.parquet", file_col="doc_id", text_col="text")
 
 
 def t1_strip_punctuation(spark, sf_dir):

@@ -119,7 +119,9 @@ class IndexStore:
     def index(self) -> TfIdfIndex:
         """One consistent snapshot: all three tables see the same committed batches."""
         ids = self.committed_ids()
-        return TfIdfIndex(self.documents(ids), self.postings(ids), self.lexicon(ids))
+        n = self.commits().where(F.col("batch_id").isin(ids)).select(
+            F.coalesce(F.sum("n_documents"), F.lit(0)).cast("bigint").alias("n_documents"))
+        return TfIdfIndex(self.documents(ids), self.postings(ids), self.lexicon(ids), n)
 
     def is_committed(self, batch_id: str) -> bool:
         return self.commits().where(F.col("batch_id") == batch_id).limit(1).count() > 0
