@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import index_tokens, normalize
-from hearsay.functions.tfidf import idf, tf, tf_idf
+from hearsay.functions.tfidf import idf, tf, tf_idf  # noqa: F401  (re-exported for plans)
 
 # (query, term) rows up to which a query side is broadcast. Each row is a few
 # dozen bytes, far below an executor's broadcast budget; beyond it joins

@@ -86,5 +86,18 @@ def search(index: TfIdfIndex, terms: Sequence[str], k: int = 3, max_terms: int |
         raise ValueError(f"too_many: {len(terms)} terms, at most {max_terms}")
     spark = index.postings.sparkSession
     queries = query_frame(spark, terms)
+    if len(set(terms)) == 1:
+        # One distinct term: each posting is a whole score (tf·idf), so no
+        # aggregation and no shuffle; the top-k keeps k rows per task.
+        return sc.top_k(_single_term_scores(index, queries, terms[0]), k, round_to)
     scores = scored_candidates(index, queries, broadcast_queries=True, pushdown_terms=terms)
     return sc.top_k(scores.drop("query_id"), k, round_to)
+
+
+def _single_term_scores(index: TfIdfIndex, queries: DataFrame, term: str) -> DataFrame:
+    qterms = sc.query_terms(queries)
+    postings = index.postings.where(F.col("term") == F.lit(term))
+    lexicon = index.lexicon.where(F.col("term") == F.lit(term))
+    idfs = sc.query_idf(qterms, lexicon, index.n_documents(), True).select("term", "idf")
+    scored = postings.join(F.broadcast(idfs), "term")
+    return scored.select("file", sc.tf_idf(sc.tf(F.col("tf_count"), F.col("num_terms")), F.col("idf")).alias("score"))

@@ -53,3 +53,12 @@ def test_hot_term_spreads_over_postings_files(spark, workdir):
     hot = store.postings().where(F.col("term") == "hot").select(F.input_file_name().alias("f"))
     assert hot.count() == 400
     assert hot.distinct().count() > 1
+
+
+def test_single_term_search_has_no_shuffle_of_postings(spark, workdir):
+    store = IndexStore(spark, workdir + "/ix").create()
+    ingest_corpus(store, spark.createDataFrame(GOLDEN, "file string, transcript string"), "b")
+    p = search(store.index(), ["ice", "ice"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in p
+    main = p.split("Subquery")[0]
+    assert "Exchange hashpartitioning(file" not in main
