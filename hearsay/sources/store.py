@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ from hearsay.plans.index import TfIdfIndex
 
 COMMITS_SCHEMA = T.StructType([
     T.StructField("n_documents", T.LongType(), False),
+    T.StructField("n_postings", T.LongType(), False),
     T.StructField("replaces", T.ArrayType(T.StringType(), False), False),
     T.StructField("batch_id", T.StringType(), False),
 ])
@@ -90,38 +91,59 @@ class IndexStore:
     def commits(self) -> DataFrame:
         return self._read("commits")
 
-    def committed_ids(self) -> list[str]:
-        """Visible batches: committed and not replaced by a committed compaction.
+    def visible_batches(self) -> list[Row]:
+        """Commit rows of the visible batches: committed, not replaced by a compaction.
 
         Commit rows are metadata (one per ingest or compaction), not data.
         """
-        rows = self.commits().select("batch_id", "replaces").collect()
+        rows = self.commits().select("batch_id", "n_documents", "n_postings", "replaces").collect()
         replaced = {b for r in rows for b in r["replaces"]}
-        return sorted(r["batch_id"] for r in rows if r["batch_id"] not in replaced)
+        return sorted((r for r in rows if r["batch_id"] not in replaced), key=lambda r: r["batch_id"])
+
+    def committed_ids(self) -> list[str]:
+        return [r["batch_id"] for r in self.visible_batches()]
 
-    def _committed(self, table: str, ids: list[str] | None = None) -> DataFrame:
-        # A literal IN on the partition column: uncommitted batch folders are
-        # pruned when files are listed, before any task reads them.
-        ids = self.committed_ids() if ids is None else ids
-        return self._read(table).where(F.col("batch_id").isin(ids)).drop("batch_id")
+    def _rows_for(self, ids: list[str] | None) -> list[Row]:
+        rows = self.visible_batches()
+        return rows if ids is None else [r for r in rows if r["batch_id"] in set(ids)]
+
+    def _committed(self, table: str, rows: list[Row]) -> DataFrame:
+        """Only the folders of the given committed batches are listed and read.
+
+        Uncommitted, replaced or empty batch folders are never listed, so the
+        cost of opening an index follows its visible batches, not its history.
+        """
+        need = "n_documents" if table == "documents" else "n_postings"
+        paths = [f"{self.path(table)}/batch_id={r['batch_id']}" for r in rows if r[need] > 0]
+        if not paths:
+            return self.spark.createDataFrame([], TABLES[table]).drop("batch_id")
+        return (self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
+                .parquet(*paths).drop("batch_id"))
 
     def documents(self, ids: list[str] | None = None) -> DataFrame:
-        return self._committed("documents", ids)
+        return self._committed("documents", self._rows_for(ids))
 
     def postings(self, ids: list[str] | None = None) -> DataFrame:
-        return self._committed("postings", ids)
+        return self._committed("postings", self._rows_for(ids))
+
+    @staticmethod
+    def _sum_df(per_batch: DataFrame) -> DataFrame:
+        return per_batch.groupBy("term").agg(F.sum("df").cast("bigint").alias("df"))
 
     def lexicon(self, ids: list[str] | None = None) -> DataFrame:
         """df per term over the committed batches (batches hold disjoint files)."""
-        per_batch = self._committed("lexicon", ids)
-        return per_batch.groupBy("term").agg(F.sum("df").cast("bigint").alias("df"))
+        return self._sum_df(self._committed("lexicon", self._rows_for(ids)))
 
     def index(self) -> TfIdfIndex:
-        """One consistent snapshot: all three tables see the same committed batches."""
-        ids = self.committed_ids()
-        n = self.commits().where(F.col("batch_id").isin(ids)).select(
-            F.coalesce(F.sum("n_documents"), F.lit(0)).cast("bigint").alias("n_documents"))
-        return TfIdfIndex(self.documents(ids), self.postings(ids), self.lexicon(ids), n)
+        """One consistent snapshot: all three tables see the same committed batches.
+
+        N is the sum of the batches' document counts from their commit rows.
+        """
+        rows = self.visible_batches()
+        n = sum(r["n_documents"] for r in rows)
+        n_df = self.spark.range(1).select(F.lit(n).cast("bigint").alias("n_documents"))
+        return TfIdfIndex(self._committed("documents", rows), self._committed("postings", rows),
+                          self._sum_df(self._committed("lexicon", rows)), n_df)
 
     def is_committed(self, batch_id: str) -> bool:
         return self.commits().where(F.col("batch_id") == batch_id).limit(1).count() > 0
@@ -135,12 +157,11 @@ class IndexStore:
     def _batch(self, table: str, batch_id: str) -> DataFrame:
         return self._read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
 
-    def known_files(self, ids: list[str]) -> tuple[DataFrame, int]:
-        """Paths of the committed batches and their number (from commit rows, no scan)."""
-        n = self.commits().where(F.col("batch_id").isin(ids)).agg(F.sum("n_documents")).first()[0]
-        return self.documents(ids).select("file"), int(n or 0)
+    def known_files(self, rows: list[Row]) -> tuple[DataFrame, int]:
+        """Paths of the given committed batches and their number (from commit rows, no scan)."""
+        return self._committed("documents", rows).select("file"), sum(r["n_documents"] for r in rows)
 
-    def fresh_rows(self, corpus: DataFrame, ids: list[str]) -> DataFrame:
+    def fresh_rows(self, corpus: DataFrame, rows: list[Row]) -> DataFrame:
         """J2 for a batch: rows of ``corpus`` whose file is new, one per file.
 
         Transcripts are the bulk of the data, so they move only when needed:
@@ -151,13 +172,13 @@ class IndexStore:
         ``BROADCAST_KNOWN_FILES``; beyond that it is a shuffle join on ``file``.
         """
         repeated = corpus.groupBy("file").count().where(F.col("count") > 1).limit(1).count() > 0
-        rows = corpus.dropDuplicates(["file"]) if repeated else corpus
-        if not ids:
-            return rows
-        known, n_known = self.known_files(ids)
+        fresh = corpus.dropDuplicates(["file"]) if repeated else corpus
+        if not rows:
+            return fresh
+        known, n_known = self.known_files(rows)
         if n_known <= BROADCAST_KNOWN_FILES:
             known = F.broadcast(known)
-        return rows.join(known, "file", "left_anti")
+        return fresh.join(known, "file", "left_anti")
 
     def append(self, corpus: DataFrame, batch_id: str, assume_new: bool = False) -> int:
         """Index the new files of ``corpus`` as batch ``batch_id``; returns how many.
@@ -169,13 +190,10 @@ class IndexStore:
         distinct paths (``ingest_sources`` does it on paths before extraction,
         so the extractor is not run for a check).
         """
-        rows = self.commits().select("batch_id", "replaces").collect()
-        if any(r["batch_id"] == batch_id for r in rows):   # committed, maybe compacted since
+        if self.is_committed(batch_id):   # committed, maybe compacted since
             return 0
-        replaced = {b for r in rows for b in r["replaces"]}
-        ids = sorted(r["batch_id"] for r in rows if r["batch_id"] not in replaced)
         # Committed batches only: never this batch's own rows.
-        fresh = corpus if assume_new else self.fresh_rows(corpus, ids)
+        fresh = corpus if assume_new else self.fresh_rows(corpus, self.visible_batches())
         if self.stop_words is None:
             self.stop_words = self.settings_stop_words()
         documents = ix.build_documents(fresh, self.stop_words)
@@ -185,11 +203,12 @@ class IndexStore:
         # accumulators, so retried tasks cannot skew it.
         n = self._batch("documents", batch_id).count()
 
-        self._write_postings_and_lexicon(batch_id)
-        self._commit(batch_id, n, [])
+        n_postings = self._write_postings_and_lexicon(batch_id)
+        self._commit(batch_id, n, n_postings, [])
         return n
 
-    def _write_postings_and_lexicon(self, batch_id: str) -> None:
+    def _write_postings_and_lexicon(self, batch_id: str) -> int:
+        """Write the batch's postings and lexicon; returns the number of postings."""
         # Postings come from the written documents' term maps: the transcripts
         # are not tokenised twice. Range partitioning on (term, file) splits a
         # hot term over several files instead of one; sorting gives row groups
@@ -201,11 +220,12 @@ class IndexStore:
         else:
             postings = postings.repartitionByRange("term", "file")
         self._overwrite(postings.sortWithinPartitions("term", "file"), "postings", batch_id)
-        lexicon = ix.document_frequency(self._batch("postings", batch_id))
-        self._overwrite(lexicon, "lexicon", batch_id)
+        written = self._batch("postings", batch_id)
+        self._overwrite(ix.document_frequency(written), "lexicon", batch_id)
+        return written.count()
 
-    def _commit(self, batch_id: str, n: int, replaces: list[str]) -> None:
-        marker = self.spark.createDataFrame([(n, replaces, batch_id)], COMMITS_SCHEMA)
+    def _commit(self, batch_id: str, n: int, n_postings: int, replaces: list[str]) -> None:
+        marker = self.spark.createDataFrame([(n, n_postings, replaces, batch_id)], COMMITS_SCHEMA)
         self._overwrite(marker.drop("batch_id"), "commits", batch_id)
 
     # ---- maintenance ------------------------------------------------------
@@ -217,14 +237,14 @@ class IndexStore:
         batches it replaces, so readers move from the old set to the new one
         at a single write; a crash before it leaves the old set visible.
         """
-        ids = self.committed_ids()
-        if len(ids) <= 1:
+        rows = self.visible_batches()
+        if len(rows) <= 1:
             return None
         new_id = batch_id or f"compact-{uuid.uuid4().hex}"
-        self._overwrite(self.documents(ids), "documents", new_id)
+        self._overwrite(self._committed("documents", rows), "documents", new_id)
         n = self._batch("documents", new_id).count()
-        self._write_postings_and_lexicon(new_id)
-        self._commit(new_id, n, ids)
+        n_postings = self._write_postings_and_lexicon(new_id)
+        self._commit(new_id, n, n_postings, [r["batch_id"] for r in rows])
         return new_id
 
     def vacuum(self) -> list[str]:
