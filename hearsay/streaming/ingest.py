@@ -9,16 +9,23 @@ from hearsay.sources.store import IndexStore
 
 
 def ingest_stream(corpus_stream: DataFrame, store: IndexStore, checkpoint: str, name: str = "ingest",
-                  available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+                  available_now: bool = True, interval: str = "1 minute",
+                  compact_after: int | None = None) -> StreamingQuery:
     """Each micro-batch of ``(file, transcript)`` becomes index batch ``name-<epoch>``.
 
     ``foreachBatch`` is at-least-once; ``IndexStore.append`` makes a replayed
     epoch a no-op once committed and a clean rewrite otherwise, and its
     anti-join skips files any committed batch already holds (the file source
     remembers files per checkpoint; the index remembers them for good).
+
+    ``compact_after``: once that many batches are visible, rewrite them as
+    one (``IndexStore.compact``), so a long-running stream does not leave a
+    folder of small files per trigger.
     """
     def each(batch: DataFrame, epoch_id: int) -> None:
         store.append(batch, f"{name}-{epoch_id}")
+        if compact_after and len(store.visible_batches()) >= compact_after:
+            store.compact()
 
     writer = corpus_stream.writeStream.queryName(name).foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

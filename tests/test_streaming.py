@@ -60,3 +60,16 @@ def test_search_stream(spark, workdir):
     expect = search_batch(store.index(), spark.createDataFrame(qrows, qschema), 3)
     assert got == sorted((r["query_id"], r["rank"], r["file"], r["score"]) for r in expect.collect())
     assert {g[0] for g in got} == {"q1", "q2", "q4"}
+
+
+def test_ingest_stream_compacts(spark, workdir):
+    src = os.path.join(workdir, "in")
+    write_parts(spark, src, GOLDEN, CORPUS_SCHEMA, [[0], [1], [2], [3]])
+    stream = spark.readStream.schema(CORPUS_SCHEMA).option("maxFilesPerTrigger", "1").parquet(src)
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    ingest_stream(stream, store, workdir + "/ckpt", compact_after=2).awaitTermination()
+    assert len(store.committed_ids()) <= 2
+    batch = IndexStore(spark, workdir + "/bx", GOLDEN_STOP_WORDS).create()
+    ingest_corpus(batch, spark.createDataFrame(GOLDEN, CORPUS_SCHEMA), "b")
+    assert sorted(tuple(r) for r in store.postings().collect()) == sorted(tuple(r) for r in batch.postings().collect())
+    assert store.index().documents.count() == 4
