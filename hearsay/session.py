@@ -45,13 +45,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables and stream state.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set, as in local tests, a fresh local folder is made and
-    registered, so later calls agree.
+    when neither is set and the master is local (tests), a fresh local folder
+    is made and registered, so later calls agree; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="hearsay-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
