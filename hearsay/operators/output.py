@@ -37,3 +37,8 @@ def results_json(queries: DataFrame, results: DataFrame, elapsed_ms: int | Colum
     doc = F.struct(videos.alias("videos"),
                    F.struct(ms.cast("bigint").alias("count"), F.lit("ms").alias("unit")).alias("duration"))
     return joined.select("query_id", F.to_json(doc).alias("json"))
+
+
+def format_results(results: DataFrame) -> DataFrame:
+    """O1 over a result table: adds ``line`` to each ``(…, file, score)`` row."""
+    return results.withColumn("line", format_result("score", "file"))

@@ -50,3 +50,8 @@ def import_index(documents_json: DataFrame, terms_json: DataFrame) -> TfIdfIndex
     postings = ix.postings_from_documents(documents)
     lexicon = import_terms(terms_json).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return TfIdfIndex(documents, postings, lexicon)
+
+
+def export_index(index: TfIdfIndex, chunk_size: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables in the JSON-text layout: ``(documents, terms)``."""
+    return export_documents(index.documents), export_terms(index.postings, chunk_size)

@@ -258,3 +258,25 @@ class IndexStore:
                 path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/batch_id={b}")
                 path.getFileSystem(conf).delete(path, True)
         return replaced
+
+
+# ---- the inventory's function names -----------------------
+
+def create_index(spark: SparkSession, path: str, stop_words: Iterable[str] | None = None) -> IndexStore:
+    """Create both (all) empty tables if absent; existing ones are kept."""
+    return IndexStore(spark, path, stop_words).create()
+
+
+def append_documents(store: IndexStore, corpus: DataFrame, batch_id: str) -> int:
+    """Index the new files of ``corpus`` as one committed batch; returns how many."""
+    return store.append(corpus, batch_id)
+
+
+def scan_documents(store: IndexStore) -> DataFrame:
+    """The committed documents table."""
+    return store.documents()
+
+
+def scan_terms(store: IndexStore, chunk_size: int = 10_000) -> DataFrame:
+    """The term → documents table, as the chunked array view of the postings."""
+    return ix.inverted_index(store.postings(), chunk_size)

@@ -164,3 +164,18 @@ def test_extractor_runs_once_per_new_file(spark, workdir):
     with open(log) as fh:
         calls = sorted(os.path.basename(x) for x in fh.read().split())
     assert calls == ["b.mp4", "c.mp4"]
+
+
+def test_inventory_names(spark, workdir, golden_corpus, golden_index):
+    from hearsay.operators.output import format_results
+    from hearsay.sources.store import append_documents, create_index, scan_documents, scan_terms
+
+    store = create_index(spark, workdir + "/ix", GOLDEN_STOP_WORDS)
+    assert append_documents(store, golden_corpus, "b1") == 4
+    assert scan_documents(store).count() == 4
+    terms = {r["term"]: sorted(r["documents"]) for r in scan_terms(store).collect()}
+    assert terms["ice"] == ["/v/a.mp4", "/v/b.mp4"]
+    docs_json, terms_json = interchange.export_index(golden_index)
+    assert docs_json.count() == 4 and terms_json.where(F.col("term") == "ice").count() == 1
+    lines = [r["line"] for r in format_results(search(store.index(), ["ice"], 3)).orderBy("rank").collect()]
+    assert lines == ["Score: 0.74  | File: /v/b.mp4", "Score: 0.15  | File: /v/a.mp4"]
