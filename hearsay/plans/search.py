@@ -2,10 +2,13 @@
 
 Plan shape (one job, no per-query loop):
 
-    postings ⋈ query terms (broadcast when checked small)      J4
-    lexicon ⋉ query terms → df → idf (N as scalar subquery)    A6, M2
-    tf·idf per posting, sum per (query, file)                  M3, M4, A7
-    row_number() <= k per query (WindowGroupLimit)             K2
+    query table: documents' term maps, exploded ⋈ query terms      J4
+                 (broadcast when the query side checks small)
+    one query:   postings with term IN (...) pushed to Parquet      J3, J4
+    lexicon ⋉ query terms → df → idf (N as scalar subquery)        A6, M2
+    tf·idf per posting, sum per (query, file)                      M3, M4, A7
+    row_number() <= k per query (WindowGroupLimit, partial first)  K2
+    one query with one distinct term: no sum, top-k directly        K1
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from hearsay.operators import indexing as ix
 from hearsay.operators import scoring as sc
 from hearsay.plans.index import TfIdfIndex
 
+# The shape of a query table.
 QUERY_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
     T.StructField("terms", T.ArrayType(T.StringType(), False), False),
