@@ -168,6 +168,9 @@ SQL: dict[str, str] = {
     "s6_scan_lexicon": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
         SELECT term, count(*)::BIGINT AS df FROM (SELECT term FROM postings UNION ALL SELECT term FROM c_postings)
         GROUP BY term""",
+    "u2_compacted_postings": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT term, file, tf_count, num_terms FROM postings
+        UNION ALL SELECT term, file, tf_count, num_terms FROM c_postings""",
     "a8_ingest_count": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
         SELECT (SELECT count(*) FROM norm)::BIGINT AS returned, 'b1' AS batch_id, (SELECT count(*) FROM norm)::BIGINT AS n_documents
         UNION ALL SELECT 0::BIGINT, 'b2', 0::BIGINT

@@ -293,6 +293,13 @@ def s6_scan_lexicon(spark, sf_dir):
     return _two_batch_store(spark, sf_dir, "s6").lexicon()
 
 
+def u2_compacted_postings(spark, sf_dir):
+    store = _two_batch_store(spark, sf_dir, "u2c")
+    store.compact()
+    store.vacuum()
+    return store.postings()
+
+
 def a8_ingest_count(spark, sf_dir):
     from hearsay.plans.ingest import ingest_corpus
 
@@ -387,6 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s5_append_documents": s5_append_documents,
     "s6_scan_terms": s6_scan_terms,
     "s6_scan_lexicon": s6_scan_lexicon,
+    "u2_compacted_postings": u2_compacted_postings,
     "a8_ingest_count": a8_ingest_count,
     "r1_ingest_stream": r1_ingest_stream,
     "r2_document_frequency_stream": r2_document_frequency_stream,
