@@ -144,6 +144,7 @@ SQL: dict[str, str] = {
         SELECT query_id, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > 5 THEN 'too_many' ELSE 'ok' END AS status,
                len(t)::BIGINT AS n_terms, array_to_string(t, ' ') AS terms FROM p""",
     "q2_search": _one_query(FLAGSHIP_TERMS),
+    "q2_search_one_term": _one_query([LOOKUP_TERM]),
     "q3_search_batch": f"WITH {INDEX}, {QUERY_SIDE} SELECT query_id, rank, file, score FROM top",
     "o1_format_results": f"""WITH {INDEX}, {QUERY_SIDE}
         SELECT query_id, rank, printf('Score: %-5s | File: %s', printf('%.2f', score), file) AS line FROM top""",

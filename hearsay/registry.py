@@ -230,6 +230,10 @@ def q2_search(spark, sf_dir):
     return search(_index(spark, sf_dir), FLAGSHIP_TERMS, K, round_to=ROUND).select("rank", "file", _round())
 
 
+def q2_search_one_term(spark, sf_dir):
+    return search(_index(spark, sf_dir), [LOOKUP_TERM], K, round_to=ROUND).select("rank", "file", _round())
+
+
 def q3_search_batch(spark, sf_dir):
     res = search_batch(_index(spark, sf_dir), _queries(spark, sf_dir), K, round_to=ROUND)
     return res.select("query_id", "rank", "file", _round())
@@ -386,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k2_top_k_per_query": k2_top_k_per_query,
     "q1_parse_query": q1_parse_query,
     "q2_search": q2_search,
+    "q2_search_one_term": q2_search_one_term,
     "q3_search_batch": q3_search_batch,
     "o1_format_results": o1_format_results,
     "o2_results_json": o2_results_json,
