@@ -32,7 +32,8 @@ def read_corpus(spark: SparkSession, path: str, file_col: str = "file", text_col
     """
     if fmt == "text":
         df = spark.read.option("wholetext", "true").text(path).select(
-            F.input_file_name().alias("file"), F.col("value").alias("transcript"))
+            F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "").alias("file"),
+            F.col("value").alias("transcript"))
     else:
         reader = spark.read.format(fmt)
         if fmt == "csv":

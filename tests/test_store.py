@@ -179,3 +179,18 @@ def test_inventory_names(spark, workdir, golden_corpus, golden_index):
     assert docs_json.count() == 4 and terms_json.where(F.col("term") == "ice").count() == 1
     lines = [r["line"] for r in format_results(search(store.index(), ["ice"], 3)).orderBy("rank").collect()]
     assert lines == ["Score: 0.74  | File: /v/b.mp4", "Score: 0.15  | File: /v/a.mp4"]
+
+
+def test_read_corpus_formats(spark, workdir):
+    from hearsay.sources.corpus import read_corpus
+
+    folder = os.path.join(workdir, "texts")
+    os.makedirs(folder)
+    for name, txt in GOLDEN:
+        with open(os.path.join(folder, os.path.basename(name) + ".txt"), "w") as fh:
+            fh.write(txt + "\n")
+    texts = {os.path.basename(r["file"]): r["transcript"] for r in read_corpus(spark, folder, fmt="text").collect()}
+    assert texts["b.mp4.txt"].strip() == "Ice ice baby"   # a trailing newline is whitespace either way
+    spark.createDataFrame(GOLDEN, "path string, body string").write.json(os.path.join(workdir, "j"))
+    js = read_corpus(spark, os.path.join(workdir, "j"), "path", "body", fmt="json")
+    assert sorted(tuple(r) for r in js.collect()) == sorted(GOLDEN)
