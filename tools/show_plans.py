@@ -56,6 +56,8 @@ def main() -> None:
          tree(ix.postings_from_documents(batch_docs).repartitionByRange("term", "file")
               .sortWithinPartitions("term", "file"), run=False)),
         ("One search (Q2), after execution", tree(search(store.index(), ["tion", "ed", "the", "zzzz", "ed"], 3))),
+        ("One-term search (Q2), after execution: no aggregation, no shuffle of postings",
+         tree(search(store.index(), ["tion"], 3))),
         ("Query table (Q3), after execution", tree(search_batch(store.index(), queries, 3))),
     ]
     out = ["# Physical plans", "", f"Generated by `tools/show_plans.py {sf_dir}` on local[8]. Node details omitted.", ""]
