@@ -121,3 +121,15 @@ def test_output_shaping(golden_index, spark):
     assert js["q1"] == ('{"videos":[{"file":"/v/b.mp4","score":0.736966},{"file":"/v/a.mp4","score":0.147393}],'
                         '"duration":{"count":7,"unit":"ms"}}')
     assert js["q2"] == '{"videos":[],"duration":{"count":7,"unit":"ms"}}'
+
+
+def test_results_json_escapes_file_names(spark):
+    import json
+
+    from hearsay.operators.output import results_json
+
+    idx = build_index(spark.createDataFrame([('C:\\v\\say "hi".mp4', "ice")], "file string, transcript string"))
+    queries = spark.createDataFrame([("q1", ["ice"])], "query_id string, terms array<string>")
+    js = results_json(queries, search_batch(idx, queries, 3), elapsed_ms=1).first()["json"]
+    assert json.loads(js) == {"videos": [{"file": 'C:/v/say "hi".mp4', "score": 0.0}],
+                              "duration": {"count": 1, "unit": "ms"}}
