@@ -248,13 +248,16 @@ class IndexStore:
         return new_id
 
     def vacuum(self) -> list[str]:
-        """Delete the folders of batches a committed compaction replaced."""
+        """Delete the folders (and commit rows) of batches a committed compaction replaced."""
         rows = self.commits().select("batch_id", "replaces").collect()
         replaced = sorted({b for r in rows for b in r["replaces"]})
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for b in replaced:
-            for table in ("documents", "postings", "lexicon"):
+            # Commit rows go too, so the commit table stays as small as the set of
+            # visible batches. A later replay of such an id finds every file
+            # already indexed and commits an empty batch.
+            for table in ("documents", "postings", "lexicon", "commits"):
                 path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/batch_id={b}")
                 path.getFileSystem(conf).delete(path, True)
         return replaced

@@ -131,6 +131,9 @@ def test_compaction_switches_atomically(spark, workdir, golden_corpus):
     assert ingest_corpus(store, golden_corpus, "s1") == 0          # a replayed, compacted batch stays done
     assert sorted(store.vacuum()) == ["s0", "s1", "s2", "s3"]
     assert snapshot(store) == before
+    assert store.commits().count() == 1                               # only the compaction's row is left
+    assert ingest_corpus(store, golden_corpus, "s2") == 0             # a late replay adds nothing
+    assert snapshot(store) == before
     assert [r["file"][-5] for r in search(store.index(), ["ice"], 3).collect()] == ["b", "a"]
 
 
