@@ -190,10 +190,13 @@ class IndexStore:
         distinct paths (``ingest_sources`` does it on paths before extraction,
         so the extractor is not run for a check).
         """
-        if self.is_committed(batch_id):   # committed, maybe compacted since
+        rows = self.commits().select("batch_id", "n_documents", "n_postings", "replaces").collect()
+        if any(r["batch_id"] == batch_id for r in rows):   # committed, maybe compacted since
             return 0
+        replaced = {b for r in rows for b in r["replaces"]}
+        visible = [r for r in rows if r["batch_id"] not in replaced]
         # Committed batches only: never this batch's own rows.
-        fresh = corpus if assume_new else self.fresh_rows(corpus, self.visible_batches())
+        fresh = corpus if assume_new else self.fresh_rows(corpus, visible)
         if self.stop_words is None:
             self.stop_words = self.settings_stop_words()
         documents = ix.build_documents(fresh, self.stop_words)
