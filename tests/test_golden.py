@@ -133,3 +133,18 @@ def test_results_json_escapes_file_names(spark):
     js = results_json(queries, search_batch(idx, queries, 3), elapsed_ms=1).first()["json"]
     assert json.loads(js) == {"videos": [{"file": 'C:/v/say "hi".mp4', "score": 0.0}],
                               "duration": {"count": 1, "unit": "ms"}}
+
+
+def test_group_of_copies_keeps_k_rows_in_file_order(spark):
+    # A third of the corpus is one text: every copy ties on score.
+    rows = [(f"/v/copy{i:03d}.mp4", "alike words zebra") for i in range(60)]
+    rows += [(f"/v/other{i:03d}.mp4", f"word{i} alike{i}") for i in range(120)]
+    idx = build_index(spark.createDataFrame(rows, "file string, transcript string"))
+    single = [r["file"] for r in search(idx, ["alike", "words"], 3).orderBy("rank").collect()]
+    assert single == ["/v/copy000.mp4", "/v/copy001.mp4", "/v/copy002.mp4"]
+    queries = spark.createDataFrame([("q1", ["alike"]), ("q2", ["zebra", "word7"])], "query_id string, terms array<string>")
+    got = {}
+    for r in search_batch(idx, queries, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["file"]))
+    assert sorted(got["q1"]) == [(1, "/v/copy000.mp4"), (2, "/v/copy001.mp4"), (3, "/v/copy002.mp4")]
+    assert sorted(got["q2"]) == [(1, "/v/other007.mp4"), (2, "/v/copy000.mp4"), (3, "/v/copy001.mp4")]
