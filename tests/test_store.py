@@ -197,3 +197,12 @@ def test_read_corpus_formats(spark, workdir):
     spark.createDataFrame(GOLDEN, "path string, body string").write.json(os.path.join(workdir, "j"))
     js = read_corpus(spark, os.path.join(workdir, "j"), "path", "body", fmt="json")
     assert sorted(tuple(r) for r in js.collect()) == sorted(GOLDEN)
+
+
+def test_hot_path_is_one_document(spark, workdir):
+    # One path is a third of the incoming rows: it is indexed once.
+    rows = [("/v/hot.mp4", "ice hockey")] * 40 + [(f"/v/{i:03d}.mp4", f"puck {i}") for i in range(80)]
+    store = IndexStore(spark, workdir + "/ix").create()
+    assert ingest_corpus(store, spark.createDataFrame(rows, "file string, transcript string"), "b1") == 81
+    assert store.documents().where(F.col("file") == "/v/hot.mp4").count() == 1
+    assert dict(tuple(r) for r in store.lexicon().collect())["ice"] == 1
