@@ -154,8 +154,18 @@ class IndexStore:
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch_id").parquet(self.path(table)))
 
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
     def _batch(self, table: str, batch_id: str) -> DataFrame:
-        return self._read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
+        """One batch's rows, reading only its folder (absent when the batch wrote no rows)."""
+        folder = f"{self.path(table)}/batch_id={batch_id}"
+        if not self._exists(folder):
+            return self.spark.createDataFrame([], TABLES[table]).drop("batch_id")
+        return (self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
+                .parquet(folder).drop("batch_id"))
 
     def known_files(self, rows: list[Row]) -> tuple[DataFrame, int]:
         """Paths of the given committed batches and their number (from commit rows, no scan)."""

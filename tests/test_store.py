@@ -206,3 +206,12 @@ def test_hot_path_is_one_document(spark, workdir):
     assert ingest_corpus(store, spark.createDataFrame(rows, "file string, transcript string"), "b1") == 81
     assert store.documents().where(F.col("file") == "/v/hot.mp4").count() == 1
     assert dict(tuple(r) for r in store.lexicon().collect())["ice"] == 1
+
+
+def test_batch_with_documents_but_no_postings(spark, workdir, golden_corpus):
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    assert ingest_corpus(store, golden_corpus.where(F.col("file") == "/v/c.mp4"), "only-stop-words") == 1
+    assert store.postings().count() == 0 and store.lexicon().count() == 0
+    assert ingest_corpus(store, golden_corpus, "rest") == 3
+    assert store.documents().count() == 4
+    assert [r["file"][-5] for r in search(store.index(), ["ice"], 3).collect()] == ["b", "a"]
