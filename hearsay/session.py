@@ -71,7 +71,10 @@ def local_path(path: str) -> str:
 
 
 def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
+    try:
+        return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
+    except Exception:  # noqa: BLE001  (no SparkContext view, e.g. Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -19,9 +19,13 @@ def spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
     would otherwise run in one task. A scan that already has enough splits
     (the normal case for a large corpus) is left alone: no extra shuffle.
     """
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        return df.repartition(min_partitions)
-    return df
+    if not min_partitions:
+        return df
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view, e.g. a Spark Connect session): leave the scan as is
+        return df
+    return df.repartition(min_partitions) if n < min_partitions else df
 
 
 def read_corpus(spark: SparkSession, path: str, file_col: str = "file", text_col: str = "transcript",
