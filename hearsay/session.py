@@ -80,9 +80,10 @@ def default_parallelism(spark: SparkSession) -> int:
 def ship_package(spark: SparkSession) -> None:
     """Make ``hearsay`` importable in Python workers (for ``mapInPandas``).
 
-    Zips the package once per application into the shared checkpoint folder
-    and registers it with ``addPyFile``; a no-op when already importable
-    there (e.g. installed on the cluster image and marked so in the conf).
+    Zips the package once per application into a temporary folder of the driver
+    and registers it with ``addPyFile``, which serves it to the executors; a
+    no-op when already importable there (e.g. installed on the cluster image
+    and marked so in the conf).
     """
     if spark.conf.get("spark.hearsay.packageShipped", "false") == "true":
         return
