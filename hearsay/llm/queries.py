@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe
+from hearsay.llm import bpe, rules
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,6 +24,13 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_policy(rules.ledger(_documents(spark, sf_dir)))
+    base = ~rules.passes(rules.BASE)
+    return judged.select("doc_id", *rules.MEASURES, "fail_bits", "policy", base.alias("base_failed"), "kept")
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op8_quality_rules": op8_quality_rules,
 }

@@ -1,3 +1,35 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+# Measurements of every row of a table ``{docs}`` with doc_id and text. A row is
+# known by its place, so repeated ids stay apart.
+RULE_MEASURES = r"""
+rows_ AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {docs}),
+split_ AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM rows_),
+places AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split_),
+windows_ AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows_, range(3) AS ks(k) WHERE n > 1 GROUP BY r),
+measured AS (
+  SELECT doc_id, s.r, s.t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')))::BIGINT AS n_capitals
+  FROM split_ s LEFT JOIN covered c ON c.r = s.r),
+judged AS (
+  SELECT *, (n_words < 50)::INT * 1 + (100 * n_repeat_words > 50 * n_words)::INT * 2
+          + (100 * n_symbols > 20 * n_words)::INT * 4 + (100 * n_dup_lines > 60 * n_lines)::INT * 8
+          + (100 * n_capitals > 40 * word_chars)::INT * 16
+          + (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT * 32 AS fail_bits
+  FROM measured)
+"""
+
+OP8 = "WITH " + RULE_MEASURES.replace("{docs}", "documents") + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals,
+       fail_bits, 'v1' AS policy, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept
+FROM judged
+"""
+
+SQL: dict[str, str] = {
+    "op8_quality_rules": OP8,
+}
