@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, rules
+from hearsay.llm import bpe, langid, rules
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,7 +30,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, "fail_bits", "policy", base.alias("base_failed"), "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    dictionaries = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs, dictionaries)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
