@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, langid, rules
+from hearsay.llm import bpe, langid, minhash, rules
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +30,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, "fail_bits", "policy", base.alias("base_failed"), "kept")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), size=4)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     dictionaries = langid.fit(docs.where(~langid.held_out()))
@@ -39,6 +43,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
