@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, langid, minhash, rules
+from hearsay.llm import bpe, langid, minhash, rules, substrings
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,9 +41,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }

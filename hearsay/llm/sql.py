@@ -30,6 +30,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 FROM judged
 """
 
+# Words that windows of 50 words cover whose words also start in a smaller id.
+REPEAT_CUT = r"""
+cut_rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+cut_starts AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut_rows),
+cut_hashed AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM cut_starts),
+cut_least AS (SELECT h, min(doc_id) AS least FROM cut_hashed GROUP BY h),
+cut_hits AS (SELECT r, i FROM cut_hashed JOIN cut_least USING (h) WHERE doc_id > least),
+cut_gone AS (SELECT r, list(DISTINCT i + k) AS gone FROM cut_hits, range(50) AS ks(k) GROUP BY r),
+cut_kept AS (
+  SELECT c.r, doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+         array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ') AS kept
+  FROM cut_rows c LEFT JOIN cut_gone g ON g.r = c.r)
+"""
+
+OP10 = "WITH " + REPEAT_CUT.replace("{docs}", "documents") + """
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM cut_kept
+"""
+
 SQL: dict[str, str] = {
     "op8_quality_rules": OP8,
+    "op10_substring_dedup": OP10,
 }
