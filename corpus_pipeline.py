@@ -1,11 +1,62 @@
-"""Documents through five training-data operators, each stage written and read again."""
+"""Documents through five training-data operators, each stage written and read again.
+
+Quality rules, language, near-duplicates, repeated passages, packing. Each stage
+works on all that the one before kept. All but the last return the columns of
+``documents``; the last returns where each piece of each document is packed.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearsay.llm import langid, minhash, packing, rules, substrings
+from hearsay.llm.queries import WORD_TOKENIZER
+from hearsay.llm.tasks import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the current policy."""
+    return rules.keep_documents(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language shows; dictionaries come from the rows outside the held-out fold."""
+    return langid.keep_documents(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 0.8 or more of their five-word shingles."""
+    return minhash.keep_documents(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that a smaller id has; ``n_chars`` follows."""
+    cut = substrings.cut_documents(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place, and a checksum of their ids."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+# Language by compression and numbered sequences are not for SQL; a brute-force version tests the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

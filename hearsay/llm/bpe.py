@@ -69,15 +69,18 @@ class MergeTable:
     def __init__(self, source: str):
         spec = json.loads(source)
         model = spec["model"]
-        if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
-            raise ValueError("a byte-level BPE file without normalizer is needed")
-        if spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
-            raise ValueError("add_prefix_space and a missing pre-token pattern are not supported")
+        before = spec.get("pre_tokenizer") or {}
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+            raise ValueError("a BPE file of plain merges over bytes is needed")
+        self.byte_level = (before.get("type") == "ByteLevel" and not spec.get("normalizer") and not model.get("end_of_word_suffix")
+                           and not before.get("add_prefix_space") and before.get("use_regex", True))
         symbols = byte_symbols()
         to_byte = {s: b for b, s in enumerate(symbols)}
         vocab: dict[str, int] = model["vocab"]
         self.of_byte = [vocab[s] for s in symbols]
         self.of_byte_array = np.array(self.of_byte, np.int64)
+        suffix = model.get("end_of_word_suffix") or ""
+        self.of_last_byte = np.array([vocab[s + suffix] for s in symbols], np.int64)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merge_of = {vocab[a] << SHIFT | vocab[b]: rank << SHIFT | vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.pairs = np.array(sorted(self.merge_of), np.int64)
@@ -86,10 +89,10 @@ class MergeTable:
         size = max([*vocab.values(), *self.specials.values()]) + 1
         self.token_bytes = [b""] * size
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(map(to_byte.__getitem__, token))
+            self.token_bytes[i] = bytes(map(to_byte.__getitem__, token.removesuffix(suffix)))
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
-        self.lookahead = sufficient_lookahead(merges)
+        self.lookahead = sufficient_lookahead(merges) if self.byte_level else None
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -168,7 +171,9 @@ class Encoder:
         left = np.fromiter(map(len, words), np.int64, count)
         width = int(left.max())
         symbols = np.zeros((count, width + 1), np.int64)
-        symbols[np.arange(width + 1) < left[:, None]] = table.of_byte_array[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbols[np.arange(width + 1) < left[:, None]] = table.of_byte_array[data]
+        symbols[np.arange(count), left - 1] = table.of_last_byte[data[np.cumsum(left) - 1]]
         ranks = table.ranks(symbols[:, :-1], symbols[:, 1:])
         ranks[np.arange(width) >= left[:, None] - 1] = NONE
         result, lengths, rows = np.zeros((count, width), "<u4"), np.zeros(count, np.int64), np.arange(count)
@@ -274,7 +279,10 @@ def decode(table: MergeTable, ids: bytes, block: int = 1 << 16) -> str:
 
 @lru_cache(maxsize=2)
 def _encoder(source: str) -> Encoder:
-    return Encoder(MergeTable(source))
+    table = MergeTable(source)
+    if not table.byte_level:
+        raise ValueError("a byte-level BPE file without normalizer or prefix space is needed")
+    return Encoder(table)
 
 
 def read_tokenizer(path: str) -> str:

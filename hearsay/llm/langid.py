@@ -40,6 +40,7 @@ NO_LANGUAGE = "und"
 ROWS_PER_LANGUAGE = 256
 EXCERPT_CHARS = 1600
 MAX_LANGUAGES = 400
+SPARE = 8
 CHUNK_BYTES = 1024
 LEVEL = 3
 EVIDENCE = 2.0
@@ -66,13 +67,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     middle = F.greatest(F.lit(1), (F.char_length("text") / 2 - excerpt_chars / 2).cast("int"))
     sample = some.select("lang", F.xxhash64("text").alias("h"), F.substring("text", middle, F.lit(excerpt_chars)).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    few = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
+    # A hash keeps about SPARE times the rows wanted of each language, and copies count once.
+    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
+    if not counts:
+        return {}
+    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, SPARE * rows_per_language / n))))
+    sample = sample.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    order = Window.partitionBy("lang").orderBy("h")
+    few = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
     found: dict[str, dict[str, None]] = {}
-    for row in few.orderBy("lang", "n").limit(MAX_LANGUAGES * rows_per_language + 1).collect():
+    for row in few.orderBy("lang", "n").collect():
         found.setdefault(row["lang"], {})[row["text"]] = None
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
     return {name: "\n".join(map(plain, texts)).encode() for name, texts in sorted(found.items())}
 
 

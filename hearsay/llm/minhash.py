@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.components import connected_components
-from hearsay.llm.tasks import map_arrow, stored, text_slices
+from hearsay.llm.tasks import IdFilter, map_arrow, stored, text_slices
 from hearsay.llm.wordhash import combine, mix, powers, words
 
 BINS, BANDS, ROWS = 256, 42, 6
@@ -166,8 +166,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stars = members.join(centres, "bucket").where((F.col("a") != F.col("b")) & _sizes_allow("n", "m", threshold))
     pairs = stored(stars.select("a", "b").distinct(), "pairs")
 
-    texts = stored(docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).join(
-        members.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "texts")
+    paired = stored(members.select(F.col("a").alias("id")).distinct(), "paired")
+    bodies = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+    texts = stored(IdFilter(paired, "id").rows(bodies, "id").join(paired, "id", "left_semi"), "texts")
     links = stored(confirmed(pairs, texts, size, threshold), "links")
     labels = connected_components(links)
 

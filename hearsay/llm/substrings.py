@@ -31,11 +31,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.recompress import anchors
-from hearsay.llm.tasks import map_arrow, stored, text_slices
+from hearsay.llm.tasks import IdFilter, map_arrow, stored, text_slices
 from hearsay.llm.wordhash import BASE, mix, powers, words
 
 SIZE = 50
@@ -150,21 +150,28 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     marks = stored(first.select("id", F.explode("anchors").alias("anchor")), "anchors")
     own = marks.join(_shared(marks, "anchor"), "anchor").select("id", "anchor")
     bare = first.where("bare").select("id", F.lit(None).cast("long").alias("anchor"))
-    open_texts = own.union(bare).groupBy("id").agg(F.collect_list("anchor").alias("shared"))
-    found = stored(open_windows(docs.join(open_texts, "id"), size), "windows")
+    open_texts = stored(own.union(bare).groupBy("id").agg(F.collect_list("anchor").alias("shared")), "open")
+    found = stored(open_windows(IdFilter(open_texts, "id").rows(docs, "id").join(open_texts, "id"), size), "windows")
     lost = found.join(_shared(found, "h", "v"), ["h", "v"]).where("id > least")
     lost = lost.groupBy("id").agg(F.collect_list("h").alias("hashes"))
     return copies.join(lost, "id", "full_outer").select(F.col("id").alias(key), "prints", "hashes")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, *keep, n_words, n_removed, text)`` per row; the text is its kept words joined by one space."""
+                    keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+    """``(key, *keep, n_words, n_removed, text)`` per row; the text is its kept words joined by one space.
+
+    Without ``rejoin`` a text that loses nothing stays as it is.
+    """
     kept = [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
     own = [f"_keep{i}" for i in range(len(keep))]
-    lost = repeats(docs, key, text, size).select(F.col(key).alias("_id"), "prints", "hashes")
+    lost = stored(repeats(docs, key, text, size).select(F.col(key).alias("_id"), "prints", "hashes"), "lost")
     rows = docs.select(docs[text].cast("string").alias("_text"), docs[key].alias("_key"), *kept)
-    rows = rows.join(lost, rows["_key"] == lost["_id"], "left").select("_text", "prints", "hashes", "_key", *own)
+    # Only rows that may lose words are shuffled.
+    touched = IdFilter(lost, "_id")
+    joined = touched.rows(rows, "_key").join(lost, F.col("_key") == F.col("_id"), "left").select("_text", "prints", "hashes", "_key", *own)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in joined.schema.fields[1:3]}
+    rows = joined.union(touched.rows(rows, "_key", held=False).withColumns(none).select(*joined.columns))
     types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:]]
 
     def run(batches):
@@ -173,7 +180,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             prints, hashes = part.column(1).to_pylist(), part.column(2)
             touched = [i for i, p in enumerate(prints) if p or hashes[i].is_valid]
             count, removed = np.array([len(t.encode().split()) for t in texts], np.int64), np.zeros(len(texts), np.int64)
-            out = [" ".join(WORD.findall(t)) for t in texts]
+            out = [" ".join(WORD.findall(t)) for t in texts] if rejoin else part.column(0).to_pylist()
             if touched:
                 w = Windows([texts[i] for i in touched], size)
                 whole, rolled = w.prints(31).view(np.int64).tolist(), w.rolled(41).view(np.int64)
@@ -189,6 +196,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                         cover[size:] -= hit
                         gone = np.cumsum(cover[:n]) > 0
                         removed[i] = int(gone.sum())
+                        if not removed[i]:
+                            continue
                         found = WORD.findall(texts[i])
                         out[i] = " ".join([found[k] for k in np.flatnonzero(~gone).tolist()])
             yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(count), pa.array(removed), pa.array(out, pa.string())], names=names)
@@ -204,7 +213,5 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     Texts that lose nothing stay as they are; texts that lose every word go.
     """
     rest = tuple(c for c in docs.columns if c not in (key, text))
-    whole = docs.withColumn("_whole", F.col(text))
-    cut = without_repeats(whole, key, text, size, (*rest, "_whole")).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    new: Column = F.when(F.col("n_removed") > 0, F.col(text)).otherwise(F.col("_whole"))
-    return cut.withColumn(text, new).select(*docs.columns)
+    cut = without_repeats(docs, key, text, size, rest, rejoin=False)
+    return cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*docs.columns)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearsay.session import scratch_path, ship_package
 
@@ -48,3 +50,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+FILTER_BITS = 25            # at most 2**25 bits, 4 MB, whatever the number of ids
+BITS_PER_ID = 16
+
+
+class IdFilter:
+    """A Bloom filter over ids, of bounded size, to tell rows apart before a join.
+
+    Says no only of ids that it does not hold. Beyond about two million ids it
+    says yes more and more often; then more rows take part in the join that
+    follows, and results stay the same.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        hashed = ids.select(F.xxhash64(column).alias("h"))
+        self.bits = min(FILTER_BITS, max(10, (BITS_PER_ID * hashed.count()).bit_length()))
+        mask = F.lit((1 << self.bits) - 1)
+        places = hashed.select(F.explode(F.array(
+            F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("p"))
+        words = places.groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(
+            F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("b")).toPandas()
+        self.words = np.zeros(1 << (self.bits - 5), np.uint32)
+        self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        h, mask = hashes.view(np.uint64), np.uint64((1 << self.bits) - 1)
+        found = np.ones(len(h), bool)
+        for place in (h & mask, (h >> np.uint64(32)) & mask):
+            found &= (self.words[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        return found
+
+    def rows(self, df: DataFrame, column: str, held: bool = True) -> DataFrame:
+        """The rows whose id the filter may hold, or with ``held=False`` the others."""
+        names = [f"_c{i}" for i in range(len(df.columns))]
+        chosen = df.select(F.xxhash64(F.col(column)).alias("_h"), *(df[c].alias(n) for c, n in zip(df.columns, names)))
+        schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields))
+
+        def run(batches):
+            for batch in batches:
+                keep = self.maybe(batch.column(0).to_numpy()) == held
+                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(keep))
+
+        return map_arrow(chosen, run, schema).select(*(F.col(n).alias(c) for c, n in zip(df.columns, names)))
