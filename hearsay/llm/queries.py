@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, langid, minhash, packing, rules, substrings
+from hearsay.llm import bpe, langid, minhash, packing, rules, sharding, substrings
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), size=4)
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.with_slots(sharding.kd_shards(_documents(spark, sf_dir)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     dictionaries = langid.fit(docs.where(~langid.held_out()))
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_kd_sharding": op6_kd_sharding,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
