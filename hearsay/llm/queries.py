@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, langid, minhash, packing, quality, rules, sharding, substrings
+from hearsay.llm import bpe, fingerprint, langid, minhash, packing, quality, rules, sharding, substrings
 from hearsay.llm.tasks import stored
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = fingerprint.edited_likeness(_documents(spark, sf_dir))
+    return compared.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                           F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.without_repeats(_documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -77,5 +83,6 @@ QUERIES = {
     "op6_kd_sharding": op6_kd_sharding,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
