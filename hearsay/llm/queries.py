@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, fingerprint, langid, minhash, packing, quality, rules, sharding, substrings
+from hearsay.llm import bpe, fingerprint, langid, lm, minhash, packing, quality, rules, sharding, substrings
 from hearsay.llm.tasks import stored
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES, "fail_bits", "policy", base.alias("base_failed"), "kept")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    lexicon = lm.count_words(docs)
+    return lm.score(docs, lexicon, lm.train(docs, lexicon))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = stored(quality.statistics(_documents(spark, sf_dir)), "stats")
     held_out = langid.held_out(folds=5, fold=0)
@@ -77,6 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
