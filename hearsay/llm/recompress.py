@@ -13,9 +13,9 @@ place, whatever surrounds them. Texts are parsed together, a stop between each
 two; a stop takes no part, and what looked at one has its bounds there, outside
 the text.
 
-``anchors`` picks for every window of a text the symbol that all windows of the
-same words pick: of the symbols that depend on the window alone, the one whose
-name hashes least.
+``anchors`` picks for every window of a text the symbols that all windows of the
+same words pick: of those that depend on the window alone, the two whose names
+hash least and most.
 """
 
 from __future__ import annotations
@@ -68,14 +68,14 @@ def parse(hashes: np.ndarray, stops: np.ndarray, rounds: int = ROUNDS, longest:
 
 
 def anchors(hashes: np.ndarray, stops: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """For the windows of ``size`` words at ``starts``, their anchor, 0 where they have none."""
+    """For the windows of ``size`` words at ``starts``, a name for their two anchors, 0 where they have none."""
     names, low, high = parse(hashes, stops)
-    ranks = np.append(mix(names, 4000) | np.uint64(1), np.uint64(2**64 - 1))
+    ranks = np.append(mix(names, 4000), np.uint64(0))
     a = np.searchsorted(low, starts)
     b = np.searchsorted(high, starts + size, "right")
     found = a < b
     at = np.stack([a[found], b[found]], axis=1).ravel()
     out = np.zeros(len(starts), np.uint64)
     if len(at):
-        out[found] = np.minimum.reduceat(ranks, at)[::2]
+        out[found] = combine(np.minimum.reduceat(ranks, at)[::2], np.maximum.reduceat(ranks, at)[::2]) | np.uint64(1)
     return out

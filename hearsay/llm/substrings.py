@@ -6,12 +6,12 @@ window covers it whose words also start in a text with a smaller id. Windows
 are judged on the input, not on what is left.
 
 1. One pass parses every text by recompression and takes its anchors: for each
-   window the symbol that every other window of the same words takes too.
+   window the two symbols that every other window of the same words takes too.
 2. A text whose whole word sequence a smaller id has is removed as a whole; the
    smallest id of such a group stands for it from here on.
 3. Spark counts the texts of each anchor. Only windows whose anchor more than
    one text has can repeat; they, and windows without an anchor (in periodic
-   text), go on as 96-bit hashes of their words.
+   text), go on as 64-bit hashes of their words.
 4. Spark finds the smallest id of each window; windows that a smaller id has
    mark their words.
 
@@ -112,7 +112,7 @@ def parsed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def open_windows(texts: DataFrame, size: int) -> DataFrame:
-    """``(h, v, id)``: the distinct windows of each text that have no anchor or one of ``shared``."""
+    """``(h, id)``: the distinct windows of each text that have no anchor or one of ``shared``."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -123,10 +123,10 @@ def open_windows(texts: DataFrame, size: int) -> DataFrame:
             owner = np.repeat(np.arange(part.num_rows), np.diff(shared.offsets.to_numpy()))
             known = shared.flatten().to_numpy().view(np.uint64)
             wanted = (found == 0) | np.isin(mix(found + w.row.astype(np.uint64) * BASE), mix(known + owner.astype(np.uint64) * BASE))
-            row, h, v = _distinct(w.row[wanted], w.rolled(41)[wanted], (w.rolled(42)[wanted] >> np.uint64(32)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(v), part.column(0).take(pa.array(row))], names=["h", "v", "id"])
+            row, h = _distinct(w.row[wanted], w.rolled(41)[wanted])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(row))], names=["h", "id"])
 
-    return map_arrow(texts.select("id", "text", "shared"), run, f"h long, v int, id {id_type}")
+    return map_arrow(texts.select("id", "text", "shared"), run, f"h long, id {id_type}")
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -151,8 +151,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     own = marks.join(_shared(marks, "anchor"), "anchor").select("id", "anchor")
     bare = first.where("bare").select("id", F.lit(None).cast("long").alias("anchor"))
     open_texts = stored(own.union(bare).groupBy("id").agg(F.collect_list("anchor").alias("shared")), "open")
-    found = stored(open_windows(IdFilter(open_texts, "id").rows(docs, "id").join(open_texts, "id"), size), "windows")
-    lost = found.join(_shared(found, "h", "v"), ["h", "v"]).where("id > least")
+    # Computed anew for the join rather than stored: the rows are many and cheap to make.
+    found = open_windows(IdFilter(open_texts, "id").rows(docs, "id").join(open_texts, "id"), size)
+    lost = found.join(_shared(found, "h"), "h").where("id > least")
     lost = lost.groupBy("id").agg(F.collect_list("h").alias("hashes"))
     return copies.join(lost, "id", "full_outer").select(F.col("id").alias(key), "prints", "hashes")
 
