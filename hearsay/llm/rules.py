@@ -154,4 +154,6 @@ def keep_documents(docs: DataFrame, policy: Policy = CURRENT, key: str = "doc_id
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     carried = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), row)
     rows = ledger(carried, "_key", "_text", keep=("_row",))
-    return rows.where(passes(policy)).select("_row.*")
+    # A plain filter would be pushed down through every step, each step's expression copied into the next.
+    kept = rows.select(F.explode_outer(F.when(passes(policy), F.array("_row"))).alias("_row"))
+    return kept.where(F.col("_row").isNotNull()).select("_row.*")
