@@ -37,13 +37,19 @@ LEXICON_SCHEMA = T.StructType([
 ])
 
 
+def rejected_documents(corpus: DataFrame) -> DataFrame:
+    """``(file)`` of the sources whose only rows have no transcript; they are not indexed."""
+    return corpus.groupBy("file").agg(F.count("transcript").alias("n")).where(F.col("n") == 0).select("file")
+
+
 def analyze(corpus: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """Normalise each transcript and count its terms inside the row.
 
     Returns ``(file, transcription, runs array<struct<term, tf_count>>)`` with
     ``runs`` sorted by term. A document's tokens never leave its row: sorting
     and run-length counting replace an explode + groupBy(file, term), so no
-    shuffle is needed to build the index. Null transcripts are rejected rows.
+    shuffle is needed to build the index. Null transcripts are rejected rows;
+    ``rejected_documents`` names them.
     """
     words = None if stop_words is None else list(stop_words)
     normed = corpus.where(F.col("transcript").isNotNull()).select(
@@ -123,17 +129,20 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def inverted_index(postings: DataFrame, chunk_size: int = 10_000) -> DataFrame:
+def inverted_index(postings: DataFrame, chunk_size: int = 10_000, salts: int = 64) -> DataFrame:
     """A4: term → sorted list of documents, as a view.
 
     A term's list is split into chunks of about ``chunk_size`` files (chunk
     = hash(file) mod ceil(df / chunk_size)), so a hot term never becomes one
     unbounded array in one task. Rows: ``(term, chunk, documents)``; the
-    union of a term's chunks is its full list.
+    union of a term's chunks is its full list. Postings meet their df on
+    (term, salt), the small df side repeated for each salt, so a hot term's
+    postings are spread before they are chunked, too.
     """
-    dfs = document_frequency(postings)
+    dfs = document_frequency(postings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(chunk_size))).cast("bigint")
-    keyed = postings.select("term", "file").join(dfs, "term").select(
+    salted = postings.select("term", "file", F.pmod(F.xxhash64("file", F.lit(1)), F.lit(salts)).cast("int").alias("salt"))
+    keyed = salted.join(dfs, ["term", "salt"]).select(
         "term", "file", F.pmod(F.xxhash64("file"), n_chunks).alias("chunk"))
     return keyed.groupBy("term", "chunk").agg(F.sort_array(F.collect_list("file")).alias("documents"))
 
@@ -178,7 +187,3 @@ def lookup_document(documents: DataFrame, file: str) -> DataFrame:
 def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Add documents to the index. Long form needs no row update: a union."""
     return old.unionByName(new)
-
-
-def lexicon_from_postings(postings: DataFrame) -> DataFrame:
-    return document_frequency(postings)

@@ -13,17 +13,6 @@ from pyspark.sql import functions as F
 from hearsay.functions.text import index_tokens, normalize
 from hearsay.functions.tfidf import idf, tf, tf_idf  # noqa: F401  (re-exported for plans)
 
-# (query, term) rows up to which a query side is broadcast. Each row is a few
-# dozen bytes, far below an executor's broadcast budget; beyond it joins
-# shuffle and AQE splits skewed keys.
-BROADCAST_QUERY_TERMS = 2_000_000
-
-
-def fits(df: DataFrame, limit: int) -> bool:
-    """Size check before a broadcast: counts at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
 # C-locale blanks (what stream extraction of a typed line stops at): Java's \s.
 _ASCII_BLANKS = r"\s+"
 
@@ -42,6 +31,7 @@ def parse_query(line: Column | str, max_terms: int | None = 5, normalize_terms:
         terms = index_tokens(normalize(c), stop_words=[])
     else:
         terms = F.filter(F.split(c, _ASCII_BLANKS), lambda t: t != "")
+    terms = F.coalesce(terms, F.array().cast("array<string>"))      # a null line has no terms
     n = F.size(terms)
     status = F.when(n == 0, F.lit("empty"))
     if max_terms is not None:
@@ -51,25 +41,29 @@ def parse_query(line: Column | str, max_terms: int | None = 5, normalize_terms:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term)``, each distinct term of each query once."""
+    """``(query_id, term)``, each distinct term of each query once.
+
+    A query sent again counts once; different queries under one id count as
+    one query with the terms of both.
+    """
     exploded = queries.select("query_id", F.explode_outer(F.array_distinct("terms")).alias("term"))
-    return exploded.where(F.col("term").isNotNull())
+    return exploded.where(F.col("term").isNotNull()).distinct()
 
 
-def match_terms(qterms: DataFrame, postings: DataFrame, broadcast_queries: bool) -> DataFrame:
+def match_terms(qterms: DataFrame, postings: DataFrame, literal_query: bool = False) -> DataFrame:
     """Postings of every query term ``(query_id, term, file, tf_count, num_terms)``.
 
-    The query side is broadcast only when the caller has checked its size;
-    the postings side is never broadcast (hot terms make it the big side).
+    ``literal_query`` says that the terms are those of one call, which are
+    broadcast. For a query table AQE picks the join from its real size.
     """
-    q = F.broadcast(qterms) if broadcast_queries else qterms
+    q = F.broadcast(qterms) if literal_query else qterms
     return postings.join(q, "term").select("query_id", "term", "file", "tf_count", "num_terms")
 
 
-def query_idf(qterms: DataFrame, lexicon: DataFrame, n_documents: Column, broadcast_queries: bool) -> DataFrame:
+def query_idf(qterms: DataFrame, lexicon: DataFrame, n_documents: Column, literal_query: bool = False) -> DataFrame:
     """M2: ``(query_id, term, df, idf)``; a term absent from the corpus gets 0.0."""
     wanted = qterms.select("term").distinct()
-    w = F.broadcast(wanted) if broadcast_queries else wanted
+    w = F.broadcast(wanted) if literal_query else wanted
     dfs = lexicon.join(w, "term", "left_semi")
     joined = qterms.join(dfs, "term", "left")
     return joined.select(
@@ -82,8 +76,7 @@ def query_idf(qterms: DataFrame, lexicon: DataFrame, n_documents: Column, broadc
 def term_tf_idf(matched: DataFrame, idfs: DataFrame) -> DataFrame:
     """M3 + M4 per matched posting: ``(query_id, file, term, tf, idf, tf_idf)``.
 
-    ``idfs`` holds one row per (query, term), so it is as small as the query
-    side and joins by broadcast when that side was checked small.
+    ``idfs`` holds one row per (query, term).
     """
     j = matched.join(idfs.select("query_id", "term", "idf"), ["query_id", "term"])
     t = tf(F.col("tf_count"), F.col("num_terms"))
@@ -104,22 +97,16 @@ def score_documents(scored_terms: DataFrame) -> DataFrame:
     return scored_terms.groupBy("query_id", "file").agg(F.sum("tf_idf").alias("score"))
 
 
-def query_term_frequencies(documents: DataFrame, candidates: DataFrame, qterms: DataFrame) -> DataFrame:
+def query_term_frequencies(matched: DataFrame, candidates: DataFrame, qterms: DataFrame) -> DataFrame:
     """Count of each query term in each candidate document, 0 when absent.
 
-    Dense form: one row per (query, candidate, query term), read from the
-    candidate's term map by key. The query-term side is broadcast when its
-    size checks small, so a query with millions of candidates is not
-    gathered into one task by a shuffle on ``query_id``.
+    Dense form: one row per (query, candidate, query term). Counts come from
+    the matched postings, so no document's term map is moved or searched.
     """
-    q = F.broadcast(qterms) if fits(qterms, BROADCAST_QUERY_TERMS) else qterms
-    per_query = candidates.join(q, "query_id")
-    docs = documents.select("file", "term_frequencies")
-    j = per_query.join(docs, "file")
-    return j.select(
-        "query_id", "file", "term",
-        F.coalesce(F.try_element_at("term_frequencies", F.col("term")), F.lit(0)).cast("bigint").alias("tf_count"),
-    )
+    per_query = candidates.join(qterms, "query_id")
+    counts = matched.select("query_id", "file", "term", "tf_count")
+    return per_query.join(counts, ["query_id", "file", "term"], "left").select(
+        "query_id", "file", "term", F.coalesce("tf_count", F.lit(0)).cast("bigint").alias("tf_count"))
 
 
 def _rank_key(score: Column, round_to: int | None) -> Column:

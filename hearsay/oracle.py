@@ -41,7 +41,7 @@ def _index_ctes(corpus_sql: str, prefix: str = "") -> str:
 {p}kept AS (SELECT file, transcription, {_kept('transcription')} AS terms FROM {p}norm),
 {p}tf AS (SELECT file, term, count(*)::BIGINT AS tf_count FROM (SELECT file, unnest(terms) AS term FROM {p}kept) GROUP BY file, term),
 {p}nd AS (SELECT k.file, count(tf.term)::BIGINT AS num_terms FROM {p}kept k LEFT JOIN {p}tf tf ON k.file = tf.file GROUP BY k.file),
-{p}postings AS (SELECT tf.term, tf.file, tf.tf_count, nd.num_terms FROM {p}tf tf JOIN {p}nd nd ON tf.file = nd.file),
+{p}postings AS MATERIALIZED (SELECT tf.term, tf.file, tf.tf_count, nd.num_terms FROM {p}tf tf JOIN {p}nd nd ON tf.file = nd.file),
 {p}lex AS (SELECT term, count(*)::BIGINT AS df FROM {p}postings GROUP BY term),
 {p}n AS (SELECT count(*)::BIGINT AS n FROM {p}norm)"""
 
@@ -124,7 +124,8 @@ SQL: dict[str, str] = {
     "j6_query_term_frequencies": f"""WITH {INDEX}, {QUERY_SIDE},
         cands AS (SELECT DISTINCT query_id, file FROM matched)
         SELECT c.query_id, c.file, qt.term, coalesce(tf.tf_count, 0)::BIGINT AS tf_count
-        FROM cands c JOIN qt ON c.query_id = qt.query_id LEFT JOIN tf ON tf.file = c.file AND tf.term = qt.term""",
+        FROM cands c JOIN qt ON c.query_id = qt.query_id
+             LEFT JOIN matched tf ON tf.query_id = c.query_id AND tf.file = c.file AND tf.term = qt.term""",
     "u1_candidate_documents": f"WITH {INDEX}, {QUERY_SIDE} SELECT DISTINCT query_id, file FROM matched",
     "u2_merge_postings": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
         SELECT term, file, tf_count, num_terms FROM postings

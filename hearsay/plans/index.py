@@ -41,7 +41,7 @@ def build_index(corpus: DataFrame, stop_words: Iterable[str] | None = None) -> T
     """
     documents = ix.build_documents(corpus, stop_words)
     postings = ix.postings_from_documents(documents)
-    return TfIdfIndex(documents, postings, ix.lexicon_from_postings(postings))
+    return TfIdfIndex(documents, postings, ix.document_frequency(postings))
 
 
 def merge_indexes(old: TfIdfIndex, new: TfIdfIndex) -> TfIdfIndex:

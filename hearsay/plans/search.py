@@ -3,7 +3,6 @@
 Plan shape (one job, no per-query loop):
 
     query table: documents' term maps, exploded ⋈ query terms      J4
-                 (broadcast when the query side checks small)
     one query:   postings with term IN (...) pushed to Parquet      J3, J4
     lexicon ⋉ query terms → df → idf (N as scalar subquery)        A6, M2
     tf·idf per posting, sum per (query, file)                      M3, M4, A7
@@ -30,12 +29,10 @@ QUERY_SCHEMA = T.StructType([
 ])
 
 
-def scored_candidates(index: TfIdfIndex, queries: DataFrame, broadcast_queries: bool | None = None,
-                      pushdown_terms: Sequence[str] | None = None) -> DataFrame:
+def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Sequence[str] | None = None) -> DataFrame:
     """``(query_id, file, score)`` for every candidate of every query."""
     qterms = sc.query_terms(queries)
-    if broadcast_queries is None:
-        broadcast_queries = sc.fits(qterms, sc.BROADCAST_QUERY_TERMS)
+    literal = pushdown_terms is not None
     lexicon = index.lexicon
     if pushdown_terms is None:
         # A query table needs a full pass over the index anyway. Reading the
@@ -51,21 +48,20 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, broadcast_queries:
         terms = sorted(set(pushdown_terms))
         postings = postings.where(F.col("term").isin(terms))
         lexicon = lexicon.where(F.col("term").isin(terms))
-    matched = sc.match_terms(qterms, postings, broadcast_queries)
-    idfs = sc.query_idf(qterms, lexicon, index.n_documents(), broadcast_queries)
-    if broadcast_queries:
+    matched = sc.match_terms(qterms, postings, literal)
+    idfs = sc.query_idf(qterms, lexicon, index.n_documents(), literal)
+    if literal:
         idfs = F.broadcast(idfs)
     return sc.score_documents(sc.term_tf_idf(matched, idfs))
 
 
-def search_batch(index: TfIdfIndex, queries: DataFrame, k: int = 3, round_to: int | None = None,
-                 broadcast_queries: bool | None = None) -> DataFrame:
+def search_batch(index: TfIdfIndex, queries: DataFrame, k: int = 3, round_to: int | None = None) -> DataFrame:
     """Q3: top-k per query for a table ``(query_id, terms)``.
 
     Any number of terms per query (the socket front end's rule); queries
     with no known term produce no rows. Result ``(query_id, rank, file, score)``.
     """
-    scores = scored_candidates(index, queries, broadcast_queries)
+    scores = scored_candidates(index, queries)
     return sc.top_k_per_query(scores, k, round_to)
 
 
@@ -94,7 +90,7 @@ def search(index: TfIdfIndex, terms: Sequence[str], k: int = 3, max_terms: int |
         # One distinct term: each posting is a whole score (tf·idf), so no
         # aggregation and no shuffle; the top-k keeps k rows per task.
         return sc.top_k(_single_term_scores(index, queries, terms[0]), k, round_to)
-    scores = scored_candidates(index, queries, broadcast_queries=True, pushdown_terms=terms)
+    scores = scored_candidates(index, queries, pushdown_terms=terms)
     return sc.top_k(scores.drop("query_id"), k, round_to)
 
 

@@ -147,26 +147,26 @@ def _matched(spark, sf_dir):
 
 def j4_match_terms(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    return sc.match_terms(qterms, idx.postings, broadcast_queries=True)
+    return sc.match_terms(qterms, idx.postings)
 
 
 def j5_lookup_documents(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    cands = sc.candidate_documents(sc.match_terms(qterms, idx.postings, True))
+    cands = sc.candidate_documents(sc.match_terms(qterms, idx.postings))
     return ix.lookup_documents(idx.documents, cands).select("file", "num_terms", _tf_map_text().alias("tf_map"))
 
 
 def j6_query_term_frequencies(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    cands = sc.candidate_documents(sc.match_terms(qterms, idx.postings, True))
-    return sc.query_term_frequencies(idx.documents, cands, qterms)
+    matched = sc.match_terms(qterms, idx.postings)
+    return sc.query_term_frequencies(matched, sc.candidate_documents(matched), qterms)
 
 
 # ---- set operations -------------------------------------------------------
 
 def u1_candidate_documents(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    return sc.candidate_documents(sc.match_terms(qterms, idx.postings, True))
+    return sc.candidate_documents(sc.match_terms(qterms, idx.postings))
 
 
 def _merged(spark, sf_dir):
@@ -191,7 +191,7 @@ def m1_idf(spark, sf_dir):
 
 def m2_query_idf(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    return sc.query_idf(qterms, idx.lexicon, idx.n_documents(), True).select(
+    return sc.query_idf(qterms, idx.lexicon, idx.n_documents()).select(
         "query_id", "term", "df", _round("idf"))
 
 
@@ -203,8 +203,8 @@ def m3_tf(spark, sf_dir):
 
 def m4_tf_idf(spark, sf_dir):
     idx, qterms = _matched(spark, sf_dir)
-    matched = sc.match_terms(qterms, idx.postings, True)
-    idfs = sc.query_idf(qterms, idx.lexicon, idx.n_documents(), True)
+    matched = sc.match_terms(qterms, idx.postings)
+    idfs = sc.query_idf(qterms, idx.lexicon, idx.n_documents())
     return sc.term_tf_idf(matched, idfs).select("query_id", "file", "term", _round("tf_idf"))
 
 

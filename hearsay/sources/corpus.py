@@ -28,6 +28,11 @@ def spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
     return df.repartition(min_partitions) if n < min_partitions else df
 
 
+def _decoded(path):
+    """``_metadata.file_path`` is URL-encoded, but a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_corpus(spark: SparkSession, path: str, file_col: str = "file", text_col: str = "transcript",
                 fmt: str = "parquet", min_partitions: int | None = None) -> DataFrame:
     """S3: ready transcripts from Parquet / JSON / CSV / ORC, renamed to the corpus schema.
@@ -36,7 +41,7 @@ def read_corpus(spark: SparkSession, path: str, file_col: str = "file", text_col
     """
     if fmt == "text":
         df = spark.read.option("wholetext", "true").text(path).select(
-            F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "").alias("file"),
+            _decoded(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")).alias("file"),
             F.col("value").alias("transcript"))
     else:
         reader = spark.read.format(fmt)

@@ -7,6 +7,8 @@ Spark work: the user passes an extractor and Spark runs it inside tasks
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,25 +18,40 @@ from pyspark.sql import functions as F
 from hearsay.session import ship_package
 
 
+FILES_PER_TASK = 8
+
+
 def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataFrame:
     """``(file)`` for ``directory/*.fmt``, not recursive, absolute local paths.
 
     Only the ``path`` column is selected, so file contents are never read.
     Spark's file source also hides names starting with ``_`` or ``.``.
     """
+    # Listed recursively, so that a folder named like a partition (k=v) neither
+    # hides the files beside it nor adds its own; then only direct children stay.
     listed = (spark.read.format("binaryFile")
               .option("pathGlobFilter", f"*.{fmt}")
-              .option("recursiveFileLookup", "false")
-              .load(directory))
+              .option("recursiveFileLookup", "true")
+              .load(_escaped(directory)))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    own = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    plain = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
     # Hadoop paths are not URL-encoded here: only the scheme is removed.
-    return listed.select(F.regexp_replace(F.col("path"), r"^file:(//)?", "").alias("file"))
+    files = listed.select(plain(F.col("path")).alias("file"))
+    return files.where(F.regexp_replace("file", "/[^/]*$", "") == F.regexp_replace(plain(F.lit(own)), "/$", ""))
+
+
+def _escaped(path: str) -> str:
+    """A path whose characters Hadoop would take for a pattern are taken as they are."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callable[[str], str]],
                         num_tasks: int | None = None) -> DataFrame:
     """``(file, transcript)`` for each path, by a user extractor.
 
-    ``num_tasks`` spreads the (usually few, slow) files over that many tasks.
+    The files, few and slow, are spread over ``num_tasks`` tasks, by default
+    one for every ``FILES_PER_TASK`` of them.
     An extractor error fails the batch; committed batches are unaffected.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,9 +62,8 @@ def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callabl
 
     ship_package(sources.sparkSession)
     paths = sources.select("file")
-    if num_tasks:
-        paths = paths.repartition(num_tasks)
-    return paths.mapInPandas(run, "file string, transcript string")
+    count = num_tasks or max(1, math.ceil(paths.count() / FILES_PER_TASK))
+    return paths.repartition(count).mapInPandas(run, "file string, transcript string")
 
 
 def text_file_extractor(encoding: str = "utf-8") -> Callable[[str], str]:

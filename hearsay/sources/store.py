@@ -2,18 +2,19 @@
 
 Layout under ``root``::
 
-    documents/batch_id=<id>/   (file, transcription, term_frequencies, num_terms)
-    postings/batch_id=<id>/    (term, file, tf_count, num_terms), range-partitioned
+    documents/batch_id=<folder>/  (file, transcription, term_frequencies, num_terms)
+    postings/batch_id=<folder>/   (term, file, tf_count, num_terms), range-partitioned
                                and sorted by (term, file) → row groups prune on term
-    lexicon/batch_id=<id>/     (term, df) of that batch
+    lexicon/batch_id=<folder>/    (term, df) of that batch
     commits/batch_id=<id>/     one row per batch, written last; a compaction's row
                                lists the batches it replaces
     settings/                  the stop-word list, fixed when the index is created
 
-Two tables cannot be appended atomically together, so every write goes to
-its batch's own partitions (dynamic overwrite: a replay rewrites them, it
-never duplicates), and readers only see batches whose commit row exists.
-A crash mid-batch leaves nothing visible; replaying the batch finishes it.
+Two tables cannot be appended atomically together, so every attempt at a
+batch writes folders of its own, named ``<batch>.<attempt>``, and its commit
+row names them. Readers only see folders that a commit row names: a crash
+leaves nothing visible, and a replay starts afresh, whatever was left behind.
+One writer at a time: two appends at once could both take a file for new.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ COMMITS_SCHEMA = T.StructType([
     T.StructField("n_documents", T.LongType(), False),
     T.StructField("n_postings", T.LongType(), False),
     T.StructField("replaces", T.ArrayType(T.StringType(), False), False),
+    T.StructField("folder", T.StringType(), False),
     T.StructField("batch_id", T.StringType(), False),
 ])
 
@@ -42,9 +44,6 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.StringType(), False)])
 
 
-# Known paths up to which the anti-join broadcasts them (a path is ~100 bytes).
-BROADCAST_KNOWN_FILES = 1_000_000
-
 TABLES = {
     "documents": _with_batch(ix.DOCUMENTS_SCHEMA),
     "postings": _with_batch(ix.POSTINGS_SCHEMA),
@@ -96,7 +95,7 @@ class IndexStore:
 
         Commit rows are metadata (one per ingest or compaction), not data.
         """
-        rows = self.commits().select("batch_id", "n_documents", "n_postings", "replaces").collect()
+        rows = self.commits().select("batch_id", "folder", "n_documents", "n_postings", "replaces").collect()
         replaced = {b for r in rows for b in r["replaces"]}
         return sorted((r for r in rows if r["batch_id"] not in replaced), key=lambda r: r["batch_id"])
 
@@ -114,7 +113,7 @@ class IndexStore:
         cost of opening an index follows its visible batches, not its history.
         """
         need = "n_documents" if table == "documents" else "n_postings"
-        paths = [f"{self.path(table)}/batch_id={r['batch_id']}" for r in rows if r[need] > 0]
+        paths = [f"{self.path(table)}/batch_id={r['folder']}" for r in rows if r[need] > 0]
         if not paths:
             return self.spark.createDataFrame([], TABLES[table]).drop("batch_id")
         return (self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
@@ -167,59 +166,65 @@ class IndexStore:
         return (self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
                 .parquet(folder).drop("batch_id"))
 
-    def known_files(self, rows: list[Row]) -> tuple[DataFrame, int]:
-        """Paths of the given committed batches and their number (from commit rows, no scan)."""
-        return self._committed("documents", rows).select("file"), sum(r["n_documents"] for r in rows)
+    def known_files(self, rows: list[Row]) -> DataFrame:
+        """Paths of the given committed batches."""
+        return self._committed("documents", rows).select("file")
 
     def fresh_rows(self, corpus: DataFrame, rows: list[Row]) -> DataFrame:
         """J2 for a batch: rows of ``corpus`` whose file is new, one per file.
 
-        Transcripts are the bulk of the data, so they move only when needed:
-        uniqueness is checked on the ``file`` column alone (a partial count, no
-        text shuffled) and ``dropDuplicates`` runs only if a path repeats; the
-        anti-join is skipped for an empty index and broadcasts the known paths
-        when their count (read from commit rows) is within
-        ``BROADCAST_KNOWN_FILES``; beyond that it is a shuffle join on ``file``.
+        Rows without a transcript go first. What is new, and which paths
+        repeat, is found on the ``file`` column alone; only repeated paths are
+        resolved, each to its smallest transcript, and unique rows stay as
+        they are. AQE picks the joins from the sizes it finds.
         """
-        repeated = corpus.groupBy("file").count().where(F.col("count") > 1).limit(1).count() > 0
-        fresh = corpus.dropDuplicates(["file"]) if repeated else corpus
-        if not rows:
-            return fresh
-        known, n_known = self.known_files(rows)
-        if n_known <= BROADCAST_KNOWN_FILES:
-            known = F.broadcast(known)
-        return fresh.join(known, "file", "left_anti")
+        rows_with = corpus.where(F.col("transcript").isNotNull()).select("file", "transcript")
+        repeated = rows_with.groupBy("file").count().where(F.col("count") > 1).select("file")
+        once = rows_with.join(repeated, "file", "left_anti")
+        many = rows_with.join(repeated, "file", "left_semi").groupBy("file").agg(F.min("transcript").alias("transcript"))
+        fresh = once.unionByName(many)
+        return fresh.join(self.known_files(rows), "file", "left_anti") if rows else fresh
 
     def append(self, corpus: DataFrame, batch_id: str, assume_new: bool = False) -> int:
         """Index the new files of ``corpus`` as batch ``batch_id``; returns how many.
 
-        Safe to repeat: a committed batch is not redone, an uncommitted one is
-        rewritten in place. Files already in other committed batches are
+        Safe to repeat: a committed batch is not redone, an uncommitted one
+        starts afresh in folders of its own. Files already in other committed batches are
         skipped (path equality only); each path is taken once.
         ``assume_new`` skips that check for a corpus already reduced to new,
         distinct paths (``ingest_sources`` does it on paths before extraction,
         so the extractor is not run for a check).
         """
-        rows = self.commits().select("batch_id", "n_documents", "n_postings", "replaces").collect()
+        rows = self.commits().select("batch_id", "folder", "n_documents", "n_postings", "replaces").collect()
         if any(r["batch_id"] == batch_id for r in rows):   # committed, maybe compacted since
             return 0
         replaced = {b for r in rows for b in r["replaces"]}
         visible = [r for r in rows if r["batch_id"] not in replaced]
         # Committed batches only: never this batch's own rows.
         fresh = corpus if assume_new else self.fresh_rows(corpus, visible)
-        if self.stop_words is None:
-            self.stop_words = self.settings_stop_words()
-        documents = ix.build_documents(fresh, self.stop_words)
+        documents = ix.build_documents(fresh, self._stop_words())
 
-        self._overwrite(documents, "documents", batch_id)
+        folder = self._attempt(batch_id)
+        self._overwrite(documents, "documents", folder)
         # Counted from the written files (Parquet footers), not from task
         # accumulators, so retried tasks cannot skew it.
-        n = self._batch("documents", batch_id).count()
+        n = self._batch("documents", folder).count()
 
-        n_postings = self._write_postings_and_lexicon(batch_id)
-        self._commit(batch_id, n, n_postings, [])
+        n_postings = self._write_postings_and_lexicon(folder)
+        self._commit(batch_id, folder, n, n_postings, [])
         return n
 
+    @staticmethod
+    def _attempt(batch_id: str) -> str:
+        return f"{batch_id}.{uuid.uuid4().hex[:12]}"
+
+    def _stop_words(self) -> list[str]:
+        """The list fixed when the index was created; another one given on reopening is an error."""
+        fixed = self.settings_stop_words()
+        if self.stop_words is not None and list(self.stop_words) != fixed:
+            raise ValueError("the index was created with another stop-word list")
+        return fixed
+
     def _write_postings_and_lexicon(self, batch_id: str) -> int:
         """Write the batch's postings and lexicon; returns the number of postings."""
         # Postings come from the written documents' term maps: the transcripts
@@ -237,8 +242,8 @@ class IndexStore:
         self._overwrite(ix.document_frequency(written), "lexicon", batch_id)
         return written.count()
 
-    def _commit(self, batch_id: str, n: int, n_postings: int, replaces: list[str]) -> None:
-        marker = self.spark.createDataFrame([(n, n_postings, replaces, batch_id)], COMMITS_SCHEMA)
+    def _commit(self, batch_id: str, folder: str, n: int, n_postings: int, replaces: list[str]) -> None:
+        marker = self.spark.createDataFrame([(n, n_postings, replaces, folder, batch_id)], COMMITS_SCHEMA)
         self._overwrite(marker.drop("batch_id"), "commits", batch_id)
 
     # ---- maintenance ------------------------------------------------------
@@ -254,26 +259,36 @@ class IndexStore:
         if len(rows) <= 1:
             return None
         new_id = batch_id or f"compact-{uuid.uuid4().hex}"
-        self._overwrite(self._committed("documents", rows), "documents", new_id)
-        n = self._batch("documents", new_id).count()
-        n_postings = self._write_postings_and_lexicon(new_id)
-        self._commit(new_id, n, n_postings, [r["batch_id"] for r in rows])
+        folder = self._attempt(new_id)
+        self._overwrite(self._committed("documents", rows), "documents", folder)
+        n = self._batch("documents", folder).count()
+        n_postings = self._write_postings_and_lexicon(folder)
+        # What the replaced batches replaced is named too, so that dropping their
+        # commit rows brings nothing back.
+        replaces = {b for r in rows for b in (r["batch_id"], *r["replaces"])}
+        self._commit(new_id, folder, n, n_postings, sorted(replaces))
         return new_id
 
     def vacuum(self) -> list[str]:
         """Delete the folders (and commit rows) of batches a committed compaction replaced."""
-        rows = self.commits().select("batch_id", "replaces").collect()
-        replaced = sorted({b for r in rows for b in r["replaces"]})
+        rows = self.commits().select("batch_id", "folder", "replaces").collect()
+        replaced = {b for r in rows for b in r["replaces"]}
+        gone = sorted((r for r in rows if r["batch_id"] in replaced), key=lambda r: r["batch_id"])
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for b in replaced:
-            # Commit rows go too, so the commit table stays as small as the set of
-            # visible batches. A later replay of such an id finds every file
-            # already indexed and commits an empty batch.
-            for table in ("documents", "postings", "lexicon", "commits"):
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/batch_id={b}")
-                path.getFileSystem(conf).delete(path, True)
-        return replaced
+
+        def delete(table: str, folder: str) -> None:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/batch_id={folder}")
+            path.getFileSystem(conf).delete(path, True)
+
+        # A visible batch names all that it stands for, so any order of deletion
+        # shows the same snapshot. A commit row goes last: until then a rerun
+        # still finds its folder.
+        for r in gone:
+            for table in ("documents", "postings", "lexicon"):
+                delete(table, r["folder"])
+            delete("commits", r["batch_id"])
+        return [r["batch_id"] for r in gone]
 
 
 # ---- the inventory's function names -----------------------

@@ -20,9 +20,9 @@ from hearsay.operators.indexing import analyze
 
 def document_frequency_stream(corpus_stream: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """Streaming ``(term, df)``; use update mode (``write_frequency_updates``)."""
-    docs = corpus_stream.dropDuplicates(["file"])
-    runs = analyze(docs, stop_words)
-    terms = runs.select(F.explode_outer("runs.term").alias("term")).where(F.col("term").isNotNull())
+    # Only a file's distinct terms are shuffled to the seen paths, not its transcript.
+    runs = analyze(corpus_stream, stop_words).select("file", F.col("runs.term").alias("terms"))
+    terms = runs.dropDuplicates(["file"]).select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -30,13 +30,11 @@ def write_frequency_updates(df_stream: DataFrame, path: str, checkpoint: str, na
                             available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
     """Append each epoch's changed ``(term, df)`` rows under ``epoch=<n>``.
 
-    A replayed epoch overwrites its own folder (dynamic overwrite), so the
-    table never double counts; ``read_frequency_state`` keeps the latest.
+    A replayed epoch overwrites its own folder, so the table never double counts; ``read_frequency_state`` keeps the latest.
     """
     def each(batch: DataFrame, epoch_id: int) -> None:
-        (batch.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("epoch").parquet(path))
+        # The folder itself is overwritten, so a replay that has no rows leaves none.
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
 
     writer = (df_stream.writeStream.queryName(name).outputMode("update").foreachBatch(each)
               .option("checkpointLocation", checkpoint))

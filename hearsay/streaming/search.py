@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hearsay.plans.index import TfIdfIndex
@@ -26,9 +25,8 @@ def search_stream(query_stream: DataFrame, index: TfIdfIndex | Callable[[], TfId
     def each(batch: DataFrame, epoch_id: int) -> None:
         snapshot = index() if callable(index) else index
         res = search_batch(snapshot, batch, k, round_to=round_to)
-        (res.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch").parquet(results_path))
+        # The folder itself is overwritten, so a replay that has no rows leaves none.
+        res.write.mode("overwrite").parquet(f"{results_path}/epoch={epoch_id}")
 
     writer = query_stream.writeStream.queryName(name).foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

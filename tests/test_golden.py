@@ -105,8 +105,9 @@ def test_parse_query(spark):
 
 def test_query_term_frequencies_dense(golden_index, spark):
     q = sc.query_terms(query_frame(spark, ["ice", "baby"]))
-    cands = sc.candidate_documents(sc.match_terms(q, golden_index.postings, True))
-    got = rows(sc.query_term_frequencies(golden_index.documents, cands, q), "file", "term", "tf_count")
+    matched = sc.match_terms(q, golden_index.postings)
+    got = rows(sc.query_term_frequencies(matched, sc.candidate_documents(matched), q), "file", "term", "tf_count")
+
     assert got == [("/v/a.mp4", "baby", 0), ("/v/a.mp4", "ice", 1), ("/v/b.mp4", "baby", 1), ("/v/b.mp4", "ice", 2)]
 
 
