@@ -32,7 +32,7 @@ def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataF
     listed = (spark.read.format("binaryFile")
               .option("pathGlobFilter", f"*.{fmt}")
               .option("recursiveFileLookup", "true")
-              .load(_escaped(directory)))
+              .load(_loose(directory)))
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
     own = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     plain = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
@@ -41,9 +41,9 @@ def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataF
     return files.where(F.regexp_replace("file", "/[^/]*$", "") == F.regexp_replace(plain(F.lit(own)), "/$", ""))
 
 
-def _escaped(path: str) -> str:
-    """A path whose characters Hadoop would take for a pattern are taken as they are."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+def _loose(path: str) -> str:
+    """A pattern for a path that holds pattern characters; the exact parent is checked afterwards."""
+    return re.sub(r"[\\*?\[\]{}]", "?", path)
 
 
 def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callable[[str], str]],
