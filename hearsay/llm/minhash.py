@@ -13,8 +13,10 @@ fewer words the whole sequence is its one shingle.
 4. Links are confirmed on the full sets, and components found.
 5. What a star can miss are links between components that meet in a bucket
    without both touching its centre. For those buckets alone, nodes of
-   different components are compared, by set size and a 256-bit sketch within
-   the join, and the pairs that may reach the threshold are confirmed likewise.
+   different components are compared within the join: by set size, by a 256-bit
+   sketch, and by how each is known to differ from the bucket's centre, which
+   bounds how alike they can be. Pairs that may reach the threshold are confirmed
+   likewise.
 
 With 42 bands of 6 bins, a pair at the threshold of 0.8 shares no bucket with
 probability 3e-6. No bucket is capped.
@@ -43,7 +45,7 @@ SIZE = 5
 THRESHOLD = (80, 100)       # links have 100 * intersection >= 80 * union
 # The sketch keeps one bit of each bin. At a similarity of 0.8 about 230 of 256
 # bits agree, with a deviation of 5; sets under SKETCHED shingles are not judged by it.
-SKETCH_AGREE, SKETCHED = 200, 64
+SKETCH_AGREE, SKETCHED = 200, 128
 
 
 @lru_cache(maxsize=1)
@@ -120,8 +122,12 @@ def _sizes_allow(n: str, m: str, threshold: tuple[int, int]):
     return F.least(n, m) * threshold[1] >= F.greatest(n, m) * threshold[0]
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets reach the threshold."""
+def judged(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """``(a, b, linked, d, d0..d3)`` of each pair from its full shingle sets.
+
+    ``d`` counts the shingles that only one has; ``d0..d3`` are 256 bits, one
+    of them set for each of those shingles.
+    """
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -133,16 +139,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[in
         for batch in batches:
             for part in text_slices([batch], "text_a"):
                 sets = shingles(*words(part.column(2).to_pylist(), lower=True), size)
-                keep = []
-                for found, text in zip(sets, part.column(3)):
+                linked, differ, bits = [], [], np.zeros((part.num_rows, 32), np.uint8)
+                for i, (found, text) in enumerate(zip(sets, part.column(3))):
                     text = text.as_py()
                     if text != last:
                         last, own = text, shingles(*words([text], lower=True), size)[0]
-                    both = len(np.intersect1d(found, own, assume_unique=True))
-                    keep.append(both * whole >= least * (len(found) + len(own) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    return map_arrow(both, run, f"a {id_type}, b {id_type}")
+                    only = np.setxor1d(found, own, assume_unique=True)
+                    both, either = (len(found) + len(own) - len(only)) // 2, (len(found) + len(own) + len(only)) // 2
+                    linked.append(both * whole >= least * either)
+                    differ.append(len(only))
+                    spots = np.zeros(256, np.uint8)
+                    spots[(mix(only, 14) >> np.uint64(56)).astype(np.int64)] = 1
+                    bits[i] = np.packbits(spots)
+                lanes = bits.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(differ, pa.int64()),
+                     *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(4))],
+                    names=["a", "b", "linked", "d", "d0", "d1", "d2", "d3"])
+
+    return map_arrow(both, run, f"a {id_type}, b {id_type}, linked boolean, d long, d0 long, d1 long, d2 long, d3 long")
+
+
+def _may_link(threshold: tuple[int, int]):
+    """Whether two nodes of a bucket can reach the threshold, from how they differ from its centre.
+
+    The shingles that tell x and y apart are those that tell exactly one of them
+    from the centre. Each bit that only x has stands for a shingle at least that
+    x does not share with y, which bounds the shared ones from above.
+    """
+    least, whole = threshold
+    lone = [sum((F.bit_count(F.col(f"d{i}_{p}").bitwiseAND(F.bitwise_not(F.col(f"d{i}_{q}")))) for i in range(4)), F.lit(0))
+            for p, q in ((1, 2), (2, 1))]
+    shared = F.least(F.col("d_1") - lone[0], F.col("d_2") - lone[1])
+    apart = F.col("d_1") + F.col("d_2") - 2 * shared
+    return F.coalesce(apart * (whole + least) <= (F.col("n_1") + F.col("n_2")) * (whole - least), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
@@ -169,25 +199,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     paired = stored(members.select(F.col("a").alias("id")).distinct(), "paired")
     bodies = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
     texts = stored(IdFilter(paired, "id").rows(bodies, "id").join(paired, "id", "left_semi"), "texts")
-    links = stored(confirmed(pairs, texts, size, threshold), "links")
-    labels = connected_components(links)
+    stars = stored(judged(pairs, texts, size, threshold), "stars")
+    labels = connected_components(stars.where("linked"))
 
     labelled = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
         "bucket", "a", "n", F.coalesce("component", "a").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    sketches = signed_nodes.select(F.col("id").alias("a"), "s0", "s1", "s2", "s3")
-    open_members = stored(labelled.join(mixed, "bucket").join(sketches, "a"), "open")
-    one = open_members.select("bucket", *(F.col(c).alias(f"{c}_1") for c in open_members.columns if c != "bucket"))
-    two = open_members.select("bucket", *(F.col(c).alias(f"{c}_2") for c in open_members.columns if c != "bucket"))
+    mixed = mixed.join(centres.select("bucket", "b"), "bucket")
+    open_members = stored(labelled.join(mixed, "bucket"), "open")
+    # Two nodes meet once, in the first bucket that they share.
+    facts = open_members.groupBy("a").agg(F.sort_array(F.collect_list("bucket")).alias("all")).join(
+        signed_nodes.select(F.col("id").alias("a"), "s0", "s1", "s2", "s3"), "a")
+    own = F.col("a") == F.col("b")
+    known = open_members.join(facts, "a").join(stars.drop("linked"), ["a", "b"], "left").select(
+        "bucket", "a", "n", "label", "all", "s0", "s1", "s2", "s3",
+        *(F.when(own, 0).otherwise(F.col(c)).alias(c) for c in ("d", "d0", "d1", "d2", "d3")))
+    one = known.select("bucket", *(F.col(c).alias(f"{c}_1") for c in known.columns if c != "bucket"))
+    two = known.select(F.col("bucket").alias("bucket_2"), *(F.col(c).alias(f"{c}_2") for c in known.columns if c != "bucket"))
     differ = sum((F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(4)), F.lit(0))
-    rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label_1") < F.col("label_2"))
+    rest = one.join(two, (F.col("bucket") == F.col("bucket_2")) & (F.col("label_1") < F.col("label_2"))
                     & _sizes_allow("n_1", "n_2", threshold)
-                    & ((F.least("n_1", "n_2") < SKETCHED) | (differ <= BINS - SKETCH_AGREE)))
+                    & ((F.least("n_1", "n_2") < SKETCHED) | (differ <= BINS - SKETCH_AGREE))
+                    & _may_link(threshold)
+                    & (F.array_min(F.array_intersect("all_1", "all_2")) == F.col("bucket")))
     # The centre's pairs were judged already; a pair's order there is (member, centre).
     rest = rest.select(F.col("a_1").alias("a"), F.col("a_2").alias("b")).distinct()
     tested = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    more = confirmed(rest, texts, size, threshold)
+    more = judged(rest, texts, size, threshold).where("linked")
     labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
 
     out = rows.join(labels, "node", "left")
