@@ -2,8 +2,8 @@
 
 Large-star and small-star steps alternate: each links a node's neighbours to the
 smallest of them, until every edge leads from a node to its component's smallest
-node. Minima are combined before they are shuffled and joined back to the edges,
-so a node with very many neighbours is split like any skewed join.
+node. Minima are combined before they are shuffled, stored, and joined back to
+the edges, so a node with very many neighbours is split like any skewed join.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ def _links(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return _links(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     return _links(edges.join(least, "u").select(F.explode(F.array(
         F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*"))
 

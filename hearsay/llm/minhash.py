@@ -180,19 +180,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """``(key, n_shingles, component_id, kept)`` per row; ``kept`` marks the smallest id of a component."""
     signed = stored(signatures(docs, key, text, size), "signed")
     whole = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    sets = whole.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"))
+    # What is joined back to its own rows is stored first: then both sides come
+    # straight from a shuffle, and Spark splits a key that very many rows share.
+    sets = stored(whole.groupBy("f1", "f2", "n").agg(F.min("id").alias("node")), "sets")
     rows = stored(signed.select("id", "n", "f1", "f2").join(sets, ["f1", "f2", "n"], "left")
                   .select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
     nodes = rows.where(F.col("id") == F.col("node")).select("id").distinct()
     signed_nodes = whole.join(nodes, "id", "left_semi")
 
     spread = signed_nodes.select(F.col("id").alias("a"), "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1), "shared")
     members = stored(spread.join(shared, "bucket"), "members")
 
     central = members.groupBy("a").agg(F.sum("size").alias("score"))
-    centres = members.join(central, "a").groupBy("bucket").agg(
-        F.max(F.struct(F.col("score"), F.col("n").alias("m"), F.col("a").alias("b"))).alias("c")).select("bucket", "c.b", "c.m")
+    centres = stored(members.join(central, "a").groupBy("bucket").agg(
+        F.max(F.struct(F.col("score"), F.col("n").alias("m"), F.col("a").alias("b"))).alias("c")).select("bucket", "c.b", "c.m"), "centres")
     stars = members.join(centres, "bucket").where((F.col("a") != F.col("b")) & _sizes_allow("n", "m", threshold))
     pairs = stored(stars.select("a", "b").distinct(), "pairs")
 
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     labelled = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
         "bucket", "a", "n", F.coalesce("component", "a").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    mixed = mixed.join(centres.select("bucket", "b"), "bucket")
+    mixed = stored(mixed.join(centres.select("bucket", "b"), "bucket"), "mixed")
     open_members = stored(labelled.join(mixed, "bucket"), "open")
     # Two nodes meet once, in the first bucket that they share.
     facts = open_members.groupBy("a").agg(F.sort_array(F.collect_list("bucket")).alias("all")).join(

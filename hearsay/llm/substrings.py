@@ -130,9 +130,13 @@ def open_windows(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that more than one id has, with the smallest."""
+    """The keys that more than one id has, with the smallest; stored.
+
+    Joined back to the rows, both sides then come straight from a shuffle, and
+    Spark splits a key that very many rows share.
+    """
     both = rows.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return both.where("least <> most").select(*keys, "least")
+    return stored(both.where("least <> most").select(*keys, "least"), "shared")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
