@@ -221,7 +221,8 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
     totals = totals.select(length, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy(length, "_share").orderBy(*order)) - 1
     numbered = rows.withColumn("_row", number).join(totals, [length, "_share"])
-    chosen = numbered.select(F.col(length).cast("long").alias("_length"), (F.col("_before") + F.col("_row")).alias("_number"), *pieces.columns)
+    # No more files than shares: few rows need few.
+    chosen = numbered.coalesce(shares).select(F.col(length).cast("long").alias("_length"), (F.col("_before") + F.col("_row")).alias("_number"), *pieces.columns)
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches):

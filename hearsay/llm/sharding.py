@@ -150,4 +150,5 @@ def with_slots(rows: DataFrame, shard: str = "shard", order: tuple[str, ...] = (
     totals = totals.select(shard, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     row = F.row_number().over(Window.partitionBy(shard, "_share").orderBy(*order)) - 1
     numbered = salted.withColumn("_row", row).join(totals, [shard, "_share"])
-    return numbered.select(*rows.columns, (F.col("_before") + F.col("_row")).alias("slot"))
+    # No more files than shares: few rows need few.
+    return numbered.coalesce(shares).select(*rows.columns, (F.col("_before") + F.col("_row")).alias("slot"))
