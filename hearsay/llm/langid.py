@@ -67,13 +67,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     middle = F.greatest(F.lit(1), (F.char_length("text") / 2 - excerpt_chars / 2).cast("int"))
     sample = some.select("lang", F.xxhash64("text").alias("h"), F.substring("text", middle, F.lit(excerpt_chars)).alias("text"))
-    # A hash keeps about SPARE times the rows wanted of each language, and copies count once.
-    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # A hash keeps about SPARE times the texts wanted of each language; copies count once.
+    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, SPARE * rows_per_language / n))))
+    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, SPARE * rows_per_language / max(n, 1)))))
     sample = sample.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
     order = Window.partitionBy("lang").orderBy("h")
     few = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
@@ -115,9 +115,8 @@ def judge(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompresso
     return compressors[order[0]][0], score, margin, margin < min_margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-            min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``(*keep, lang_pred, score, margin, rejected)`` per row; the text is among them if kept."""
+def _judged(docs: DataFrame, dictionaries: dict[str, bytes], text: str, keep: tuple[str, ...], min_margin: float) -> DataFrame:
+    """``(_keep0.., lang_pred, score, margin, rejected)`` per row."""
     content = tuple(sorted(dictionaries.items()))
     kept = [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
     chosen = docs.select(docs[text].cast("string").alias("text"), *kept)
@@ -135,8 +134,13 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     own = [f"_keep{i}" for i in range(len(keep))]
     names = [*own, "lang_pred", "score", "margin", "rejected"]
     schema = ", ".join([*(f"{o} {t}" for o, t in zip(own, types)), "lang_pred string, score double, margin double, rejected boolean"])
-    out = map_arrow(chosen, run, schema)
-    return out.select(*(F.col(o).alias(c) for o, c in zip(own, keep)), "lang_pred", "score", "margin", "rejected")
+    return map_arrow(chosen, run, schema)
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", key: str = "doc_id",
+            min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``(key, lang_pred, score, margin, rejected)`` per row."""
+    return _judged(docs, dictionaries, text, (key,), min_margin).withColumnRenamed("_keep0", key)
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -147,5 +151,5 @@ def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 def keep_documents(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                    min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    out = predict(docs, dictionaries, text, tuple(docs.columns), min_margin)
-    return out.where(~F.col("rejected")).select(*docs.columns)
+    out = _judged(docs, dictionaries, text, tuple(docs.columns), min_margin).where(~F.col("rejected"))
+    return out.select(*(F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -244,6 +244,6 @@ def keep_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     Repeated rows of one id count as one document, and one row of them stays;
     rows with a null id all stay.
     """
-    found = near_duplicates(docs, key, text, size, threshold).where(F.col("kept")).select(F.col(key).alias("_id")).dropna().distinct()
-    with_id = docs.join(found, docs[key] == found["_id"]).drop("_id").dropDuplicates([key])
+    found = near_duplicates(docs, key, text, size, threshold).where(F.col("kept")).select(F.col(key).alias("_kept_id_")).dropna().distinct()
+    with_id = docs.join(found, docs[key] == found["_kept_id_"]).drop("_kept_id_").dropDuplicates([key])
     return with_id.union(docs.where(docs[key].isNull()))

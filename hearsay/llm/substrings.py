@@ -162,12 +162,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return copies.join(lost, "id", "full_outer").select(F.col("id").alias(key), "prints", "hashes")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
-                    keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
-    """``(key, *keep, n_words, n_removed, text)`` per row; the text is its kept words joined by one space.
-
-    Without ``rejoin`` a text that loses nothing stays as it is.
-    """
+def _cut(docs: DataFrame, key: str, text: str, size: int, keep: tuple[str, ...], rejoin: bool) -> DataFrame:
+    """``(_key, _keep0.., _words, _removed, _text)``; without ``rejoin`` a text that loses nothing stays as it is."""
     kept = [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
     own = [f"_keep{i}" for i in range(len(keep))]
     lost = stored(repeats(docs, key, text, size).select(F.col(key).alias("_id"), "prints", "hashes"), "lost")
@@ -207,9 +203,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                         out[i] = " ".join([found[k] for k in np.flatnonzero(~gone).tolist()])
             yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(count), pa.array(removed), pa.array(out, pa.string())], names=names)
 
-    names = ["_key", *own, "n_words", "n_removed", "_text"]
-    found = map_arrow(rows, run, ", ".join([*types, "n_words long, n_removed long, _text string"]))
-    return found.select(F.col("_key").alias(key), *(F.col(o).alias(c) for o, c in zip(own, keep)), "n_words", "n_removed", F.col("_text").alias(text))
+    names = ["_key", *own, "_words", "_removed", "_text"]
+    return map_arrow(rows, run, ", ".join([*types, "_words long, _removed long, _text string"]))
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """``(key, n_words, n_removed, text)`` per row; the text is its kept words joined by one space."""
+    return _cut(docs, key, text, size, (), True).select(
+        F.col("_key").alias(key), F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_text").alias(text))
 
 
 def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -218,5 +219,6 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     Texts that lose nothing stay as they are; texts that lose every word go.
     """
     rest = tuple(c for c in docs.columns if c not in (key, text))
-    cut = without_repeats(docs, key, text, size, rest, rejoin=False)
-    return cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*docs.columns)
+    cut = _cut(docs, key, text, size, rest, False).where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_words")))
+    now = {key: "_key", text: "_text"} | {c: f"_keep{i}" for i, c in enumerate(rest)}
+    return cut.select(*(F.col(now[c]).alias(c) for c in docs.columns))

@@ -1,0 +1,90 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from hearsay.llm import bpe
+from hearsay.llm.queries import BYTE_TOKENIZER
+from llm.conftest import ODD_TEXTS
+
+tokenizers = pytest.importorskip("tokenizers")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(BYTE_TOKENIZER))
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.MergeTable(bpe.read_tokenizer(public_tokenizers.path(BYTE_TOKENIZER))))
+
+
+def ids(encoder, text):
+    return np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist()
+
+
+@pytest.mark.parametrize("text", [t for t in ODD_TEXTS if t is not None])
+def test_ids_and_decoding_match_the_library(encoder, library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids(encoder, text) == want
+    assert bpe.decode(encoder.table, np.array(want, "<u4").tobytes()) == library.decode(want, skip_special_tokens=False) == text
+
+
+def test_long_pretokens_pass_the_transducer_in_blocks(encoder, library):
+    rng = random.Random(3)
+    for letters in ("ab", "etaoin", "=-", "aA"):
+        text = "".join(rng.choice(letters) for _ in range(4000))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids(encoder, text) == want
+        for step in (1, 7, 1000):
+            data = text.encode()
+            if len(encoder.pieces(text)) == 1:
+                assert list(encoder.transduce(data[i:i + step] for i in range(0, len(data), step))) == want
+
+
+def test_lookahead_bounds_what_more_text_changes(encoder):
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice("theaoinsr") for _ in range(600)).encode()
+        short = encoder.merged([encoder.table.of_byte[b] for b in text[:500]])
+        whole = encoder.merged([encoder.table.of_byte[b] for b in text])
+        done = 0
+        for a, b in zip(short, whole):
+            done += len(encoder.table.token_bytes[a])
+            if done > 500 - encoder.table.lookahead:
+                break
+            assert a == b
+
+
+def test_lookahead_of_a_small_merge_list():
+    assert bpe.sufficient_lookahead([]) == 0
+    assert bpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 2     # "ab|c": b may go right, then a is free
+    with pytest.raises(ValueError):
+        bpe.sufficient_lookahead([("ab", "c")])
+
+
+def test_decoder_keeps_partial_characters_between_feeds(encoder):
+    table = encoder.table
+    data = "é🙂".encode()
+    decoder = bpe.Decoder(table)
+    parts = [decoder.feed([table.of_byte[b]]) for b in data]
+    assert "".join(parts) + decoder.finish() == "é🙂"
+    assert bpe.decode(table, np.array([table.of_byte[0xC3]], "<u4").tobytes()) == "�"
+
+
+def test_documents(odd_documents, empty_documents, library):
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    coded = bpe.encode_documents(odd_documents, path, decoded=True)
+    texts = {r["doc_id"]: r["text"] for r in odd_documents.collect()}
+    rows = coded.collect()
+    assert len(rows) == odd_documents.count()
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert hashlib.sha256(r["decoded"].encode()).digest() == hashlib.sha256(text.encode()).digest()
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(coded, path).collect()}
+    assert back == {k: t or "" for k, t in texts.items()}
+    assert bpe.encode_documents(empty_documents, path).count() == 0
