@@ -27,7 +27,6 @@ def test_batch_search_plan(spark, golden_index):
     queries = spark.createDataFrame([("q1", ["ice"]), ("q2", ["score"])], "query_id string, terms array<string>")
     p = plan(search_batch(golden_index, queries, 3))
     assert "WindowGroupLimit" in p and "Partial" in p
-    assert "BroadcastHashJoin" in p
     assert "BatchEvalPython" not in p and "MapInPandas" not in p
 
 
