@@ -5,9 +5,15 @@ sides: an embedding for each place and word, summed, a tanh, and a softmax in
 two steps, class and word within class. A document's score is the sum of its
 words' conditional log-probabilities.
 
-The vocabulary is the ``VOCABULARY`` most frequent words, counted by Spark over
-the whole corpus; the other words share one entry, and their probability is
-shared evenly among them. Training goes over the whole corpus in ``ROUNDS``
+The lexicon holds every word of the corpus with its count, in a stored table that
+grows with the corpus. The softmax covers the ``VOCABULARY`` most frequent words
+and one entry for all others. Among the others, a word has its own corpus
+frequency: a target's probability is the entry's times the word's count over the
+count of all others. Of these words, at most ``COMMON`` are sent to the tasks;
+the rest are looked up by a join with the table. In a context, a word outside the
+softmax adds the sum of two hashed embeddings to the entry's; their number grows
+with the root of the number of words, so that few words share both. A word that
+the lexicon does not have counts as if seen once. Training goes over the whole corpus in ``ROUNDS``
 rounds. In each, a share of the positions is masked, other ones every round;
 every ``SHARD_WORDS`` words train a copy of the model from where the round
 began, Spark sums the changes weighted by positions, and the mean is the next
@@ -22,7 +28,7 @@ gives an empty result. Columns other than key and text are left out.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,11 @@ from pyspark.sql import functions as F
 from hearsay.llm.tasks import map_arrow, stored, text_slices
 from hearsay.llm.wordhash import mix, words
 
+NONE = np.zeros(0, np.uint64)
+
 CLASSES = 32
 VOCABULARY = CLASSES * 32 - 1       # and one entry for all other words
+COMMON = 1 << 18                    # at most so many other words are sent to the tasks
 REACH = 2
 WIDTH = 24
 ROUNDS = 2
@@ -46,18 +55,36 @@ SEED = 5
 
 @dataclass
 class Lexicon:
-    """Known words by the hash of their lower-case form, and how many others there are."""
+    """Words by the hash of their lower-case form: those of the softmax, and the others with their counts."""
 
     hashes: np.ndarray          # sorted
     ids: np.ndarray             # entry of each; 0 is the other words
     counts: np.ndarray          # by entry
     others: int
+    common: np.ndarray = field(default_factory=NONE.copy)           # the most frequent others, sorted
+    common_counts: np.ndarray = field(default_factory=NONE.copy)
+    table: DataFrame | None = None                                  # stored (word, n) of all words
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0)
+        return _find(self.hashes, self.ids, hashes)
+
+    def common_count(self, hashes: np.ndarray) -> np.ndarray:
+        """The counts of words outside the softmax; 0 for those that are not sent to the tasks."""
+        return _find(self.common, self.common_counts.astype(np.int64), hashes)
+
+    @property
+    def buckets(self) -> int:
+        return 1 << math.ceil(2 + math.log2(self.others) / 2)
+
+    def without_table(self) -> Lexicon:
+        return replace(self, table=None)
+
+
+def _find(known: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, values[at], 0)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,8 +95,9 @@ def _hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return words([t or "" for t in part.column(1).to_pylist()], lower=True)
 
 
-def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> Lexicon:
-    """The most frequent words of all documents; ties go to the smaller hash."""
+def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY,
+                common: int = COMMON) -> Lexicon:
+    """All words of all documents. Ties for the softmax go to the smaller hash."""
 
     def run(batches):
         for part in text_slices(batches, max_bytes=8 << 20):
@@ -84,7 +112,18 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     counts = np.zeros(vocabulary + 1)
     counts[1:len(table) + 1] = table[:, 1]
     counts[0] = (totals["n"] or 0) - table[:, 1].sum()
-    return Lexicon(table[order, 0].view(np.uint64), order + 1, counts, max(1, totals["types"] - len(table)))
+    # The others from the count on at which no more than ``common`` words are left.
+    least, left = math.inf, common + len(table)
+    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toPandas().itertuples(index=False):     # distinct counts, few
+        left -= r[1]
+        if left < 0:
+            break
+        least = r[0]
+    sent = counted.where(F.col("n") >= least).toPandas().to_numpy(np.int64) if least < math.inf else np.zeros((0, 2), np.int64)
+    sent = sent[~np.isin(sent[:, 0], table[:, 0])]
+    sent = sent[np.argsort(sent[:, 0].view(np.uint64))]
+    return Lexicon(np.ascontiguousarray(table[order, 0]).view(np.uint64), order + 1, counts, max(1, totals["types"] - len(table)),
+                   np.ascontiguousarray(sent[:, 0]).view(np.uint64), sent[:, 1], counted)
 
 
 class Network:
@@ -94,7 +133,8 @@ class Network:
         size = len(lexicon.counts)
         within = size // CLASSES
         shapes = {"embed": (2 * REACH, size + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
-                  "to_word": (CLASSES, WIDTH, within), "word_bias": (CLASSES, within)}
+                  "to_word": (CLASSES, WIDTH, within), "word_bias": (CLASSES, within),
+                  "rare": (lexicon.buckets, WIDTH)}
         total = sum(math.prod(s) for s in shapes.values())
         fresh = flat is None
         self.flat = np.random.default_rng(SEED).normal(0, 0.1, total).astype(np.float32) if fresh else flat.astype(np.float32)
@@ -110,53 +150,79 @@ class Network:
             self.views["class_bias"][:] = np.log(by_class.sum(axis=1))
             self.views["word_bias"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def hidden(self, context: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        """``rare``: for each place of a context, the two buckets of the word if it is one of the others."""
         v = self.views
         total = np.repeat(v["bias"][None, :], len(context), axis=0)
         for k in range(2 * REACH):
             total += v["embed"][k][context[:, k]]
+            if rare is not None:
+                some = np.flatnonzero(context[:, k] == 0)
+                total[some] += v["rare"][rare[0, some, k]] + v["rare"][rare[1, some, k]]
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        v, h = self.views, self.hidden(context)
-        cls, word = target % CLASSES, target // CLASSES
-        logits = h @ v["to_class"] + v["class_bias"]
-        out = logits[np.arange(len(h)), cls] - _log_sum(logits)
-        for c, rows in _by_class(cls):
-            logits = h[rows] @ v["to_word"][c] + v["word_bias"][c]
-            out[rows] += logits[np.arange(len(rows)), word[rows]] - _log_sum(logits)
+    def _within(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Logits of the words of each row's class; rows are sorted by class."""
+        v, logits = self.views, np.empty((len(h), self.within), np.float32)
+        for c, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                np.matmul(h[a:b], v["to_word"][c], out=logits[a:b])
+                logits[a:b] += v["word_bias"][c]
+        return logits
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        order, cls, edges = _by_class(target)
+        v, h, word = self.views, self.hidden(context, rare)[order], target[order] // CLASSES
+        every, out = np.arange(len(h)), np.empty(len(h), np.float32)
+        logits, within = h @ v["to_class"] + v["class_bias"], self._within(h, edges)
+        out[order] = logits[every, cls] - _log_sum(logits) + within[every, word] - _log_sum(within)
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def gradient(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         """Gradient of the summed negative log-probability."""
-        v, h = self.views, self.hidden(context)
+        order, cls, edges = _by_class(target)
+        context, word = context[order], target[order] // CLASSES
+        rare = None if rare is None else rare[:, order]
+        v, h = self.views, self.hidden(context, rare)
         grown = np.zeros_like(self.flat)
         g = Network.__new__(Network)
         g.flat, g.views, at = grown, {}, 0
         for name, view in v.items():
             g.views[name] = grown[at:at + view.size].reshape(view.shape)
             at += view.size
-        cls, word = target % CLASSES, target // CLASSES
+        every = np.arange(len(h))
         error = _softmax(h @ v["to_class"] + v["class_bias"])
-        error[np.arange(len(h)), cls] -= 1
+        error[every, cls] -= 1
         g.views["to_class"][:], g.views["class_bias"][:] = h.T @ error, error.sum(axis=0)
         back = error @ v["to_class"].T
-        for c, rows in _by_class(cls):
-            error = _softmax(h[rows] @ v["to_word"][c] + v["word_bias"][c])
-            error[np.arange(len(rows)), word[rows]] -= 1
-            g.views["to_word"][c], g.views["word_bias"][c] = h[rows].T @ error, error.sum(axis=0)
-            back[rows] += error @ v["to_word"][c].T
+        error = _softmax(self._within(h, edges))
+        error[every, word] -= 1
+        for c, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                g.views["to_word"][c], g.views["word_bias"][c] = h[a:b].T @ error[a:b], error[a:b].sum(axis=0)
+                back[a:b] += error[a:b] @ v["to_word"][c].T
         back *= 1 - h * h
         g.views["bias"][:] = back.sum(axis=0)
         for k in range(2 * REACH):
-            np.add.at(g.views["embed"][k], context[:, k], back)
+            _add_rows(g.views["embed"][k], context[:, k], back)
+            if rare is not None:
+                some = np.flatnonzero(context[:, k] == 0)
+                _add_rows(g.views["rare"], rare[:, some, k].ravel(), np.concatenate([back[some]] * 2))
         return grown
 
 
-def _by_class(cls: np.ndarray):
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return [(c, order[edges[c]:edges[c + 1]]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``to[at] += rows``, where places may repeat."""
+    places = at.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
+    np.add.at(to.reshape(-1), places.ravel(), rows.ravel())     # many times faster in one dimension
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by class, the classes in that order, and where each begins."""
+    cls = (target % CLASSES).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order]
+    return order, cls, np.searchsorted(cls, np.arange(CLASSES + 1))
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -169,13 +235,16 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits / logits.sum(axis=1, keepdims=True)
 
 
-def _sequence(ids: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one row with ``REACH`` pads between, and the places of their words."""
+def _sequence(ids: np.ndarray, hashes: np.ndarray, ends: np.ndarray, pad: int,
+              buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one row with ``REACH`` pads between, the words' two buckets, and the places of the words."""
     counts = np.diff(ends, prepend=0)
     place = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(len(counts)), counts))
     row = np.full(len(ids) + REACH * (len(counts) + 1), pad, np.int64)
     row[place] = ids
-    return row, place
+    pairs, mixed = np.zeros((2, len(row)), np.int32), mix(hashes, 59)
+    pairs[0, place], pairs[1, place] = mixed % np.uint64(buckets), (mixed >> np.uint64(32)) % np.uint64(buckets)
+    return row, pairs, place
 
 
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
@@ -183,6 +252,7 @@ OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The network's parameters after ``rounds`` rounds over all documents."""
+    lexicon = lexicon.without_table()
     flat = Network(lexicon).flat
     chosen = _texts(docs, key, text)
     for turn in range(rounds):
@@ -190,26 +260,28 @@ def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
         def run(batches, begun=begun, turn=turn):
             model, moved, seen, positions = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32), 0, 0
+            total = np.zeros(len(begun) + 1)
             for part in text_slices(batches):
                 hashes, ends = _hashes(part)
-                row, place = _sequence(lexicon.lookup(hashes), ends, model.pad)
+                row, pairs, place = _sequence(lexicon.lookup(hashes), hashes, ends, model.pad, lexicon.buckets)
                 some = place[(mix(hashes + place.astype(np.uint64), 60 + turn) >> np.uint64(11)).astype(np.float64) < MASKED * 2.0**53]
                 for i in range(0, len(some), BATCH):
                     at = some[i:i + BATCH]
-                    change = model.gradient(row[at[:, None] + OFFSETS], row[at])
+                    around = at[:, None] + OFFSETS
+                    change = model.gradient(row[around], row[at], pairs[:, around])
                     moved += change * change
                     model.flat -= RATE * change / np.sqrt(moved)
                 positions += len(some)
                 seen += len(hashes)
                 if seen >= SHARD_WORDS:
-                    yield changes(model.flat - begun, positions)
+                    total += weighted(model.flat - begun, positions)
                     model, moved, seen, positions = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32), 0, 0
-            if positions:
-                yield changes(model.flat - begun, positions)
+            total += weighted(model.flat - begun, positions)
+            if total[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-        def changes(change, positions):
-            weighted = np.append(change.astype(np.float64) * positions, positions)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(weighted), dtype=np.int32)), pa.array(weighted)], names=["i", "v"])
+        def weighted(change, positions):
+            return np.append(change.astype(np.float64) * positions, positions)
 
         summed = map_arrow(chosen, run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()    # one model
         if len(summed):
@@ -221,21 +293,40 @@ def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
 def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_words, log_likelihood, mean_log_likelihood)`` per row, in nats."""
-    share = math.log(lexicon.others)
+    table, lexicon = lexicon.table, lexicon.without_table()
+    others = max(1.0, float(lexicon.counts[0]))
 
     def run(batches):
         model = Network(lexicon, flat)
         for part in text_slices(batches):
             hashes, ends = _hashes(part)
-            row, place = _sequence(lexicon.lookup(hashes), ends, model.pad)
+            ids = lexicon.lookup(hashes)
+            row, pairs, place = _sequence(ids, hashes, ends, model.pad, lexicon.buckets)
             each = np.zeros(len(place) + 1)
             for i in range(0, len(place), 4 * BATCH):
                 at = place[i:i + 4 * BATCH]
-                each[i + 1:i + 1 + len(at)] = model.log_probabilities(row[at[:, None] + OFFSETS], row[at]) - share * (row[at] == 0)
+                around = at[:, None] + OFFSETS
+                each[i + 1:i + 1 + len(at)] = model.log_probabilities(row[around], row[at], pairs[:, around])
+            other = np.flatnonzero(ids == 0)
+            times = lexicon.common_count(hashes[other])
+            each[other + 1] += np.log(np.maximum(times, 1) / others) * (times > 0)
             total = np.cumsum(each)
             counts, sums = np.diff(ends, prepend=0), np.diff(total[np.append(0, ends)])
-            mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int64)), pa.array(sums), mean], names=["key", "n", "s", "m"])
-
-    out = map_arrow(_texts(docs, key, text), run, f"key {docs.schema[key].dataType.simpleString()}, n long, s double, m double")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_words"), F.col("s").alias("log_likelihood"), F.col("m").alias("mean_log_likelihood"))
+            rest = other[times == 0]
+            edges = pa.array(np.searchsorted(rest, np.append(0, ends)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int64)), pa.array(sums),
+                                              pa.ListArray.from_arrays(edges, pa.array(hashes[rest].view(np.int64)))], names=["key", "n", "s", "rest"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    out = map_arrow(_texts(docs, key, text), run, f"key {kind}, n long, s double, rest array<long>")
+    # The words that the tasks do not have: looked up in the stored table, row by row of what is stored here.
+    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+    rest = out.select("row", F.explode("rest").alias("word"))
+    if table is not None:
+        rest = rest.join(table.where(F.col("n") > 1), "word", "left").select("row", "n")
+    else:
+        rest = rest.select("row", F.lit(None).cast("long").alias("n"))
+    found = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(others))).alias("more"))
+    out = out.join(found, "row", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_words"), F.col("s").alias("log_likelihood"), mean.alias("mean_log_likelihood"))

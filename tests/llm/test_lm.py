@@ -58,3 +58,45 @@ def test_odd_rows(odd_documents, empty_documents):
             assert r["log_likelihood"] == 0.0 and r["mean_log_likelihood"] is None
     nothing = lm.count_words(empty_documents)
     assert lm.score(empty_documents, nothing, lm.train(empty_documents, nothing)).count() == 0
+
+
+def test_words_outside_the_softmax_keep_their_own_frequency(spark):
+    """Each scores by its own count, sent to the tasks or joined, and differs from the others in a context."""
+    head = [f"w{i}" for i in range(lm.CLASSES - 1)]
+    text = " ".join(head * 50 + ["often"] * 30 + ["seldom"] * 3 + ["once"])
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    asked = dict(enumerate(["often", "seldom", "once", "never", "w0 often", "w0 seldom", "often often once", None]))
+    asked_docs = spark.createDataFrame(list(asked.items()), "doc_id long, text string")
+    scores = []
+    for common in (0, 1, 2, 9):
+        known = lm.count_words(docs, vocabulary=lm.CLASSES - 1, common=common)
+        assert len(known.common) == min(common, 3) and known.others == 3
+        got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(asked_docs, known, lm.Network(known).flat).collect()}
+        assert abs(got[0] - got[1] - math.log(10)) < 1e-4 and abs(got[1] - got[2] - math.log(3)) < 1e-4
+        assert abs(got[2] - got[3]) < 1e-4 and got[7] == 0
+        assert abs(got[4] - got[5] - math.log(10)) > 1e-4
+        scores.append([got[i] for i in range(len(asked))])
+    assert np.allclose(scores, scores[0], atol=1e-9)
+
+
+def test_lexicon_grows_with_the_corpus(spark):
+    """Every word is held in the table, and the hashed embeddings grow with their number."""
+    few, many = (spark.createDataFrame([(i, f"word{i}") for i in range(n)], "doc_id long, text string") for n in (1500, 6000))
+    few, many = lm.count_words(few), lm.count_words(many)
+    assert few.table.count() == 1500 and many.table.count() == 6000
+    assert len(lm.Network(many).flat) > len(lm.Network(few).flat)
+
+
+def test_gradient_of_hashed_words_matches_differences():
+    rng = np.random.default_rng(2)
+    net = lm.Network(lexicon())
+    context, target = rng.integers(0, 2, (40, 4)), rng.integers(0, 1024, 40)
+    rare = rng.integers(0, lexicon().buckets, (2, 40, 4))
+    gradient = net.gradient(context, target, rare)
+    size = net.views["rare"].size
+    direction = np.zeros(len(net.flat), np.float32)
+    direction[-size:] = rng.normal(size=size)
+    direction /= np.linalg.norm(direction)
+    sides = [-lm.Network(lexicon(), net.flat + sign * 0.1 * direction).log_probabilities(context, target, rare).sum(dtype=np.float64) for sign in (1, -1)]
+    want = (sides[0] - sides[1]) / 0.2
+    assert abs(want) > 0.05 and abs(want - gradient @ direction) < 0.05 * abs(want) + 0.01
