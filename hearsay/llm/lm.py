@@ -14,7 +14,8 @@ the rest are looked up by a join with the table. In a context, a word outside th
 softmax adds the sum of two hashed embeddings to the entry's; their number grows
 with the root of the number of words, so that few words share both. A word that
 the lexicon does not have counts as if seen once. Training goes over the whole corpus in ``ROUNDS``
-rounds. In each, a share of the positions is masked, other ones every round;
+rounds. The positions are dealt to the rounds by a hash of the document's words
+and the place in it, so that each is a target once, however rows are batched;
 every ``SHARD_WORDS`` words train a copy of the model from where the round
 began, Spark sums the changes weighted by positions, and the mean is the next
 round's start. What is gathered grows with the corpus, one model for each shard
@@ -46,7 +47,6 @@ COMMON = 1 << 18                    # at most so many other words are sent to th
 REACH = 2
 WIDTH = 24
 ROUNDS = 2
-MASKED = 0.15
 SHARD_WORDS = 2_000_000
 BATCH = 4096
 RATE = 0.1
@@ -155,10 +155,10 @@ class Network:
         v = self.views
         total = np.repeat(v["bias"][None, :], len(context), axis=0)
         for k in range(2 * REACH):
-            total += v["embed"][k][context[:, k]]
+            total += v["embed"][k].take(context[:, k], axis=0)
             if rare is not None:
                 some = np.flatnonzero(context[:, k] == 0)
-                total[some] += v["rare"][rare[0, some, k]] + v["rare"][rare[1, some, k]]
+                total[some] += v["rare"].take(rare[0, some, k], axis=0) + v["rare"].take(rare[1, some, k], axis=0)
         return np.tanh(total, out=total)
 
     def _within(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -207,7 +207,9 @@ class Network:
             _add_rows(g.views["embed"][k], context[:, k], back)
             if rare is not None:
                 some = np.flatnonzero(context[:, k] == 0)
-                _add_rows(g.views["rare"], rare[:, some, k].ravel(), np.concatenate([back[some]] * 2))
+                moved = back.take(some, axis=0)
+                for each in rare:
+                    _add_rows(g.views["rare"], each[some, k], moved)
         return grown
 
 
@@ -247,6 +249,15 @@ def _sequence(ids: np.ndarray, hashes: np.ndarray, ends: np.ndarray, pad: int,
     return row, pairs, place
 
 
+def _turns(hashes: np.ndarray, ends: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target."""
+    counts = np.diff(ends, prepend=0)
+    summed = np.append(np.uint64(0), np.cumsum(hashes, dtype=np.uint64))
+    text = np.diff(summed[np.append(0, ends)])                      # modulo 2**64
+    place = np.arange(len(hashes)) - np.repeat(ends - counts, counts)
+    return (mix(np.repeat(mix(text), counts) + place.astype(np.uint64), 60) % np.uint64(rounds)).astype(np.int64)
+
+
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 
@@ -260,17 +271,21 @@ def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
         def run(batches, begun=begun, turn=turn):
             model, moved, seen, positions = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32), 0, 0
-            total = np.zeros(len(begun) + 1)
+            total, spare = np.zeros(len(begun) + 1), np.empty_like(moved)
             for part in text_slices(batches):
                 hashes, ends = _hashes(part)
                 row, pairs, place = _sequence(lexicon.lookup(hashes), hashes, ends, model.pad, lexicon.buckets)
-                some = place[(mix(hashes + place.astype(np.uint64), 60 + turn) >> np.uint64(11)).astype(np.float64) < MASKED * 2.0**53]
+                some = place[_turns(hashes, ends, rounds) == turn]
                 for i in range(0, len(some), BATCH):
                     at = some[i:i + BATCH]
                     around = at[:, None] + OFFSETS
                     change = model.gradient(row[around], row[at], pairs[:, around])
-                    moved += change * change
-                    model.flat -= RATE * change / np.sqrt(moved)
+                    np.multiply(change, change, out=spare)
+                    moved += spare
+                    np.sqrt(moved, out=spare)
+                    change *= RATE
+                    change /= spare
+                    model.flat -= change
                 positions += len(some)
                 seen += len(hashes)
                 if seen >= SHARD_WORDS:

@@ -100,3 +100,20 @@ def test_gradient_of_hashed_words_matches_differences():
     sides = [-lm.Network(lexicon(), net.flat + sign * 0.1 * direction).log_probabilities(context, target, rare).sum(dtype=np.float64) for sign in (1, -1)]
     want = (sides[0] - sides[1]) / 0.2
     assert abs(want) > 0.05 and abs(want - gradient @ direction) < 0.05 * abs(want) + 0.01
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    """Over the rounds, all words are targets, and each in the same round however the texts are batched."""
+    texts = ["one two three four five six seven eight", "", "nine ten " * 40, "one two three four five six seven eight"]
+    hashes, ends = lm.words(texts, lower=True)
+    turns = lm._turns(hashes, ends, 3)
+    alone = np.concatenate([lm._turns(*lm.words([t], lower=True), 3) for t in texts])
+    assert (turns == alone).all() and set(turns) == {0, 1, 2}
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known = lm.count_words(docs)
+    rounds, mapped = [], lm.map_arrow
+    monkeypatch.setattr(lm, "map_arrow", lambda *a: rounds.append(mapped(*a)) or rounds[-1])
+    lm.train(docs, known)
+    size = len(lm.Network(known).flat)                              # the last number counts targets
+    assert len(rounds) == lm.ROUNDS and sum(df.where(df.i == size).agg({"v": "sum"}).first()[0] for df in rounds) == len(hashes)
