@@ -161,6 +161,17 @@ SQL: dict[str, str] = {
                        FILTER (WHERE tf.term IS NOT NULL), []))) AS VARCHAR) AS termFrequencies,
                count(tf.term)::BIGINT AS numTerms
         FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
+    "s8_export_terms": f"WITH {INDEX} SELECT term, file FROM postings",
+    "s7_import_terms": f"WITH {INDEX} SELECT term, file FROM postings",
+    "s7_import_whole_index": f"""WITH {INDEX}
+        SELECT p.term, p.file, p.tf_count, p.num_terms, lex.df FROM postings p JOIN lex ON p.term = lex.term""",
+    "s6_scan_document_lists": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT term, file FROM postings UNION ALL SELECT term, file FROM c_postings""",
+    "s6_scan_documents": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')},
+        both_kept AS (SELECT * FROM kept UNION ALL SELECT * FROM c_kept),
+        both_tf AS (SELECT * FROM tf UNION ALL SELECT * FROM c_tf)
+        SELECT k.file, k.transcription, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}
+        FROM both_kept k LEFT JOIN both_tf tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
     "s5_append_documents": f"""WITH {INDEX}
         SELECT k.file, k.transcription, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}
         FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",

@@ -263,6 +263,20 @@ def s7_import_index(spark, sf_dir):
     return docs.select("file", "num_terms", _tf_map_text().alias("tf_map"))
 
 
+def s8_export_terms(spark, sf_dir):
+    _, terms = interchange.export_index(_index(spark, sf_dir))
+    return terms.select("term", F.explode(F.from_json("documents", "array<string>")).alias("file"))
+
+
+def s7_import_terms(spark, sf_dir):
+    return interchange.import_terms(interchange.export_terms(_index(spark, sf_dir).postings))
+
+
+def s7_import_whole_index(spark, sf_dir):
+    idx = interchange.import_index(*interchange.export_index(_index(spark, sf_dir)))
+    return idx.postings.join(idx.lexicon, "term").select("term", "file", "tf_count", "num_terms", "df")
+
+
 # ---- the Parquet index store (S4–S6, A8) -----------------------------------
 
 def _store(spark: SparkSession, name: str):
@@ -297,6 +311,19 @@ def s6_scan_lexicon(spark, sf_dir):
     return _two_batch_store(spark, sf_dir, "s6").lexicon()
 
 
+def s6_scan_document_lists(spark, sf_dir):
+    from hearsay.sources.store import scan_terms
+
+    return scan_terms(_two_batch_store(spark, sf_dir, "s6")).select("term", F.explode("documents").alias("file"))
+
+
+def s6_scan_documents(spark, sf_dir):
+    from hearsay.sources.store import scan_documents
+
+    docs = scan_documents(_two_batch_store(spark, sf_dir, "s6"))
+    return docs.select("file", "transcription", "num_terms", _tf_map_text().alias("tf_map"))
+
+
 def u2_compacted_postings(spark, sf_dir):
     store = _two_batch_store(spark, sf_dir, "u2c")
     store.compact()
@@ -396,9 +423,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o2_results_json": o2_results_json,
     "s7_import_index": s7_import_index,
     "s8_export_index": s8_export_index,
+    "s8_export_terms": s8_export_terms,
+    "s7_import_terms": s7_import_terms,
+    "s7_import_whole_index": s7_import_whole_index,
     "s5_append_documents": s5_append_documents,
     "s6_scan_terms": s6_scan_terms,
     "s6_scan_lexicon": s6_scan_lexicon,
+    "s6_scan_document_lists": s6_scan_document_lists,
+    "s6_scan_documents": s6_scan_documents,
     "u2_compacted_postings": u2_compacted_postings,
     "a8_ingest_count": a8_ingest_count,
     "r1_ingest_stream": r1_ingest_stream,

@@ -45,3 +45,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert types_match(df, rel) == []
     assert len(s_rows) == len(d_rows)
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, d_rows)[0]
+
+
+def test_both_tables_of_the_interchange_and_the_store_are_queried():
+    assert {"s8_export_terms", "s7_import_terms", "s7_import_whole_index", "s6_scan_document_lists", "s6_scan_documents"} <= set(QUERIES)
