@@ -19,7 +19,8 @@ the best two sizes differ by less than ``min_margin`` bytes per 100 bytes of tex
 Rows: null texts and texts without a letter are ``und`` with score 0, and are
 rejected. Ties go to the language that sorts first. Repeated rows give repeated
 results; an empty table gives an empty result. Without any labelled text every
-row is ``und``. Columns other than key and text are left out.
+row is ``und`` with score and margin 0; the margin says nothing then, and only
+texts without a letter are rejected. Columns other than key and text are left out.
 """
 
 from __future__ import annotations
@@ -104,8 +105,10 @@ def sizes(text: bytes, compressors: list[tuple[str, zstandard.ZstdCompressor]])
 def judge(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompressor]],
           min_margin: float = MIN_MARGIN) -> tuple[str, float, float, bool]:
     """``(language, score, margin in bytes per 100 bytes of text, rejected)``."""
-    if not text or not compressors or not _LETTER.search(text):
+    if not text or not _LETTER.search(text):
         return NO_LANGUAGE, 0.0, 0.0, True
+    if not compressors:
+        return NO_LANGUAGE, 0.0, 0.0, False
     data = plain(text).encode()
     found = sizes(data, compressors)
     order = sorted(range(len(found)), key=lambda i: (found[i], i))

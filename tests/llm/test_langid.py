@@ -53,3 +53,12 @@ def test_fold_of_null_keys(spark):
     docs = spark.createDataFrame([(None,)], "doc_id long")
     assert docs.select(langid.held_out().alias("h")).first()["h"] is False
     assert docs.select(F.lit(1)).count() == 1
+
+
+def test_unlabelled_tables_pass_the_stage(spark):
+    import corpus_pipeline
+
+    texts = ["some words without a label", "123 456", "", None, "ещё текст"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {0, 4}
+    assert {r["doc_id"]: r["rejected"] for r in langid.predict(docs, {}).collect()} == {0: False, 1: True, 2: True, 3: True, 4: False}
