@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-PLACE_BITS = 17
+PLACE_BITS = 12
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals"]
 

@@ -66,3 +66,8 @@ def test_clean_documents_are_kept(spark, small):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     rows = rules.apply_policy(rules.ledger(small[0])).join(labels, "doc_id").where("n_words >= 50")
     assert rows.where("NOT kept").count() <= 0.02 * rows.count()
+
+
+def test_packed_hashes_are_wide_enough():
+    """The chance that two different windows of a packed text have equal hashes, n^2 / 2 pairs of 64 - PLACE_BITS bits."""
+    assert (1 << rules.PLACE_BITS) ** 2 / 2 / 2 ** (64 - rules.PLACE_BITS) < 1e-8
