@@ -48,7 +48,53 @@ OP10 = "WITH " + REPEAT_CUT.replace("{docs}", "documents") + """
 SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM cut_kept
 """
 
+OP11 = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT * FROM q WHERE vec_id % 50 = 0),
+s AS (SELECT DISTINCT a.vec_id AS anchor, a.label AS own, a.v AS av, q.vec_id, q.label, CAST(list_dot_product(a.v, q.v) AS BIGINT) AS score
+      FROM a, q),
+p AS (SELECT anchor, own, av, vec_id AS positive, score AS positive_score FROM s
+      WHERE label = own AND vec_id <> anchor
+      QUALIFY row_number() OVER (PARTITION BY anchor, own, av ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT s.anchor, p.positive, p.positive_score, s.vec_id AS negative, s.score,
+             row_number() OVER (PARTITION BY s.anchor, s.own, s.av, p.positive, p.positive_score ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM s JOIN p ON s.anchor = p.anchor AND s.own = p.own AND s.av = p.av
+      WHERE s.label <> s.own AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id,
+       positive_score, score AS negative_score
+FROM n WHERE rank <= 3
+"""
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t')"
+
+
+OP13 = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) r(i)),
+o AS (SELECT *, row_number() OVER w AS place, lag(role) OVER w AS before FROM said
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+d AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS said,
+             coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length({_escaped('text')}) + 8
+                 + CASE WHEN before IS NULL OR before <> role THEN length(replace({_escaped('role')}, ':', '\\c')) + 6 ELSE 0 END) AS chars
+      FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       chars::BIGINT AS formatted_chars
+FROM d
+"""
+
 SQL: dict[str, str] = {
     "op8_quality_rules": OP8,
     "op10_substring_dedup": OP10,
+    "op11_hard_negatives": OP11,
+    "op13_chat_formatting": OP13,
 }
