@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.session import ship_package
+from hearsay.session import scratch_path, ship_package
 
 
 FILES_PER_TASK = 8
@@ -24,15 +26,30 @@ FILES_PER_TASK = 8
 def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataFrame:
     """``(file)`` for ``directory/*.fmt``, not recursive, absolute local paths.
 
-    Only the ``path`` column is selected, so file contents are never read.
-    Spark's file source also hides names starting with ``_`` or ``.``.
+    Only the ``path`` column is selected, so file contents are never read, and
+    only direct children are listed.
     """
-    # Listed recursively, so that a folder named like a partition (k=v) neither
-    # hides the files beside it nor adds its own; then only direct children stay.
-    listed = (spark.read.format("binaryFile")
-              .option("pathGlobFilter", f"*.{fmt}")
-              .option("recursiveFileLookup", "true")
-              .load(_loose(directory)))
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sources_pattern(directory, fmt))
+    if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
+        return spark.createDataFrame([], "file string")
+    # Lookup is recursive so that no folder name is taken for a partition (k=v);
+    # a folder that matches the pattern is left out with all that it holds.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sources_pattern(directory, fmt))
+    return listed_sources(listed, directory)
+
+
+def sources_pattern(directory: str, fmt: str) -> str:
+    """A pattern for the direct children; the exact parent is checked afterwards.
+
+    Pattern characters in the folder's own path match any character.
+    """
+    loose = re.sub(r"[\\*?\[\]{}]", "?", directory.rstrip("/"))
+    return f"{loose}/*.{fmt}"
+
+
+def listed_sources(listed: DataFrame, directory: str) -> DataFrame:
+    """``(file)`` of the ``path`` rows that lie in ``directory`` itself."""
+    spark = listed.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
     own = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     plain = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
@@ -41,9 +58,24 @@ def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataF
     return files.where(F.regexp_replace("file", "/[^/]*$", "") == F.regexp_replace(plain(F.lit(own)), "/$", ""))
 
 
-def _loose(path: str) -> str:
-    """A pattern for a path that holds pattern characters; the exact parent is checked afterwards."""
-    return re.sub(r"[\\*?\[\]{}]", "?", path)
+def _extracted(sources: DataFrame, make_extractor: Callable[[], Callable[[str], str]], num_tasks: int | None,
+               keep_errors: bool) -> DataFrame:
+    """``(file, transcript, message)`` of each path, over ``num_tasks`` tasks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        extract = make_extractor()
+        for pdf in batches:
+            for file in pdf["file"].tolist():
+                try:
+                    yield pd.DataFrame({"file": [file], "transcript": [extract(file)], "message": [None]})
+                except Exception as failed:  # noqa: BLE001  (any error of the user's extractor concerns this file alone)
+                    if not keep_errors:
+                        raise
+                    yield pd.DataFrame({"file": [file], "transcript": [None], "message": [f"{type(failed).__name__}: {failed}"]})
+
+    ship_package(sources.sparkSession)
+    paths = sources.select("file")
+    count = num_tasks or max(1, math.ceil(paths.count() / FILES_PER_TASK))
+    return paths.repartition(count).mapInPandas(run, "file string, transcript string, message string")
 
 
 def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callable[[str], str]],
@@ -51,19 +83,77 @@ def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callabl
     """``(file, transcript)`` for each path, by a user extractor.
 
     The files, few and slow, are spread over ``num_tasks`` tasks, by default
-    one for every ``FILES_PER_TASK`` of them.
-    An extractor error fails the batch; committed batches are unaffected.
+    one for every ``FILES_PER_TASK`` of them. Nothing is kept, and an extractor
+    error fails the job that asks for the rows; ``TranscriptStage`` keeps what
+    was extracted.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = make_extractor()
-        for pdf in batches:
-            files = pdf["file"].tolist()
-            yield pd.DataFrame({"file": files, "transcript": [extract(f) for f in files]})
+    return _extracted(sources, make_extractor, num_tasks, keep_errors=False).select("file", "transcript")
 
-    ship_package(sources.sparkSession)
-    paths = sources.select("file")
-    count = num_tasks or max(1, math.ceil(paths.count() / FILES_PER_TASK))
-    return paths.repartition(count).mapInPandas(run, "file string, transcript string")
+
+class TranscriptStage:
+    """S2, durable: transcripts and errors by path, kept under one folder.
+
+    Each run of ``extract`` writes a folder ``run=<time>-<id>`` of
+    ``(file, transcript, message)``. A file whose extractor raises gets a
+    message in place of a transcript, and the others go on. Tasks hand in their
+    files one by one, not when the run ends: should the run fail, what finished
+    tasks extracted stays, and the next run only takes the rest.
+    """
+
+    SCHEMA = "file string, transcript string, message string, run string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _rows(self) -> DataFrame:
+        files, path = self._folder()
+        if not files.exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.root).parquet(self.root)
+
+    def transcripts(self) -> DataFrame:
+        """``(file, transcript)``; a file that two runs took at once has a row of each."""
+        return self._rows().where(F.col("transcript").isNotNull()).select("file", "transcript")
+
+    def errors(self) -> DataFrame:
+        """``(file, message, tries)`` of the files without a transcript, with the last message."""
+        tried = self._rows().select("file", F.col("transcript").isNotNull().alias("done"), "message", "run")
+        return (tried.groupBy("file").agg(F.bool_or("done").alias("done"), F.max_by("message", "run").alias("message"),
+                                          F.count(F.lit(1)).alias("tries"))
+                .where(~F.col("done")).select("file", "message", "tries"))
+
+    def extract(self, sources: DataFrame, make_extractor: Callable[[], Callable[[str], str]],
+                num_tasks: int | None = None) -> None:
+        """Extract the distinct paths of ``sources`` that have no transcript here yet."""
+        left = sources.select("file").distinct().join(self.transcripts().select("file"), "file", "left_anti")
+        to_do = scratch_path(self.spark, "extract")
+        left.write.parquet(to_do)
+        left = self.spark.read.schema("file string").parquet(to_do)
+        if left.isEmpty():
+            return
+        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        # With this committer a task's files are in place as soon as it ends.
+        (_extracted(left, make_extractor, num_tasks, keep_errors=True).write
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.root}/run={run}"))
+
+    def vacuum(self, indexed: DataFrame) -> list[str]:
+        """Delete the runs whose transcripts are all of paths in ``indexed``; returns them.
+
+        Their errors go, too: files that still fail are tried again as new ones.
+        """
+        files, path = self._folder()
+        rows = self._rows()
+        runs = {r["run"] for r in rows.select("run").distinct().collect()}
+        needed = rows.where(F.col("transcript").isNotNull()).join(indexed.select("file"), "file", "left_anti")
+        gone = sorted(runs - {r["run"] for r in needed.select("run").distinct().collect()})
+        for run in gone:
+            files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"run={run}"), True)
+        return gone
 
 
 def text_file_extractor(encoding: str = "utf-8") -> Callable[[str], str]:

@@ -18,6 +18,17 @@ def table_stream(spark: SparkSession, folder: str, schema: T.StructType, file_gl
     return reader.parquet(folder)
 
 
+def media_stream(spark: SparkSession, directory: str, fmt: str = "mp4", max_files_per_trigger: int | None = None) -> DataFrame:
+    """``(file)`` of the recordings that appear in ``directory``; their contents are not read."""
+    from hearsay.sources.media import listed_sources, sources_pattern
+
+    reader = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+              .schema("path string, modificationTime timestamp, length long, content binary"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return listed_sources(reader.load(sources_pattern(directory, fmt)), directory)
+
+
 DOCUMENTS_TABLE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
     T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
