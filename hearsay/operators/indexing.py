@@ -73,18 +73,18 @@ def build_documents(corpus: DataFrame, stop_words: Iterable[str] | None = None)
     return documents_from_runs(analyze(corpus, stop_words))
 
 
-def postings_from_documents(documents: DataFrame) -> DataFrame:
-    """Long-form inverted index from the documents' term maps (no shuffle).
+def postings_from_documents(documents: DataFrame, *more: str) -> DataFrame:
+    """Long-form inverted index from the documents' term maps (no shuffle), with ``more`` of their columns.
 
     ``explode_outer`` + a null filter, rather than ``explode``, so Catalyst
     does not infer a ``size(map) > 0`` filter and push a copy of the whole
     tokenising expression below it.
     """
     exploded = documents.select(
-        "file", "num_terms", F.explode_outer("term_frequencies").alias("term", "tf_count"))
+        "file", "num_terms", *more, F.explode_outer("term_frequencies").alias("term", "tf_count"))
     return exploded.where(F.col("term").isNotNull()).select(
         "term", "file", F.col("tf_count").cast("bigint").alias("tf_count"),
-        F.col("num_terms").cast("bigint").alias("num_terms"))
+        F.col("num_terms").cast("bigint").alias("num_terms"), *more)
 
 
 def document_terms(corpus: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
@@ -129,21 +129,25 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def inverted_index(postings: DataFrame, chunk_size: int = 10_000, salts: int = 64) -> DataFrame:
+def inverted_index(postings: DataFrame, chunk_size: int = 10_000, lexicon: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """A4: term → sorted list of documents, as a view.
 
-    A term's list is split into chunks of about ``chunk_size`` files (chunk
-    = hash(file) mod ceil(df / chunk_size)), so a hot term never becomes one
-    unbounded array in one task. Rows: ``(term, chunk, documents)``; the
-    union of a term's chunks is its full list. Postings meet their df on
-    (term, salt), the small df side repeated for each salt, so a hot term's
-    postings are spread before they are chunked, too.
+    A heavy term, one of more than ``chunk_size`` documents, has its list split
+    into chunks of about that many files (chunk = hash(file) mod ceil(df /
+    chunk_size)), so a hot term never becomes one unbounded array in one task.
+    Rows: ``(term, chunk, documents)``; the union of a term's chunks is its full
+    list. Heavy terms come from the lexicon (counted here if not given) and are
+    few, at most a row for each ``chunk_size`` postings; only they are repeated
+    for each salt, so that their postings are spread before they are chunked.
+    Postings of other terms meet no row and are grouped as they are.
     """
-    dfs = document_frequency(postings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(chunk_size))).cast("bigint")
+    dfs = document_frequency(postings) if lexicon is None else lexicon
+    heavy = dfs.where(F.col("df") > chunk_size).select(
+        "term", F.ceil(F.col("df") / F.lit(chunk_size)).cast("bigint").alias("n_chunks"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = postings.select("term", "file", F.pmod(F.xxhash64("file", F.lit(1)), F.lit(salts)).cast("int").alias("salt"))
-    keyed = salted.join(dfs, ["term", "salt"]).select(
-        "term", "file", F.pmod(F.xxhash64("file"), n_chunks).alias("chunk"))
+    keyed = salted.join(heavy, ["term", "salt"], "left").select(
+        "term", "file", F.pmod(F.xxhash64("file"), F.coalesce("n_chunks", F.lit(1))).alias("chunk"))
     return keyed.groupBy("term", "chunk").agg(F.sort_array(F.collect_list("file")).alias("documents"))
 
 

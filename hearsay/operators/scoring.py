@@ -109,7 +109,8 @@ def query_term_frequencies(matched: DataFrame, candidates: DataFrame, qterms: Da
         "query_id", "file", "term", F.coalesce("tf_count", F.lit(0)).cast("bigint").alias("tf_count"))
 
 
-def _rank_key(score: Column, round_to: int | None) -> Column:
+def rank_key(score: Column, round_to: int | None) -> Column:
+    """What scores are ranked by: the score, rounded if asked for."""
     return F.round(score, round_to) if round_to is not None else score
 
 
@@ -121,9 +122,9 @@ def top_k(scores: DataFrame, k: int = 3, round_to: int | None = None) -> DataFra
     """
     if k <= 0:
         return scores.select(F.lit(1).alias("rank"), "file", "score").limit(0)
-    key = _rank_key(F.col("score"), round_to)
+    key = rank_key(F.col("score"), round_to)
     best = scores.orderBy(key.desc(), F.col("file").asc()).limit(k)
-    w = Window.orderBy(_rank_key(F.col("score"), round_to).desc(), F.col("file").asc())
+    w = Window.orderBy(rank_key(F.col("score"), round_to).desc(), F.col("file").asc())
     # k rows at most: the window runs over the already-limited set.
     return best.select(F.row_number().over(w).alias("rank"), "file", "score")
 
@@ -137,6 +138,6 @@ def top_k_per_query(scores: DataFrame, k: int = 3, round_to: int | None = None)
     """
     if k <= 0:
         return scores.select("query_id", F.lit(1).alias("rank"), "file", "score").limit(0)
-    w = Window.partitionBy("query_id").orderBy(_rank_key(F.col("score"), round_to).desc(), F.col("file").asc())
+    w = Window.partitionBy("query_id").orderBy(rank_key(F.col("score"), round_to).desc(), F.col("file").asc())
     ranked = scores.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "file", "score")

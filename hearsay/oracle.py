@@ -50,6 +50,7 @@ DOCS_CORPUS = "SELECT CAST(doc_id AS VARCHAR) AS file, text AS transcript FROM d
 CONV_CORPUS = "SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS file, text AS transcript FROM conversations"
 
 INDEX = _index_ctes(DOCS_CORPUS)
+BOTH = _index_ctes(f"{DOCS_CORPUS} UNION ALL {CONV_CORPUS}")
 
 LINES = f"""
 bq_lines AS (SELECT item_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
@@ -73,9 +74,9 @@ ranked AS (SELECT query_id, file, score,
 top AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, file, round(score, {ROUND}) AS score FROM ranked WHERE rank <= {K})"""
 
 
-def _one_query(terms: list[str]) -> str:
+def _one_query(terms: list[str], index: str = INDEX) -> str:
     values = ", ".join(f"({_lit(t)})" for t in terms)
-    return f"""WITH {INDEX},
+    return f"""WITH {index},
 qt AS (SELECT DISTINCT term FROM (VALUES {values}) v(term)),
 qidf AS (SELECT qt.term, CASE WHEN lex.df IS NULL THEN 0.0 ELSE log2((1.0 + n.n) / (1.0 + lex.df)) END AS idf
          FROM qt LEFT JOIN lex ON qt.term = lex.term CROSS JOIN n),
@@ -147,6 +148,14 @@ SQL: dict[str, str] = {
     "q2_search": _one_query(FLAGSHIP_TERMS),
     "q2_search_one_term": _one_query([LOOKUP_TERM]),
     "q3_search_batch": f"WITH {INDEX}, {QUERY_SIDE} SELECT query_id, rank, file, score FROM top",
+    "q2_search_stored": _one_query(FLAGSHIP_TERMS, BOTH),
+    "q3_search_stored": f"WITH {BOTH}, {QUERY_SIDE} SELECT query_id, rank, file, score FROM top",
+    "a7_score_stored_documents": f"WITH {BOTH}, {QUERY_SIDE} SELECT query_id, file, round(score, {ROUND}) AS score FROM scores",
+    "u2_tiered_postings": f"WITH {INDEX} SELECT term, file, tf_count, num_terms FROM postings",
+    "s2_staged_transcripts": "SELECT text || chr(10) AS transcript FROM documents WHERE text IS NOT NULL",
+    "r1_ingest_media_stream": f"""WITH {_index_ctes("SELECT CAST(doc_id AS VARCHAR) AS file, text || chr(10) AS transcript FROM documents")}
+        SELECT k.transcription, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}
+        FROM kept k LEFT JOIN tf ON k.file = tf.file GROUP BY k.file, k.transcription""",
     "o1_format_results": f"""WITH {INDEX}, {QUERY_SIDE}
         SELECT query_id, rank, printf('Score: %-5s | File: %s', printf('%.2f', score), file) AS line FROM top""",
     "o2_results_json": f"""WITH {INDEX}, {QUERY_SIDE},

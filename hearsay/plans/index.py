@@ -11,16 +11,39 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hearsay.operators import indexing as ix
 
 
+BLOCK_BITS = 7      # of a stored index: a block is 2**BLOCK_BITS document numbers
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    """The bucket that a stored index keeps a term's rows in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class BlockIndex:
+    """A stored index's tables by bucket of the term and block of documents.
+
+    A document is (batch, doc); the block of its batch that holds it is ``block``.
+    """
+    postings: DataFrame    # (term, file, tf_count, num_terms, doc, block, bucket, batch)
+    blocks: DataFrame      # (term, block, n, max_tf, bucket, batch): the greatest tf of a term in a block
+    lexicon: DataFrame     # (term, df, bucket), a row per batch
+    names: DataFrame       # (batch, doc, file, bucket), the bucket being the block's
+    buckets: int
+
+
 @dataclass(frozen=True)
 class TfIdfIndex:
     documents: DataFrame   # (file, transcription, term_frequencies, num_terms)
     postings: DataFrame    # (term, file, tf_count, num_terms)
     lexicon: DataFrame     # (term, df)
     n_documents_source: DataFrame | None = None   # one row, one column: N, if known cheaper
+    blocks: BlockIndex | None = None              # of a stored index
 
     def n_documents(self) -> Column:
         """N as a scalar subquery (empty documents count).
@@ -32,6 +55,22 @@ class TfIdfIndex:
             return self.n_documents_source.scalar()
         return ix.corpus_size_col(self.documents)
 
+    def _of_terms(self, plain: DataFrame, stored: DataFrame | None, terms: list[str]) -> DataFrame:
+        named = F.col("term").isin(terms)
+        if stored is None:
+            return plain.where(named)
+        # Literal buckets prune folders, literal terms row groups.
+        found = stored.where(F.col("bucket").isin([bucket_of(F.lit(t), self.blocks.buckets) for t in terms]) & named)
+        return found.select(*plain.columns)
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """Postings of some literal terms."""
+        return self._of_terms(self.postings, self.blocks and self.blocks.postings, terms)
+
+    def lexicon_of(self, terms: list[str]) -> DataFrame:
+        found = self._of_terms(self.lexicon, self.blocks and self.blocks.lexicon, terms)
+        return found.groupBy("term").agg(F.sum("df").cast("bigint").alias("df")) if self.blocks else found
+
 
 def build_index(corpus: DataFrame, stop_words: Iterable[str] | None = None) -> TfIdfIndex:
     """Index a corpus ``(file, transcript)`` without writing anything.

@@ -239,6 +239,22 @@ def q3_search_batch(spark, sf_dir):
     return res.select("query_id", "rank", "file", _round())
 
 
+def q2_search_stored(spark, sf_dir):
+    idx = _two_batch_store(spark, sf_dir, "q2s").index()
+    return search(idx, FLAGSHIP_TERMS, K, round_to=ROUND).select("rank", "file", _round())
+
+
+def q3_search_stored(spark, sf_dir):
+    """Bounds by block over both batches of a store; the same rows as a search of everything."""
+    idx = _two_batch_store(spark, sf_dir, "q3s").index()
+    return search_batch(idx, _queries(spark, sf_dir), K, round_to=ROUND).select("query_id", "rank", "file", _round())
+
+
+def a7_score_stored_documents(spark, sf_dir):
+    scores = scored_candidates(_two_batch_store(spark, sf_dir, "a7s").index(), _queries(spark, sf_dir))
+    return scores.select("query_id", "file", _round())
+
+
 # ---- output shaping -------------------------------------------------------
 
 def o1_format_results(spark, sf_dir):
@@ -331,6 +347,19 @@ def u2_compacted_postings(spark, sf_dir):
     return store.postings()
 
 
+def u2_tiered_postings(spark, sf_dir):
+    """Four batches, merged by size in tiers of two while they come."""
+    from hearsay.plans.ingest import ingest_corpus
+
+    store = _store(spark, "u2t")
+    corpus = documents_corpus(spark, sf_dir)
+    for part in range(4):
+        ingest_corpus(store, corpus.where(F.pmod(F.xxhash64("file"), F.lit(4)) == part), batch_id=f"part-{part}")
+        store.compact_tiers(2)
+    store.vacuum()
+    return store.postings()
+
+
 def a8_ingest_count(spark, sf_dir):
     from hearsay.plans.ingest import ingest_corpus
 
@@ -343,6 +372,49 @@ def a8_ingest_count(spark, sf_dir):
                          .otherwise(second).cast("bigint").alias("returned"), "batch_id", "n_documents")
 
 
+# ---- recordings (S1, S2, R1) -------------------------------------------------
+
+MEDIA = "txt"
+
+
+def _recordings(spark, sf_dir, name):
+    """A folder with one plain-text recording per document; a recording ends with a line feed."""
+    from hearsay.session import scratch_path
+
+    folder = scratch_path(spark, name)
+    docs = documents_corpus(spark, sf_dir).where(F.col("transcript").isNotNull())
+    docs.select("transcript").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def _exact_text():
+    """An extractor that changes no line end."""
+    def extract(path: str) -> str:
+        with open(path, encoding="utf-8", newline="") as recording:
+            return recording.read()
+    return extract
+
+
+def s2_staged_transcripts(spark, sf_dir):
+    from hearsay.session import scratch_path
+    from hearsay.sources.media import TranscriptStage, list_sources
+
+    stage = TranscriptStage(spark, scratch_path(spark, "s2-stage"))
+    stage.extract(list_sources(spark, _recordings(spark, sf_dir, "s2"), MEDIA), _exact_text)
+    return stage.transcripts().select("transcript")
+
+
+def r1_ingest_media_stream(spark, sf_dir):
+    from hearsay.session import scratch_path
+    from hearsay.streaming.ingest import ingest_media_stream
+
+    store = _store(spark, "r1m")
+    q = ingest_media_stream(spark, _recordings(spark, sf_dir, "r1m-media"), store, _exact_text,
+                            scratch_path(spark, "r1m-ckpt"), fmt=MEDIA, name="r1_media")
+    q.awaitTermination()
+    return store.documents().select("transcription", "num_terms", _tf_map_text().alias("tf_map"))
+
+
 # ---- streaming (R1–R3) ------------------------------------------------------
 
 def r1_ingest_stream(spark, sf_dir):
@@ -419,6 +491,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q2_search": q2_search,
     "q2_search_one_term": q2_search_one_term,
     "q3_search_batch": q3_search_batch,
+    "q2_search_stored": q2_search_stored,
+    "q3_search_stored": q3_search_stored,
+    "a7_score_stored_documents": a7_score_stored_documents,
     "o1_format_results": o1_format_results,
     "o2_results_json": o2_results_json,
     "s7_import_index": s7_import_index,
@@ -432,7 +507,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s6_scan_document_lists": s6_scan_document_lists,
     "s6_scan_documents": s6_scan_documents,
     "u2_compacted_postings": u2_compacted_postings,
+    "u2_tiered_postings": u2_tiered_postings,
     "a8_ingest_count": a8_ingest_count,
+    "s2_staged_transcripts": s2_staged_transcripts,
+    "r1_ingest_media_stream": r1_ingest_media_stream,
     "r1_ingest_stream": r1_ingest_stream,
     "r2_document_frequency_stream": r2_document_frequency_stream,
     "r3_search_stream": r3_search_stream,

@@ -65,6 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder and all in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_path(path: str) -> str:
     """``file:/x`` → ``/x`` for paths handed to the local file system."""
     return path[len("file:"):] if path.startswith("file:") else path

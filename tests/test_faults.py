@@ -19,7 +19,7 @@ CORPUS = "file string, transcript string"
 def test_replay_after_another_batch_took_the_files(spark, workdir, golden_corpus):
     store = IndexStore(spark, workdir + "/ix").create()
     # b1 is interrupted after its documents are written, b2 takes the same files, b1 is replayed.
-    store._overwrite(ix.build_documents(golden_corpus, store.settings_stop_words()), "documents", store._attempt("b1"))
+    store._write_batch(ix.build_documents(golden_corpus, store.settings_stop_words()), store._attempt("b1"))
     assert ingest_corpus(store, golden_corpus, "b2") == 4
     assert ingest_corpus(store, golden_corpus, "b1") == 0
     assert store.documents().count() == 4
@@ -47,7 +47,7 @@ def test_vacuum_interrupted_at_any_delete_shows_the_same_snapshot(spark, workdir
     assert set(rows["c2"]["replaces"]) == {"c1", "s0", "s1", "s2"}
     jvm = spark.sparkContext._jvm
     for gone in ("c1", "s1", "s0"):        # commit rows deleted one by one, the chain's middle first
-        path = jvm.org.apache.hadoop.fs.Path(f"{store.path('commits')}/batch_id={gone}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{store.path('commits')}/{rows[gone]['number']:020d}.json")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         assert store.committed_ids() == ["c2"] and store.documents().count() == 4
     store.vacuum()

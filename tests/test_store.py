@@ -58,8 +58,7 @@ def test_interrupted_ingest_invisible_then_replayed(spark, workdir, golden_corpu
     store = IndexStore(spark, workdir + "/crash", GOLDEN_STOP_WORDS).create()
     # A crash after the documents and postings writes, before the commit row.
     docs = ix.build_documents(golden_corpus, GOLDEN_STOP_WORDS)
-    store._overwrite(docs, "documents", "b1")
-    store._overwrite(ix.postings_from_documents(docs), "postings", "b1")
+    store._write_batch(docs, store._attempt("b1"))
     assert store.documents().count() == 0 and store.postings().count() == 0
     assert search(store.index(), ["ice"], 3).count() == 0
     assert ingest_corpus(store, golden_corpus, "b1") == 4

@@ -48,7 +48,7 @@ def main() -> None:
     store = IndexStore(spark, scratch_path(spark, "plans")).create()
     ingest_corpus(store, documents_corpus(spark, sf_dir), "documents")
     queries = benchmark_queries(spark, sf_dir).where(F.col("status") == "ok").select("query_id", "terms")
-    batch_docs = store._batch("documents", "documents")
+    batch_docs = store._committed("documents", store.visible_batches())
     sections = [
         ("Index build: documents (tokenise + count in the row; the only exchange spreads a one-row-group input)",
          tree(ix.build_documents(documents_corpus(spark, sf_dir)), run=False)),
