@@ -7,11 +7,11 @@ are judged on the input, not on what is left.
 
 1. One pass parses every text by recompression and takes its anchors: for each
    window the two symbols that every other window of the same words takes too.
-2. A text whose whole word sequence a smaller id has is removed as a whole; the
-   smallest id of such a group stands for it from here on.
+2. A row whose whole word sequence a smaller id has is removed as a whole; the
+   smallest id of such a group stands for it from here on. Other rows of its id stay.
 3. Spark counts the texts of each anchor. Only windows whose anchor more than
    one text has can repeat; they, and windows without an anchor (in periodic
-   text), go on as 64-bit hashes of their words.
+   text), go on as two 64-bit hashes of their words.
 4. Spark finds the smallest id of each window; windows that a smaller id has
    mark their words.
 
@@ -89,6 +89,17 @@ def _distinct(row: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (row[new], *(c[new] for c in columns))
 
 
+def _among(pairs: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
+    """Which of the pairs are among the known ones."""
+    first, second = (np.concatenate(both) for both in zip(pairs, known))
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    return np.isin(group[:len(pairs[0])], group[len(pairs[0]):])
+
+
 def _lists(row: np.ndarray, values: np.ndarray, count: int) -> pa.ListArray:
     ends = np.searchsorted(row, np.arange(count + 1))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
@@ -112,7 +123,7 @@ def parsed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def open_windows(texts: DataFrame, size: int) -> DataFrame:
-    """``(h, id)``: the distinct windows of each text that have no anchor or one of ``shared``."""
+    """``(h, g, id)``: the distinct windows of each text that have no anchor or one of ``shared``, by two hashes."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -123,10 +134,11 @@ def open_windows(texts: DataFrame, size: int) -> DataFrame:
             owner = np.repeat(np.arange(part.num_rows), np.diff(shared.offsets.to_numpy()))
             known = shared.flatten().to_numpy().view(np.uint64)
             wanted = (found == 0) | np.isin(mix(found + w.row.astype(np.uint64) * BASE), mix(known + owner.astype(np.uint64) * BASE))
-            row, h = _distinct(w.row[wanted], w.rolled(41)[wanted])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(row))], names=["h", "id"])
+            row, h, g = _distinct(w.row[wanted], w.rolled(41)[wanted], w.rolled(42)[wanted])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column(0).take(pa.array(row))],
+                                             names=["h", "g", "id"])
 
-    return map_arrow(texts.select("id", "text", "shared"), run, f"h long, id {id_type}")
+    return map_arrow(texts.select("id", "text", "shared"), run, f"h long, g long, id {id_type}")
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -143,13 +155,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """``(key, prints, hashes)`` of the ids that lose words.
 
     ``prints`` are whole texts of that id that a smaller id has, ``hashes``
-    windows that a smaller id has, both as 64-bit hashes.
+    windows that a smaller id has, ``(h, g)`` each.
     """
-    docs = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).where(F.col("id").isNotNull())
+    docs = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).where(
+        F.col("id").isNotNull() & F.col("text").isNotNull())
     known = stored(parsed(docs, size), "parsed").where(F.col("n") >= size)
-    copies = known.select("id", "n", "f1", "f2").join(_shared(known, "n", "f1", "f2"), ["n", "f1", "f2"]).where("id > least")
-    copies = stored(copies.groupBy("id").agg(F.collect_set("f1").alias("prints")), "copies")
-    first = known.join(copies.select("id"), "id", "left_anti")
+    copied = known.select("id", "n", "f1", "f2").join(_shared(known, "n", "f1", "f2"), ["n", "f1", "f2"]).where("id > least")
+    copied = stored(copied.select("id", "n", "f1", "f2").distinct(), "copies")
+    copies = copied.groupBy("id").agg(F.collect_list(F.struct("f1", "f2")).alias("prints"))
+    # Rows, not ids: an id may have other texts that are no copies.
+    first = known.join(copied, ["id", "n", "f1", "f2"], "left_anti")
 
     marks = stored(first.select("id", F.explode("anchors").alias("anchor")), "anchors")
     own = marks.join(_shared(marks, "anchor"), "anchor").select("id", "anchor")
@@ -157,8 +172,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     open_texts = stored(own.union(bare).groupBy("id").agg(F.collect_list("anchor").alias("shared")), "open")
     # Computed anew for the join rather than stored: the rows are many and cheap to make.
     found = open_windows(IdFilter(open_texts, "id").rows(docs, "id").join(open_texts, "id"), size)
-    lost = found.join(_shared(found, "h"), "h").where("id > least")
-    lost = lost.groupBy("id").agg(F.collect_list("h").alias("hashes"))
+    lost = found.join(_shared(found, "h", "g"), ["h", "g"]).where("id > least")
+    lost = lost.groupBy("id").agg(F.collect_list(F.struct("h", "g")).alias("hashes"))
     return copies.join(lost, "id", "full_outer").select(F.col("id").alias(key), "prints", "hashes")
 
 
@@ -184,14 +199,15 @@ def _cut(docs: DataFrame, key: str, text: str, size: int, keep: tuple[str, ...],
             out = [" ".join(WORD.findall(t)) for t in texts] if rejoin else part.column(0).to_pylist()
             if touched:
                 w = Windows([texts[i] for i in touched], size)
-                whole, rolled = w.prints(31).view(np.int64).tolist(), w.rolled(41).view(np.int64)
+                whole = [{"f1": a, "f2": b} for a, b in zip(*(w.prints(seed).view(np.int64).tolist() for seed in (31, 32)))]
+                rolled = w.rolled(41).view(np.int64), w.rolled(42).view(np.int64)
                 edges = np.searchsorted(w.row, np.arange(len(touched) + 1))
                 for j, i in enumerate(touched):
                     n = int(w.counts[j])
                     if whole[j] in (prints[i] or ()):
                         removed[i], out[i] = n, ""
                     elif hashes[i].is_valid and n >= size:
-                        hit = np.isin(rolled[edges[j]:edges[j + 1]], hashes[i].values.to_numpy())
+                        hit = _among([r[edges[j]:edges[j + 1]] for r in rolled], [hashes[i].values.field(c).to_numpy() for c in (0, 1)])
                         cover = np.zeros(n + 1, np.int64)
                         cover[:n - size + 1] += hit
                         cover[size:] -= hit

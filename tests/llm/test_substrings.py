@@ -80,3 +80,18 @@ def test_parse_does_not_depend_on_the_neighbouring_texts():
     assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
     alone = Windows(["q r s " * 30], 50)
     assert alone.anchors().tolist() == w.anchors()[w.row == 2].tolist()
+
+
+def test_an_id_with_several_texts(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(3, x), (5, x), (5, y + " e"), (9, y + " f"), (9, x + " g"), (4, None), (4, y)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    check(spark.createDataFrame(rows[:4], "doc_id long, text string"))
+    got = {(r["doc_id"], r["n_removed"]) for r in substrings.without_repeats(spark.createDataFrame(rows[:4], "doc_id long, text string")).collect()}
+    assert got == {(3, 0), (5, 60), (5, 0), (9, 60)}
+
+
+def test_windows_are_known_by_both_hashes():
+    pairs = [np.array([1, 1, 2, 3]), np.array([7, 8, 7, 9])]
+    assert substrings._among(pairs, [np.array([1, 3, 3]), np.array([8, 9, 9])]).tolist() == [False, True, False, True]
+    assert substrings._among(pairs, [np.array([], np.int64)] * 2).tolist() == [False] * 4
