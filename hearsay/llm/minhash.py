@@ -22,7 +22,7 @@ With 42 bands of 6 bins, a pair at the threshold of 0.8 shares no bucket with
 probability 3e-6. No bucket is capped.
 
 Rows: documents without text or words have the empty set and are linked with
-nothing. Rows that share an id are one node. Rows with a null id are linked with
+nothing. Rows that share an id are one node with all their sets. Rows with a null id are linked with
 nothing and have a null component. Very long texts are read whole. An empty
 table gives an empty result. Columns other than id and text are left out.
 """
@@ -44,7 +44,8 @@ BINS, BANDS, ROWS = 256, 42, 6
 SIZE = 5
 THRESHOLD = (80, 100)       # links have 100 * intersection >= 80 * union
 # The sketch keeps one bit of each bin. At a similarity of 0.8 about 230 of 256
-# bits agree, with a deviation of 5; sets under SKETCHED shingles are not judged by it.
+# bits agree, with a deviation of 5: a linked pair falls below SKETCH_AGREE with a chance of
+# 7e-9 (binomial tail). Sets under SKETCHED shingles are not judged by it.
 SKETCH_AGREE, SKETCHED = 200, 128
 
 
@@ -146,7 +147,7 @@ def judged(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[int,
                         last, own = text, shingles(*words([text], lower=True), size)[0]
                     only = np.setxor1d(found, own, assume_unique=True)
                     both, either = (len(found) + len(own) - len(only)) // 2, (len(found) + len(own) + len(only)) // 2
-                    linked.append(both * whole >= least * either)
+                    linked.append(both > 0 and both * whole >= least * either)
                     differ.append(len(only))
                     spots = np.zeros(256, np.uint8)
                     spots[(mix(only, 14) >> np.uint64(56)).astype(np.int64)] = 1
@@ -185,6 +186,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = stored(whole.groupBy("f1", "f2", "n").agg(F.min("id").alias("node")), "sets")
     rows = stored(signed.select("id", "n", "f1", "f2").join(sets, ["f1", "f2", "n"], "left")
                   .select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
+    # An id with several sets links the nodes that stand for them.
+    several = stored(rows.groupBy("id").agg(F.min("node").alias("own"), F.max("node").alias("other"), F.count_if(F.col("node").isNull()).alias("bare"))
+                     .where((F.col("own") != F.col("other")) | (F.col("own").isNotNull() & (F.col("bare") > 0))), "several")
+    own_links = rows.join(several, "id").where(F.col("node") != F.col("own")).select(F.col("node").alias("a"), F.col("own").alias("b"))
     nodes = rows.where(F.col("id") == F.col("node")).select("id").distinct()
     signed_nodes = whole.join(nodes, "id", "left_semi")
 
@@ -199,10 +204,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = stored(stars.select("a", "b").distinct(), "pairs")
 
     paired = stored(members.select(F.col("a").alias("id")).distinct(), "paired")
-    bodies = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+    bodies = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).where(F.col("text").isNotNull())
     texts = stored(IdFilter(paired, "id").rows(bodies, "id").join(paired, "id", "left_semi"), "texts")
     stars = stored(judged(pairs, texts, size, threshold), "stars")
-    labels = connected_components(stars.where("linked"))
+    labels = connected_components(stars.where("linked").select("a", "b").union(own_links))
 
     labelled = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
         "bucket", "a", "n", F.coalesce("component", "a").alias("label"))
@@ -231,7 +236,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     more = judged(rest, texts, size, threshold).where("linked")
     labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
 
-    out = rows.join(labels, "node", "left")
+    # A row without words of an id that has others goes with them.
+    out = rows.join(several.select("id", "own"), "id", "left").withColumn("node", F.coalesce("node", "own")).join(labels, "node", "left")
     component = F.coalesce("component", "node", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
@@ -241,9 +247,9 @@ def keep_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
                    threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns.
 
-    Repeated rows of one id count as one document, and one row of them stays;
-    rows with a null id all stay.
+    All different texts of that id stay; of rows with the same id and text one
+    stays. Rows with a null id all stay.
     """
     found = near_duplicates(docs, key, text, size, threshold).where(F.col("kept")).select(F.col(key).alias("_kept_id_")).dropna().distinct()
-    with_id = docs.join(found, docs[key] == found["_kept_id_"]).drop("_kept_id_").dropDuplicates([key])
+    with_id = docs.join(found, docs[key] == found["_kept_id_"]).drop("_kept_id_").dropDuplicates([key, text])
     return with_id.union(docs.where(docs[key].isNull()))

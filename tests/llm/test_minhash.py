@@ -112,3 +112,30 @@ def test_connected_components(spark):
             parent[max(x, y)] = min(x, y)
     assert found == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    x, y, z, w = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyzw")
+    rows = [(3, x), (4, y), (5, x), (5, y), (5, None), (7, z), (8, w), (9, z), (9, w + " more"), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in minhash.near_duplicates(docs, size=4).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got == {3: {3}, 4: {3}, 5: {3}, 6: {6}, 7: {7}, 8: {7}, 9: {7}}
+    kept = minhash.keep_documents(docs, size=4).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == [(3, x), (6, ""), (7, z), (7, None)]
+
+
+def test_no_text_of_a_kept_id_is_lost(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    docs = spark.createDataFrame([(1, t, "en") for t in texts] + [(1, texts[0], "en"), (2, texts[1], "en")], "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_documents(docs, size=4).collect()) == sorted((1, t) for t in texts)
+
+
+def test_empty_rows_link_nothing(spark):
+    """Two ids whose texts meet in a bucket but are not alike enough, and that both have rows without words."""
+    a = [f"w{i}" for i in range(200)]
+    b = a[:150] + [f"v{i}" for i in range(50)]
+    rows = [(1, " ".join(a)), (1, ""), (1, None), (2, " ".join(b)), (2, " "), (2, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 2)}
