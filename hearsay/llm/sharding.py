@@ -2,8 +2,9 @@
 
 Rows go to shards of nearly equal bytes. Rows of equal text are one point of the
 tree. From the root on, each node is cut across the dimension along which its
-bytes lie widest apart, at the weighted quantile that gives each side the bytes
-of its share of the shards, until a node is one shard. With a target size
+bytes lie widest apart (their standard deviation, compared with that of the
+whole table's), at the weighted quantile that gives each side the bytes of its
+share of the shards, until a node is one shard. With a target size
 instead of a number of shards, there are as many shards as the bytes need.
 
 A cut needs no sorting. A point's place along a dimension is a 40-bit number,
@@ -13,12 +14,14 @@ in all nodes of a level at once; the digit in which the wanted share falls is
 kept and the next one looked at. So a level takes a few sums of a bounded number
 of rows, whatever the table's size.
 
-A text that weighs more than ``HEAVY`` of a shard would upset its node. Its rows
-are cut too: such points are told apart by row, by a hash of the key.
+Equal texts stay together unless they weigh more than a whole shard. Such a group
+is cut, by a hash of the key, into pieces of about a shard over ``PIECES``; its
+pieces lie side by side along every dimension, so it fills neighbouring shards
+and no more than its bytes need and a cut may add.
 
 Rows: a null text counts as the empty text, of ``OVERHEAD`` bytes. Null
 dimensions form one value of their own. Rows of one key and text that
-are repeated stay apart only by chance of their place. An empty table gives an
+are repeated stay together. An empty table gives an
 empty result. Other columns are left out, so clashing names do no harm.
 """
 
@@ -33,7 +36,8 @@ from hearsay.llm.tasks import stored
 
 SHARDS = 40
 OVERHEAD = 16
-HEAVY = 0.01
+PIECES = 8
+PIECE_BITS = 10
 DIGIT = 10
 VALUE_BITS, PLACE_BITS = 20, 40
 ROWS_PER_SHARE = 20_000
@@ -49,16 +53,31 @@ def _named(value: Column) -> Column:
     return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << VALUE_BITS)))
 
 
-def _cuts(points: DataFrame, widths: dict[int, int], dims: list[str]) -> dict[int, tuple[str, int]]:
-    """For each node to cut, its widest dimension and the place below which the left side lies."""
-    spread = points.groupBy("node").agg(
-        F.sum("bytes").alias("total"),
-        *(F.coalesce(F.stddev_pop(F.col(f"d_{d}") / (1 << VALUE_BITS)), F.lit(0.0)).alias(d) for d in dims))
+def _spreads(points: DataFrame, dims: list[str]) -> list:
+    """For each node its bytes, and how far they lie apart along each dimension."""
+    weigh = F.col("bytes").cast("double")
+    sums = points.groupBy("node").agg(
+        F.sum("bytes").alias("total"), F.sum(weigh).alias("w"),
+        *(F.sum(weigh * F.col(f"d_{d}") / (1 << VALUE_BITS)).alias(f"s_{d}") for d in dims),
+        *(F.sum(weigh * F.pow(F.col(f"d_{d}") / (1 << VALUE_BITS), 2)).alias(f"q_{d}") for d in dims))
+    # Rounded, so that the order of summing does not choose a dimension.
+    return sums.select("node", "total", *(
+        F.round(F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{d}") / F.col("w") - F.pow(F.col(f"s_{d}") / F.col("w"), 2))), 6).alias(d)
+        for d in dims)).collect()       # a row for each node, at most the number of shards
+
+
+def _cuts(points: DataFrame, widths: dict[int, int], dims: list[str], whole: dict[str, float]) -> dict[int, tuple[str, int]]:
+    """For each node to cut, its widest dimension and the place below which the left side lies.
+
+    ``whole`` has the spreads of the root, filled in when the root is cut. Of equal spreads the first dimension's counts.
+    """
     nodes = {}
-    for row in spread.collect():        # a row for each node, at most the number of shards
+    for row in _spreads(points, dims):
+        if not whole:
+            whole.update({d: row[d] or 1.0 for d in dims})
         if widths.get(row["node"], 1) > 1:
             shards = widths[row["node"]]
-            nodes[row["node"]] = [max(dims, key=lambda d: row[d]), 0, int(row["total"]) * (shards // 2) / shards]
+            nodes[row["node"]] = [max(dims, key=lambda d: row[d] / whole[d]), 0, int(row["total"]) * (shards // 2) / shards]
     if not nodes:
         return {}
     # Digit by digit, the place in which the wanted bytes are reached.
@@ -101,25 +120,29 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     if not number or number < 1:
         raise ValueError("a positive number of shards or target is needed")
 
-    heavy = total / number * HEAVY
-    texts = rows.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), *(F.min(f"c_{c}").alias(f"c_{c}") for c in (*counts, *names)))
+    # Stored before it is joined back: both sides then come straight from a
+    # shuffle, and Spark splits a text that very many rows share.
+    texts = stored(rows.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), *(F.min(f"c_{c}").alias(f"c_{c}") for c in (*counts, *names))), "texts")
+    share = total / number
+    pieces = F.when(F.col("weight") > share, F.least(F.lit(1 << PIECE_BITS), F.ceil(F.col("weight") * PIECES / share))).cast("long")
     rows = stored(rows.select("key", "size", "crc", "h1", "h2").join(texts, ["h1", "h2"]).select(
-        "key", "size", "crc", *(f"c_{c}" for c in (*counts, *names)),
-        F.when(F.col("weight") > heavy, F.xxhash64("h1", "h2", "key", F.lit(2))).otherwise(F.col("h1")).alias("h1"),
-        F.when(F.col("weight") > heavy, F.xxhash64("h2", "key", F.lit(3))).otherwise(F.col("h2")).alias("h2")), "rows")
+        "key", "size", "crc", "h1", "h2", *(f"c_{c}" for c in (*counts, *names)),
+        F.coalesce(F.pmod(F.xxhash64("h1", "key"), pieces), F.lit(-1)).alias("part")), "rows")
 
     values = {"size": _scaled(F.col("size"))} | {c: _scaled(F.greatest(F.coalesce(F.col(f"c_{c}"), F.lit(0.0)), F.lit(0.0))) for c in counts}
     values |= {c: _named(F.col(f"c_{c}")) for c in names}
     behind = F.pmod("h2", F.lit(1 << (PLACE_BITS - VALUE_BITS)))
-    points = stored(rows.groupBy("h1", "h2").agg(
+    group = F.shiftleft(F.shiftright(behind, PIECE_BITS), PIECE_BITS)
+    behind = F.when(F.col("part") < 0, behind).otherwise(group + F.col("part"))
+    points = stored(rows.groupBy("h1", "h2", "part").agg(
         F.sum("size").alias("bytes"), *(F.min(values[d]).alias(f"d_{d}") for d in dims)).select(
-        "h1", "h2", "bytes", *(f"d_{d}" for d in dims),
+        "h1", "h2", "part", "bytes", *(f"d_{d}" for d in dims),
         *(F.shiftleft(f"d_{d}", PLACE_BITS - VALUE_BITS).bitwiseOR(behind).alias(f"p_{d}") for d in dims)), "points")
 
     # Nodes are numbered by the first shard under them.
-    now, widths = points.withColumn("node", F.lit(0)), {0: number}
+    now, widths, whole = points.withColumn("node", F.lit(0)), {0: number}, {}
     while any(w > 1 for w in widths.values()):
-        cuts = _cuts(now, widths, dims)
+        cuts = _cuts(now, widths, dims, whole)
         after, moved = {}, F.col("node")
         for node, width in widths.items():
             left = width // 2
@@ -132,7 +155,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         # A node without rows has no cut; its shards stay empty.
         widths = after
         now = stored(now.withColumn("node", moved), "level")
-    placed = rows.join(now.select("h1", "h2", F.col("node").alias("shard")), ["h1", "h2"])
+    placed = rows.join(now.select("h1", "h2", "part", F.col("node").alias("shard")), ["h1", "h2", "part"])
     return placed.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard")
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from hearsay.llm import sharding
+from hearsay.llm.queries import op6_kd_sharding
 
 
 def check(docs, shards, slack):
@@ -27,6 +28,28 @@ def test_shards_are_nearly_equal_in_bytes(spark):
     check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 7, 0.03)
 
 
+def test_equal_texts_stay_together_in_the_query(spark):
+    rows = op6_kd_sharding(spark, "/root/testdata/sf0.01").collect()
+    places, weight, sizes = defaultdict(set), Counter(), Counter()
+    for r in rows:
+        places[r["text_crc32"], r["size"]].add(r["shard"])
+        weight[r["text_crc32"], r["size"]] += r["size"]
+        sizes[r["shard"]] += r["size"]
+    share = sum(sizes.values()) / 40
+    assert max(weight.values()) < share and all(len(p) == 1 for p in places.values())
+    # As near as whole groups of equal texts allow.
+    assert max(abs(sizes[k] - share) for k in range(40)) <= max(0.05 * share, max(weight.values()) / 2)
+
+
+def test_a_group_beyond_a_shard_fills_neighbouring_ones(spark):
+    rows = [(i, "the same text in every row") for i in range(3000)] + [(5000 + i, f"text {i} " * 4) for i in range(1000)]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    placed = sharding.kd_shards(docs, 10).collect()
+    own = {r["shard"] for r in placed if r["doc_id"] < 5000}
+    weight, total = (sum(r["size"] for r in placed if r["doc_id"] < limit) for limit in (5000, 10**9))
+    assert len(own) <= weight / (total / 10) + 2
+
+
 def test_odd_rows(odd_documents, empty_documents):
     check(odd_documents, 3, None)
     assert sharding.with_slots(sharding.kd_shards(empty_documents, 3)).count() == 0
