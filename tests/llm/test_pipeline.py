@@ -20,7 +20,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     rel = con.sql(sql.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns) and types_match(df, rel) == []
