@@ -7,22 +7,29 @@ words' conditional log-probabilities.
 
 The lexicon holds every word of the corpus with its count, in a stored table that
 grows with the corpus. The softmax covers the ``VOCABULARY`` most frequent words
-and one entry for all others. Among the others, a word has its own corpus
-frequency: a target's probability is the entry's times the word's count over the
-count of all others. Of these words, at most ``COMMON`` are sent to the tasks;
-the rest are looked up by a join with the table. In a context, a word outside the
-softmax adds the sum of two hashed embeddings to the entry's; their number grows
-with the root of the number of words, so that few words share both. A word that
-the lexicon does not have counts as if seen once. Training goes over the whole corpus in ``ROUNDS``
-rounds. The positions are dealt to the rounds by a hash of the document's words
-and the place in it, so that each is a target once, however rows are batched;
-every ``SHARD_WORDS`` words train a copy of the model from where the round
+and ``TAILS`` entries among which all other words are dealt by a hash. So every
+word is predicted from both sides: by its own entry, or by its tail's entry and
+then its share of the tail's count. Of the words in the tails, at most ``COMMON``
+are sent to the tasks with their counts; the rest are looked up by a join with
+the table. In a context, a word outside the vocabulary adds the sum of two hashed
+embeddings to the one that all such words have; their number grows with the root
+of the number of words, so that few words share both. A word that the lexicon
+does not have counts as if seen once.
+
+Training goes over the whole corpus in ``ROUNDS`` rounds. Texts are dealt to
+shards by a hash of key and words, ``SHARD_WORDS`` words to a shard on average,
+and ordered by it within; a shard is stored as one row of words, and cut where it
+holds twice as many. Each shard trains a copy of the model from where the round
 began, Spark sums the changes weighted by positions, and the mean is the next
-round's start. What is gathered grows with the corpus, one model for each shard
-and combined in the tasks before it is shuffled; the driver gets one model.
+round's start. The places of a shard are dealt to the rounds by a hash, so that
+each is a target once. Sums are of whole numbers. Thus the model depends on the
+rows alone, not on how the table is split or which task ends first. What is
+gathered grows with the corpus: one model for each task, added up in groups; the
+driver gets one model.
 
 Rows: null and empty texts have no words and score 0, with a null mean. Texts of
-any length are read whole. Repeated rows train and score each. An empty table
+any length are read whole. Repeated rows train and score each; rows that are equal
+in key and words pass through one task as a stream. An empty table
 gives an empty result. Columns other than key and text are left out.
 """
 
@@ -42,12 +49,19 @@ from hearsay.llm.wordhash import mix, words
 NONE = np.zeros(0, np.uint64)
 
 CLASSES = 32
-VOCABULARY = CLASSES * 32 - 1       # and one entry for all other words
+VOCABULARY = CLASSES * 32 - 1
+TAILS = CLASSES * 64 - VOCABULARY   # entries for all other words
 COMMON = 1 << 18                    # at most so many other words are sent to the tasks
 REACH = 2
 WIDTH = 24
 ROUNDS = 2
 SHARD_WORDS = 2_000_000
+MOST_TASKS = 10_000                 # tasks that write shards; each may hold several
+OTHER = np.uint32(1 << 31)          # codes from here on are words outside the vocabulary, by 31 bits of their hash
+PAD = OTHER - np.uint32(1)
+FRACTION = 4096.0                   # changes are summed in these parts of a position
+CHUNK = 1024
+GROUPS = 64
 BATCH = 4096
 RATE = 0.1
 SEED = 5
@@ -58,12 +72,13 @@ class Lexicon:
     """Words by the hash of their lower-case form: those of the softmax, and the others with their counts."""
 
     hashes: np.ndarray          # sorted
-    ids: np.ndarray             # entry of each; 0 is the other words
-    counts: np.ndarray          # by entry
+    ids: np.ndarray             # entry of each; 0 is any other word
+    counts: np.ndarray          # by entry; entry 0 and the last ``tails - 1`` are the other words'
     others: int
     common: np.ndarray = field(default_factory=NONE.copy)           # the most frequent others, sorted
     common_counts: np.ndarray = field(default_factory=NONE.copy)
     table: DataFrame | None = None                                  # stored (word, n) of all words
+    tails: int = 1
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         return _find(self.hashes, self.ids, hashes)
@@ -72,6 +87,26 @@ class Lexicon:
         """The counts of words outside the softmax; 0 for those that are not sent to the tasks."""
         return _find(self.common, self.common_counts.astype(np.int64), hashes)
 
+    @property
+    def vocabulary(self) -> int:
+        return len(self.counts) - self.tails
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Words in 32 bits: the entry, or beyond ``OTHER`` 31 bits of the hash."""
+        ids = self.lookup(hashes)
+        return np.where(ids > 0, ids.astype(np.uint32), OTHER | (hashes >> np.uint64(33)).astype(np.uint32))
+
+    def spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each code: its entry in a context, in the softmax, and its two buckets of hashed embeddings."""
+        context, target = codes.astype(np.int64), codes.astype(np.int64)
+        pairs, other = np.zeros((2, len(codes)), np.int32), np.flatnonzero(codes >= OTHER)
+        rest = (codes[other] ^ OTHER).astype(np.uint64)
+        tail, mixed = (rest % np.uint64(self.tails)).astype(np.int64), mix(rest, 59)
+        context[other], target[other] = 0, np.where(tail > 0, self.vocabulary + tail, 0)
+        pairs[0, other], pairs[1, other] = mixed % np.uint64(self.buckets), (mixed >> np.uint64(32)) % np.uint64(self.buckets)
+        context[codes == PAD] = self.vocabulary + 1
+        return context, target, pairs
+
     @property
     def buckets(self) -> int:
         return 1 << math.ceil(2 + math.log2(self.others) / 2)
@@ -96,8 +131,8 @@ def _hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY,
-                common: int = COMMON) -> Lexicon:
-    """All words of all documents. Ties for the softmax go to the smaller hash."""
+                common: int = COMMON, tails: int = 1) -> Lexicon:
+    """All words of all documents. Ties for the vocabulary go to the smaller hash."""
 
     def run(batches):
         for part in text_slices(batches, max_bytes=8 << 20):
@@ -109,9 +144,13 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     table = np.array([(r["word"], r["n"]) for r in ranked.collect()], np.int64).reshape(-1, 2)      # at most ``vocabulary`` rows
     totals = counted.agg(F.count("*").alias("types"), F.sum("n").alias("n")).first()
     order = np.argsort(table[:, 0].view(np.uint64))
-    counts = np.zeros(vocabulary + 1)
+    by_tail = np.zeros(tails, np.int64)
+    for r in counted.groupBy((F.shiftrightunsigned("word", 33) % tails).alias("tail")).agg(F.sum("n").alias("n")).collect():     # ``tails`` rows
+        by_tail[r["tail"]] = r["n"]
+    np.subtract.at(by_tail, ((table[:, 0].view(np.uint64) >> np.uint64(33)) % np.uint64(tails)).astype(np.int64), table[:, 1])
+    counts = np.zeros(vocabulary + tails)
     counts[1:len(table) + 1] = table[:, 1]
-    counts[0] = (totals["n"] or 0) - table[:, 1].sum()
+    counts[0], counts[vocabulary + 1:] = by_tail[0], by_tail[1:]
     # The others from the count on at which no more than ``common`` words are left.
     least, left = math.inf, common + len(table)
     for r in counted.groupBy("n").count().orderBy(F.desc("n")).toPandas().itertuples(index=False):     # distinct counts, few
@@ -123,17 +162,17 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     sent = sent[~np.isin(sent[:, 0], table[:, 0])]
     sent = sent[np.argsort(sent[:, 0].view(np.uint64))]
     return Lexicon(np.ascontiguousarray(table[order, 0]).view(np.uint64), order + 1, counts, max(1, totals["types"] - len(table)),
-                   np.ascontiguousarray(sent[:, 0]).view(np.uint64), sent[:, 1], counted)
+                   np.ascontiguousarray(sent[:, 0]).view(np.uint64), sent[:, 1], counted, tails)
 
 
 class Network:
-    """Parameters as one flat vector with views into it."""
+    """Parameters as one flat vector with views into it. ``size`` entries are predicted, two steps of classes and words."""
 
     def __init__(self, lexicon: Lexicon, flat: np.ndarray | None = None):
-        size = len(lexicon.counts)
-        within = size // CLASSES
-        shapes = {"embed": (2 * REACH, size + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
-                  "to_word": (CLASSES, WIDTH, within), "word_bias": (CLASSES, within),
+        size, self.pad = len(lexicon.counts), lexicon.vocabulary + 1
+        self.within = size // CLASSES
+        shapes = {"embed": (2 * REACH, self.pad + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
+                  "to_word": (CLASSES, WIDTH, self.within), "word_bias": (CLASSES, self.within),
                   "rare": (lexicon.buckets, WIDTH)}
         total = sum(math.prod(s) for s in shapes.values())
         fresh = flat is None
@@ -143,10 +182,9 @@ class Network:
             self.views[name] = self.flat[at:at + math.prod(shape)].reshape(shape)
             at += math.prod(shape)
         # Entries are dealt to classes in turn by frequency, so that classes weigh alike.
-        self.pad, self.within = size, within
         if fresh:
             share = (lexicon.counts + 1) / (lexicon.counts + 1).sum()
-            by_class = share.reshape(within, CLASSES).T
+            by_class = share.reshape(self.within, CLASSES).T
             self.views["class_bias"][:] = np.log(by_class.sum(axis=1))
             self.views["word_bias"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
 
@@ -161,21 +199,25 @@ class Network:
                 total[some] += v["rare"].take(rare[0, some, k], axis=0) + v["rare"].take(rare[1, some, k], axis=0)
         return np.tanh(total, out=total)
 
+    def _classes(self, h: np.ndarray) -> np.ndarray:
+        """Logits of the classes, one column for each row of ``h``."""
+        return self.views["to_class"].T @ h.T + self.views["class_bias"][:, None]
+
     def _within(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Logits of the words of each row's class; rows are sorted by class."""
-        v, logits = self.views, np.empty((len(h), self.within), np.float32)
+        """Logits of the words of each row's class, one column for each row; rows are sorted by class."""
+        v, logits = self.views, np.empty((self.within, len(h)), np.float32)
         for c, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                np.matmul(h[a:b], v["to_word"][c], out=logits[a:b])
-                logits[a:b] += v["word_bias"][c]
+                logits[:, a:b] = v["to_word"][c].T @ h[a:b].T
+                logits[:, a:b] += v["word_bias"][c][:, None]
         return logits
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         order, cls, edges = _by_class(target)
-        v, h, word = self.views, self.hidden(context, rare)[order], target[order] // CLASSES
+        h, word = self.hidden(context, rare)[order], target[order] // CLASSES
         every, out = np.arange(len(h)), np.empty(len(h), np.float32)
-        logits, within = h @ v["to_class"] + v["class_bias"], self._within(h, edges)
-        out[order] = logits[every, cls] - _log_sum(logits) + within[every, word] - _log_sum(within)
+        logits, within = self._classes(h), self._within(h, edges)
+        out[order] = logits[cls, every] - _log_sum(logits) + within[word, every] - _log_sum(within)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
@@ -191,32 +233,36 @@ class Network:
             g.views[name] = grown[at:at + view.size].reshape(view.shape)
             at += view.size
         every = np.arange(len(h))
-        error = _softmax(h @ v["to_class"] + v["class_bias"])
-        error[every, cls] -= 1
-        g.views["to_class"][:], g.views["class_bias"][:] = h.T @ error, error.sum(axis=0)
-        back = error @ v["to_class"].T
+        error = _softmax(self._classes(h))
+        error[cls, every] -= 1
+        g.views["to_class"][:], g.views["class_bias"][:] = (error @ h).T, error.sum(axis=1)
+        back = error.T @ v["to_class"].T
         error = _softmax(self._within(h, edges))
-        error[every, word] -= 1
+        error[word, every] -= 1
         for c, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                g.views["to_word"][c], g.views["word_bias"][c] = h[a:b].T @ error[a:b], error[a:b].sum(axis=0)
-                back[a:b] += error[a:b] @ v["to_word"][c].T
+                part = error[:, a:b]
+                g.views["to_word"][c], g.views["word_bias"][c] = (part @ h[a:b]).T, part.sum(axis=1)
+                back[a:b] += part.T @ v["to_word"][c].T
         back *= 1 - h * h
         g.views["bias"][:] = back.sum(axis=0)
         for k in range(2 * REACH):
-            _add_rows(g.views["embed"][k], context[:, k], back)
+            near = context[:, k]
+            known, some = np.flatnonzero(near), np.flatnonzero(near == 0)
+            _add_rows(g.views["embed"][k], near.take(known), back.take(known, axis=0))
+            moved = back.take(some, axis=0)
+            g.views["embed"][k][0] += moved.sum(axis=0)
             if rare is not None:
-                some = np.flatnonzero(context[:, k] == 0)
-                moved = back.take(some, axis=0)
                 for each in rare:
-                    _add_rows(g.views["rare"], each[some, k], moved)
+                    _add_rows(g.views["rare"], each[:, k].take(some), moved)
         return grown
 
 
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """``to[at] += rows``, where places may repeat."""
-    places = at.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
-    np.add.at(to.reshape(-1), places.ravel(), rows.ravel())     # many times faster in one dimension
+    # In one dimension, and two numbers at a time as the halves of a complex one: many times faster.
+    places = at.astype(np.int64)[:, None] * (WIDTH // 2) + np.arange(WIDTH // 2)
+    np.add.at(to.reshape(-1).view(np.complex64), places.ravel(), rows.reshape(-1).view(np.complex64))
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,103 +274,161 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    top = logits.max(axis=0)
+    return top + np.log(np.exp(logits - top).sum(axis=0))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return logits / logits.sum(axis=1, keepdims=True)
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
+    return logits
 
 
-def _sequence(ids: np.ndarray, hashes: np.ndarray, ends: np.ndarray, pad: int,
-              buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one row with ``REACH`` pads between, the words' two buckets, and the places of the words."""
+def _padded(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts in one row with ``REACH`` pads between, and the places of the words."""
     counts = np.diff(ends, prepend=0)
-    place = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(len(counts)), counts))
-    row = np.full(len(ids) + REACH * (len(counts) + 1), pad, np.int64)
-    row[place] = ids
-    pairs, mixed = np.zeros((2, len(row)), np.int32), mix(hashes, 59)
-    pairs[0, place], pairs[1, place] = mixed % np.uint64(buckets), (mixed >> np.uint64(32)) % np.uint64(buckets)
-    return row, pairs, place
+    place = np.arange(len(codes)) + REACH * (1 + np.repeat(np.arange(len(counts)), counts))
+    row = np.full(len(codes) + REACH * (len(counts) + 1), PAD, np.uint32)
+    row[place] = codes
+    return row, place
 
 
-def _turns(hashes: np.ndarray, ends: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each word is a target."""
-    counts = np.diff(ends, prepend=0)
-    summed = np.append(np.uint64(0), np.cumsum(hashes, dtype=np.uint64))
-    text = np.diff(summed[np.append(0, ends)])                      # modulo 2**64
-    place = np.arange(len(hashes)) - np.repeat(ends - counts, counts)
-    return (mix(np.repeat(mix(text), counts) + place.astype(np.uint64), 60) % np.uint64(rounds)).astype(np.int64)
+def _turns(row: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each place of a shard is a target; pads are none's."""
+    turns = (mix(np.arange(len(row), dtype=np.uint64), 60) % np.uint64(rounds)).astype(np.int64)
+    turns[row == PAD] = -1
+    return turns
 
 
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 
-def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def shards(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Stored ``(shard, codes)``: the words of each shard in one row of 32-bit codes, with pads around each text."""
+    number = max(1, round(lexicon.counts.sum() / shard_words))
+    lexicon = lexicon.without_table()
+    tasks = min(number, MOST_TASKS)
+    rows = docs.select(F.xxhash64(docs[key]).alias("key"), docs[text].cast("string").alias("text"))
+
+    def deal(batches):
+        for part in text_slices(batches):
+            hashes, ends = _hashes(part)
+            codes, begins = lexicon.codes(hashes), np.append(0, ends)
+            summed = np.append(np.uint64(0), np.cumsum(mix(hashes + np.arange(len(hashes), dtype=np.uint64) - np.repeat(
+                begins[:-1].astype(np.uint64), np.diff(begins)), 61), dtype=np.uint64))
+            place = mix(np.diff(summed[begins]) + mix(part.column(0).to_numpy().view(np.uint64), 62))       # modulo 2**64
+            some = np.flatnonzero(np.diff(begins))
+            shard = ((place[some] >> np.uint64(8)) % np.uint64(number)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place[some].view(np.int64)), pa.array(
+                [codes[begins[i]:begins[i + 1]].tobytes() for i in some.tolist()], pa.binary())], names=["shard", "place", "codes"])
+
+    dealt = map_arrow(rows, deal, "shard long, place long, codes binary")
+    dealt = dealt.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "place", "codes")
+
+    def join(batches):
+        last, held, size = None, [], 0
+        gap = np.full(REACH, PAD, np.uint32).tobytes()
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([gap + gap.join([*held, b""])], pa.binary())], names=["shard", "codes"])
+
+        for part in batches:
+            for shard, codes in zip(part.column(0).to_pylist(), part.column(2)):
+                if held and (shard != last or size >= 8 * shard_words):       # four bytes a word
+                    yield row()
+                    held, size = [], 0
+                last = shard
+                held.append(codes.as_py())
+                size += len(held[-1])
+        if held:
+            yield row()
+
+    return stored(map_arrow(dealt, join, "shard long, codes binary"), "shards")
+
+
+def train_shard(lexicon: Lexicon, begun: np.ndarray, row: np.ndarray, turn: int, rounds: int) -> tuple[np.ndarray, int]:
+    """The change of the parameters over the places of a shard that are targets in this round, and their number."""
+    model, moved = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32)
+    spare, some = np.empty_like(moved), np.flatnonzero(_turns(row, rounds) == turn)
+    context, target, pairs = lexicon.spread(row)
+    for i in range(0, len(some), BATCH):
+        at = some[i:i + BATCH]
+        around = at[:, None] + OFFSETS
+        change = model.gradient(context[around], target[at], pairs[:, around])
+        np.multiply(change, change, out=spare)
+        moved += spare
+        np.sqrt(moved, out=spare)
+        change *= RATE
+        change /= spare
+        model.flat -= change
+    return model.flat - begun, len(some)
+
+
+def train(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS,
+          shard_words: int = SHARD_WORDS) -> np.ndarray:
     """The network's parameters after ``rounds`` rounds over all documents."""
+    dealt = shards(docs, lexicon, key, text, shard_words)
     lexicon = lexicon.without_table()
     flat = Network(lexicon).flat
-    chosen = _texts(docs, key, text)
     for turn in range(rounds):
-        begun = flat
-
-        def run(batches, begun=begun, turn=turn):
-            model, moved, seen, positions = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32), 0, 0
-            total, spare = np.zeros(len(begun) + 1), np.empty_like(moved)
-            for part in text_slices(batches):
-                hashes, ends = _hashes(part)
-                row, pairs, place = _sequence(lexicon.lookup(hashes), hashes, ends, model.pad, lexicon.buckets)
-                some = place[_turns(hashes, ends, rounds) == turn]
-                for i in range(0, len(some), BATCH):
-                    at = some[i:i + BATCH]
-                    around = at[:, None] + OFFSETS
-                    change = model.gradient(row[around], row[at], pairs[:, around])
-                    np.multiply(change, change, out=spare)
-                    moved += spare
-                    np.sqrt(moved, out=spare)
-                    change *= RATE
-                    change /= spare
-                    model.flat -= change
-                positions += len(some)
-                seen += len(hashes)
-                if seen >= SHARD_WORDS:
-                    total += weighted(model.flat - begun, positions)
-                    model, moved, seen, positions = Network(lexicon, begun), np.full(len(begun), 1e-3, np.float32), 0, 0
-            total += weighted(model.flat - begun, positions)
-            if total[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
-
-        def weighted(change, positions):
-            return np.append(change.astype(np.float64) * positions, positions)
-
-        summed = map_arrow(chosen, run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()    # one model
-        if len(summed):
-            total = np.zeros(len(begun) + 1)
-            total[summed["i"].to_numpy()] = summed["v"].to_numpy()
-            flat = (begun + total[:-1] / total[-1]).astype(np.float32)
+        flat = _round(dealt, lexicon, flat, turn, rounds)
     return flat
 
 
+def _round(dealt: DataFrame, lexicon: Lexicon, begun: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    size = len(begun)
+
+    def run(batches):
+        total = np.zeros(size + 1, np.int64)
+        for part in batches:
+            for codes in part.column(0):
+                change, positions = train_shard(lexicon, begun, np.frombuffer(codes.as_buffer(), np.uint32), turn, rounds)
+                total[:size] += np.rint(change.astype(np.float64) * (positions * FRACTION)).astype(np.int64)
+                total[size] += positions
+        if total[size]:
+            parts = [total[i:i + CHUNK] for i in range(0, len(total), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.list_(pa.int64()))], names=["chunk", "v"])
+
+    changes = map_arrow(dealt.select("codes"), run, "chunk int, v array<long>").withColumn("many", F.spark_partition_id() % GROUPS)
+    summed = _summed(_summed(changes, "chunk", "many"), "chunk").select("chunk", "v").toPandas().sort_values("chunk")     # one model
+    if not len(summed):
+        return begun
+    total = np.concatenate(summed["v"].to_list())
+    return (begun + total[:size] / (FRACTION * total[size])).astype(np.float32)
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    """Arrays ``v`` of whole numbers added up by place, for each ``by``."""
+    def add(table: pa.Table) -> pa.Table:
+        arrays = table.column("v").combine_chunks()
+        total = arrays.values.to_numpy().reshape(len(arrays), -1).sum(axis=0)
+        return table.select(["chunk", "many"]).slice(0, 1).append_column("v", pa.array([total], pa.list_(pa.int64())))
+
+    return rows.select("chunk", "many", "v").groupBy(*by).applyInArrow(add, "chunk int, many int, v array<long>")
+
+
 def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_words, log_likelihood, mean_log_likelihood)`` per row, in nats."""
     table, lexicon = lexicon.table, lexicon.without_table()
-    others = max(1.0, float(lexicon.counts[0]))
+    tail_counts = np.log(np.maximum(1.0, lexicon.counts))       # by entry
 
     def run(batches):
         model = Network(lexicon, flat)
         for part in text_slices(batches):
             hashes, ends = _hashes(part)
-            ids = lexicon.lookup(hashes)
-            row, pairs, place = _sequence(ids, hashes, ends, model.pad, lexicon.buckets)
+            codes = lexicon.codes(hashes)
+            row, place = _padded(codes, ends)
+            context, target, pairs = lexicon.spread(row)
             each = np.zeros(len(place) + 1)
             for i in range(0, len(place), 4 * BATCH):
                 at = place[i:i + 4 * BATCH]
                 around = at[:, None] + OFFSETS
-                each[i + 1:i + 1 + len(at)] = model.log_probabilities(row[around], row[at], pairs[:, around])
-            other = np.flatnonzero(ids == 0)
+                each[i + 1:i + 1 + len(at)] = model.log_probabilities(context[around], target[at], pairs[:, around])
+            # A word outside the vocabulary has its share of its tail; the counts that the tasks lack come below.
+            other = np.flatnonzero(codes >= OTHER)
             times = lexicon.common_count(hashes[other])
-            each[other + 1] += np.log(np.maximum(times, 1) / others) * (times > 0)
+            each[other + 1] += np.log(np.maximum(times, 1)) - tail_counts[target[place[other]]]
             total = np.cumsum(each)
             counts, sums = np.diff(ends, prepend=0), np.diff(total[np.append(0, ends)])
             rest = other[times == 0]
@@ -334,14 +438,11 @@ def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, key: str = "doc_i
 
     kind = docs.schema[key].dataType.simpleString()
     out = map_arrow(_texts(docs, key, text), run, f"key {kind}, n long, s double, rest array<long>")
-    # The words that the tasks do not have: looked up in the stored table, row by row of what is stored here.
-    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rest = out.select("row", F.explode("rest").alias("word"))
     if table is not None:
-        rest = rest.join(table.where(F.col("n") > 1), "word", "left").select("row", "n")
-    else:
-        rest = rest.select("row", F.lit(None).cast("long").alias("n"))
-    found = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(others))).alias("more"))
-    out = out.join(found, "row", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
+        # The words that the tasks do not have: looked up in the stored table, row by row of what is stored here.
+        out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+        rest = out.select("row", F.explode("rest").alias("word")).join(table.where(F.col("n") > 1), "word")
+        found = rest.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(found, "row", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_words"), F.col("s").alias("log_likelihood"), mean.alias("mean_log_likelihood"))

@@ -35,7 +35,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    lexicon = lm.count_words(docs)
+    lexicon = lm.count_words(docs, tails=lm.TAILS)
     return lm.score(docs, lexicon, lm.train(docs, lexicon))
 
 

@@ -103,17 +103,88 @@ def test_gradient_of_hashed_words_matches_differences():
 
 
 def test_every_position_is_a_target_once(spark, monkeypatch):
-    """Over the rounds, all words are targets, and each in the same round however the texts are batched."""
+    """Over the rounds, all words of all shards are targets once, pads never."""
     texts = ["one two three four five six seven eight", "", "nine ten " * 40, "one two three four five six seven eight"]
-    hashes, ends = lm.words(texts, lower=True)
-    turns = lm._turns(hashes, ends, 3)
-    alone = np.concatenate([lm._turns(*lm.words([t], lower=True), 3) for t in texts])
-    assert (turns == alone).all() and set(turns) == {0, 1, 2}
-
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    hashes, _ = lm.words(texts, lower=True)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     known = lm.count_words(docs)
-    rounds, mapped = [], lm.map_arrow
-    monkeypatch.setattr(lm, "map_arrow", lambda *a: rounds.append(mapped(*a)) or rounds[-1])
+    for shard_words in (8, 30, 1000):
+        rows = [np.frombuffer(r["codes"], np.uint32) for r in lm.shards(docs, known, shard_words=shard_words).collect()]
+        codes = np.concatenate(rows)
+        assert sorted(codes[codes != lm.PAD].tolist()) == sorted(known.codes(hashes).tolist())
+        turns = [lm._turns(row, 3) for row in rows]
+        assert all(((t >= 0) == (row != lm.PAD)).all() for t, row in zip(turns, rows))
+        assert max(t.max() for t in turns) == 2
+
+    seen = []
+    monkeypatch.setattr(lm, "_round", lambda dealt, lexicon, begun, turn, rounds, old=lm._round: seen.append(sum(
+        lm.train_shard(lexicon, begun, np.frombuffer(r["codes"], np.uint32), turn, rounds)[1] for r in dealt.collect())) or old(dealt, lexicon, begun, turn, rounds))
     lm.train(docs, known)
-    size = len(lm.Network(known).flat)                              # the last number counts targets
-    assert len(rounds) == lm.ROUNDS and sum(df.where(df.i == size).agg({"v": "sum"}).first()[0] for df in rounds) == len(hashes)
+    assert len(seen) == lm.ROUNDS and sum(seen) == len(hashes)
+
+
+def test_the_model_does_not_follow_the_partitions(spark, small):
+    """Several shards, and tables of 1, 3 and 8 partitions in another order: equal parameters and scores."""
+    known = lm.count_words(small[0], tails=lm.TAILS)
+    known.table = None
+    trained = [lm.train(small[0].repartition(n), known, shard_words=5000) for n in (1, 3, 8)]
+    assert (trained[0] == trained[1]).all() and (trained[0] == trained[2]).all()
+    order = ("doc_id", "log_likelihood")
+    first, last = ([r["log_likelihood"] for r in lm.score(small[0].repartition(n), known, trained[0]).orderBy(*order).collect()] for n in (1, 8))
+    assert np.allclose(first, last, rtol=1e-6, atol=1e-6)
+
+
+def plain_score(words, network, known):
+    """A text's words one at a time, in plain Python over the parameters."""
+    v, total = network.views, 0.0
+    hashes = lm.words([b" ".join(words).decode()], lower=True)[0] if words else []
+    ids = {int(h): int(i) for h, i in zip(known.hashes, known.ids)}
+    counts = {int(h): int(n) for h, n in zip(known.common, known.common_counts)}
+    hashes = [int(h) for h in hashes]
+
+    def tail(h):
+        t = (h >> 33) % known.tails
+        return known.vocabulary + t if t else 0
+
+    for at, h in enumerate(hashes):
+        summed = v["bias"].astype(float)
+        for k, step in enumerate((-2, -1, 1, 2)):
+            if not 0 <= at + step < len(hashes):
+                summed = summed + v["embed"][k][network.pad]
+                continue
+            near = hashes[at + step]
+            summed = summed + v["embed"][k][ids.get(near, 0)]
+            if near not in ids:
+                mixed = int(lm.mix(np.array([near >> 33], np.uint64), 59)[0])
+                summed = summed + v["rare"][mixed % known.buckets] + v["rare"][(mixed >> 32) % known.buckets]
+        hidden, entry = [math.tanh(x) for x in summed], ids.get(h, None)
+        target = tail(h) if entry is None else entry
+        for weights, bias, which in ((v["to_class"], v["class_bias"], target % lm.CLASSES),
+                                     (v["to_word"][target % lm.CLASSES], v["word_bias"][target % lm.CLASSES], target // lm.CLASSES)):
+            logits = [sum(x * float(w) for x, w in zip(hidden, weights[:, j])) + float(bias[j]) for j in range(weights.shape[1])]
+            total += logits[which] - math.log(sum(map(math.exp, logits)))
+        if entry is None:
+            total += math.log(max(1, counts.get(h, 1)) / max(1, known.counts[target]))
+    return total
+
+
+def test_scores_equal_plain_python(spark, small):
+    known = lm.count_words(small[0], tails=lm.TAILS)
+    network = lm.Network(known, lm.train(small[0], known, shard_words=20_000))
+    texts = {i: t for i, t in enumerate(sorted({(t or "")[:200] for t in small[1].values()})[:12])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lm.score(docs, known, network.flat).collect():
+        want = plain_score(texts[r["doc_id"]].encode().lower().split(), network, known)
+        assert abs(r["log_likelihood"] - want) < 1e-3 * max(1.0, abs(want))
+
+
+def test_words_of_the_tails_share_their_tails(spark):
+    """Given a context, the probabilities of all words that the corpus has add up to one."""
+    text = " ".join(f"w{i % 97} w{i % 61}" for i in range(3000))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    known = lm.count_words(docs, vocabulary=lm.CLASSES - 1, tails=lm.CLASSES + 1)
+    asked = spark.createDataFrame([(i, f"w{i}") for i in range(97)], "doc_id long, text string")
+    found = lm.score(asked, known, lm.train(docs, known)).collect()
+    unseen = np.exp([n for n in ()]).sum()
+    assert abs(sum(math.exp(r["log_likelihood"]) for r in found) + unseen - 1) < 0.05
+    assert known.counts.sum() == 6000
