@@ -1,9 +1,10 @@
 """Document fingerprints from improbable features (operator 9).
 
 A feature is a window of ``WINDOW`` bytes. Its rank is how rare its entropy is:
-windows of very low entropy are padding and windows of very high entropy are
-noise or tables that say little, so ranks fall off to both sides of a mode and
-the extremes are left out. In every run of ``RUN`` neighbouring windows the
+one aggregation counts the windows of all documents by entropy, in ``STEPS``
+steps, and the fewer windows share a window's step, the better it ranks; of steps
+as rare the lower is better. Windows of very low entropy (padding) and of very
+high entropy (noise, tables) say little and are left out. In every run of ``RUN`` neighbouring windows the
 one of best rank, the leftmost of equals, gets a vote, and windows with
 ``VOTES`` votes are the document's features. Each is hashed into a Bloom filter
 of ``BITS`` bits; a filter takes ``MOST`` features and then a next one is
@@ -43,8 +44,10 @@ VOTES = 8
 BITS = 1024
 HASHES = 4
 MOST = 96
-MODE = 0.80                 # share of the greatest entropy at which windows rank best
+STEPS = 1000                # of entropy, as a share of the greatest
 LEAST, GREATEST = 0.30, 0.985
+LEFT_OUT = STEPS + 1        # in place of a step
+WORST = 1 << 20
 BLOCK = 1 << 20
 
 
@@ -73,8 +76,8 @@ def _earlier(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def ranks(data: np.ndarray) -> np.ndarray:
-    """Rank of the window at each byte, lower is better; windows left out have the worst."""
+def entropy_steps(data: np.ndarray) -> np.ndarray:
+    """Step of the entropy of the window at each byte; ``LEFT_OUT`` for those too low or too high."""
     n = len(data) - WINDOW + 1
     before, after = _earlier(data)
     gain, steps = np.minimum(before, WINDOW), _steps()
@@ -85,9 +88,44 @@ def ranks(data: np.ndarray) -> np.ndarray:
     total[1:] -= went[:n - 1]
     entropy = np.log2(WINDOW) - total / (WINDOW * float(1 << 20))
     share = entropy / np.log2(WINDOW)
-    rank = np.round(np.abs(share - MODE) * 1000).astype(np.int64)
-    rank[(share < LEAST) | (share > GREATEST)] = 1 << 20
-    return rank
+    step = np.round(share * STEPS).astype(np.int64)
+    step[(share < LEAST) | (share > GREATEST)] = LEFT_OUT
+    return step
+
+
+def ranks_of(counts: dict[int, int]) -> np.ndarray:
+    """Rank of each step, lower is better, from the numbers of windows; the last is that of windows left out."""
+    found = np.zeros(STEPS + 1, np.int64)
+    for step, n in counts.items():
+        if step != LEFT_OUT:
+            found[step] = n
+    ranks = np.full(STEPS + 2, WORST, np.int64)
+    ranks[np.argsort(found, kind="stable")] = np.arange(STEPS + 1)
+    return ranks
+
+
+def count_steps(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """``ranks_of`` the windows of all documents; at most ``STEPS + 2`` numbers come to the driver."""
+
+    def run(batches):
+        found = np.zeros(STEPS + 2, np.int64)
+        for part in text_slices(batches, max_bytes=BLOCK):
+            texts = [t for t in ((t or "").encode() for t in part.column(0).to_pylist()) if len(t) >= WINDOW]
+            if texts:
+                data, within, _ = _joined(texts)
+                found += np.bincount(entropy_steps(data)[within], minlength=STEPS + 2)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["step", "n"])
+
+    counted = map_arrow(docs.select(docs[text].cast("string").alias("text")), run, "step int, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    return ranks_of({r["step"]: r["n"] for r in counted.collect()})
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in one row, which windows lie within one text, and the text of each byte."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return data, row[:len(data) - WINDOW + 1] == row[WINDOW - 1:], row
 
 
 def _least(values: np.ndarray, run: int) -> np.ndarray:
@@ -99,8 +137,8 @@ def _least(values: np.ndarray, run: int) -> np.ndarray:
     return values
 
 
-def chosen(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the features of each text, in the order of the text."""
+def chosen(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the features of each text, in the order of the text; ``ranks`` by entropy step."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
     long = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
     for i, t in enumerate(texts):
@@ -110,12 +148,10 @@ def chosen(texts: list[bytes]) -> list[np.ndarray]:
     if not long:
         return out
     sizes = np.array([len(texts[i]) for i in long])
-    data = np.frombuffer(b"".join(texts[i] for i in long), np.uint8)
     ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(long)), sizes)
+    data, within, row = _joined([texts[i] for i in long])
     n = len(data) - WINDOW + 1
-    rank = ranks(data)
-    within = row[:n] == row[WINDOW - 1:]
+    rank = ranks[entropy_steps(data)]
     rank[~within] = 1 << 21
     # Rank and place in one number, so the least is the leftmost of the best.
     keyed = rank << 32 | np.arange(n)
@@ -123,7 +159,7 @@ def chosen(texts: list[bytes]) -> list[np.ndarray]:
     best = _least(np.concatenate([keyed, pad]), RUN)
     own = row[:n][within]
     winners = best[within] & 0xFFFFFFFF
-    good = (best[within] >> 32 < 1 << 20) & (row[np.minimum(winners, n - 1)] == own)
+    good = (best[within] >> 32 < WORST) & (row[np.minimum(winners, n - 1)] == own)
     votes = np.bincount(winners[good], minlength=n)
     picked = np.flatnonzero(votes >= VOTES)
     # A text none of whose windows stands out keeps its first.
@@ -172,13 +208,14 @@ def likeness(a: bytes, b: bytes) -> float:
     return total / weight
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fingerprint)`` per row, the fingerprint in binary."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: np.ndarray | None = None) -> DataFrame:
+    """``(key, fingerprint)`` per row, the fingerprint in binary. ``ranks``: those of another table, to compare with its fingerprints."""
+    ranks = count_steps(docs, text) if ranks is None else ranks
     chosen_columns = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
 
     def run(batches):
         for part in text_slices(batches, max_bytes=BLOCK):
-            found = [fingerprint(f) for f in chosen([(t or "").encode() for t in part.column(1).to_pylist()])]
+            found = [fingerprint(f) for f in chosen([(t or "").encode() for t in part.column(1).to_pylist()], ranks)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "fingerprint"])
 
     return map_arrow(chosen_columns, run, f"key {docs.schema[key].dataType.simpleString()}, fingerprint binary").withColumnRenamed("key", key)
@@ -209,11 +246,11 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     before it as well, so that every row meets the next one.
     """
     rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    bounds = _bounds(rows, "key", "text")
+    bounds, ranks = _bounds(rows, "key", "text"), count_steps(rows)
 
     def first_pass(batches):
         for part in text_slices(batches, max_bytes=BLOCK):
-            found = [fingerprint(f) for f in chosen([t.encode() for t in part.column(1).to_pylist()])]
+            found = [fingerprint(f) for f in chosen([t.encode() for t in part.column(1).to_pylist()], ranks)]
             missing = np.array([not v.is_valid for v in part.column(0)])
             keys = part.column(0).fill_null(0).to_numpy()
             last = max(len(bounds) - 1, 0)
@@ -235,7 +272,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for (_, _, _, text, _), (_, _, _, after, _) in waiting:
             cut = len(text) // 3
             texts.append((text[:len(text) - cut] + after[:cut]).encode())
-        edited = [fingerprint(f) for f in chosen(texts)]
+        edited = [fingerprint(f) for f in chosen(texts, ranks)]
         own, following = [r[4] for r, _ in waiting], [r[4] for _, r in waiting]
         return pa.RecordBatch.from_arrays([
             pa.array([r[2] for r, _ in waiting], pa.int64()), pa.array([len(r[3]) for r, _ in waiting], pa.int64()),
