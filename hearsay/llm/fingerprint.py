@@ -61,18 +61,11 @@ def _steps() -> np.ndarray:
 
 def _earlier(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each byte's value occurs in the ``WINDOW - 1`` bytes before it and after it."""
-    order = np.argsort(data, kind="stable")
-    value, place = data[order], order
-    before, after = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
-    live = np.arange(1, len(data))
-    for step in range(1, WINDOW):
-        live = live[live >= step]
-        near = (value[live] == value[live - step]) & (place[live] - place[live - step] < WINDOW)
-        live = live[near]
-        if not len(live):
-            break
-        before[place[live]] += 1
-        after[place[live - step]] += 1
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    for step in range(1, min(WINDOW, len(data))):
+        same = (data[step:] == data[:-step]).view(np.uint8)
+        before[step:] += same
+        after[:-step] += same
     return before, after
 
 
@@ -80,10 +73,10 @@ def entropy_steps(data: np.ndarray) -> np.ndarray:
     """Step of the entropy of the window at each byte; ``LEFT_OUT`` for those too low or too high."""
     n = len(data) - WINDOW + 1
     before, after = _earlier(data)
-    gain, steps = np.minimum(before, WINDOW), _steps()
+    steps = _steps()
     # Sum of c log c over the window that ends at a byte: what came in less what went out.
-    came = np.cumsum(steps[gain])
-    went = np.cumsum(steps[np.minimum(after, WINDOW)])
+    came = np.cumsum(steps[before])
+    went = np.cumsum(steps[after])
     total = came[WINDOW - 1:].copy()
     total[1:] -= went[:n - 1]
     entropy = np.log2(WINDOW) - total / (WINDOW * float(1 << 20))
