@@ -2,10 +2,14 @@
 
 ``MergeTable`` holds the merge list and the lookahead it needs: how many bytes
 behind the end of the text read so far a token can still change when more text
-follows. ``Encoder`` reads a pre-token in blocks, merges what is pending and
-emits every token that ends at least that far before the end, so memory does
-not grow with the length of a pre-token. ``Decoder`` feeds token bytes to an
-incremental UTF-8 state machine, so a character may span tokens and blocks.
+follows. ``Transducer`` reads a text in blocks. It emits a pre-token once its
+end is certain, since no merge crosses that end. A pre-token that goes on past
+``OPEN_CHARS`` is merged while it is read: ``Merger`` emits every token that ends
+at least the lookahead before the last byte read. So what is held between blocks
+grows neither with the text nor with a pre-token. ``Encoder`` runs the texts of a
+slice through one transducer each, a block of every text at a time, and looks
+emitted pre-tokens up among those merged before. ``Decoder`` feeds token bytes to
+an incremental UTF-8 state machine, so a character may span tokens and blocks.
 
 Why the lookahead is enough. Take the merges of a text ``w`` and of ``w + v``
 in rank order. Both begin with the same symbols up to ``len(w)``. The common
@@ -26,7 +30,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import repeat
 
@@ -42,6 +46,8 @@ MASK = (1 << SHIFT) - 1
 NONE = 1 << 60
 CACHE_PIECES = 120_000      # pre-tokens kept per generation, two generations
 SHORT_BYTES = 48            # longer pre-tokens are merged one by one and not kept
+BLOCK_CHARS = 1 << 16       # read from each text at a time
+OPEN_CHARS = 256            # an unended pre-token of so many characters is merged as it is read
 
 # Pre-tokens of the byte-level scheme, with white space as Unicode defines it
 # (Python's own \s also takes \x1c-\x1f).
@@ -50,6 +56,9 @@ _PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?!
 # Texts within Latin-1 take the faster engine with the classes spelt out.
 _LATIN = re.compile(_PIECES.replace("{L}", "A-Za-zªµºÀ-ÖØ-öø-ÿ").replace("{N}", "0-9²³¹¼½¾").replace("{S}", _SPACE))
 _UNICODE = regex.compile(_PIECES.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{S}", _SPACE))
+# How a pre-token that ends in a character of one kind may go on.
+_SPACES = regex.compile(f"[{_SPACE}]*+")
+_RUNS = [_SPACES, regex.compile(r"\p{L}*+"), regex.compile(r"\p{N}*+"), regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]*+")]
 
 
 def byte_symbols() -> list[str]:
@@ -86,6 +95,7 @@ class MergeTable:
         self.pairs = np.array(sorted(self.merge_of), np.int64)
         self.pair_ranks = np.array([self.merge_of[p] for p in self.pairs.tolist()] + [NONE], np.int64)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.longest_special = max(map(len, self.specials), default=0)
         size = max([*vocab.values(), *self.specials.values()]) + 1
         self.token_bytes = [b""] * size
         for token, i in vocab.items():
@@ -147,24 +157,6 @@ class Encoder:
                 ranks[i - 1] = merge_of(ids[i - 1] << SHIFT | new, NONE)
         return ids
 
-    def transduce(self, blocks: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of one pre-token that comes in blocks, each emitted once it is stable."""
-        of_byte, token_bytes, ahead = self.table.of_byte, self.table.token_bytes, self.table.lookahead
-        pending: list[int] = []
-        for block in blocks:
-            pending += [of_byte[b] for b in block]
-            if len(pending) < 2 * ahead:
-                continue
-            stable = len(pending) - ahead
-            done = 0
-            for token in self.merged(pending.copy()):
-                if done + len(token_bytes[token]) > stable:
-                    break
-                done += len(token_bytes[token])
-                yield token
-            del pending[:done]
-        yield from self.merged(pending)
-
     def merged_many(self, words: list[bytes]) -> list[bytes]:
         """``merged`` for many short words at once, one merge of each word a step; packed ids."""
         table, count = self.table, len(words)
@@ -203,8 +195,8 @@ class Encoder:
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def long_piece(self, data: bytes) -> bytes:
-        step = max(1, self.table.lookahead)
-        return np.fromiter(self.transduce(data[i:i + step] for i in range(0, len(data), step)), "<u4").tobytes()
+        merger = Merger(self)
+        return merger.feed(data) + merger.finish()
 
     def pieces(self, text: str) -> list[str]:
         try:
@@ -213,8 +205,8 @@ class Encoder:
         except UnicodeEncodeError:
             return _UNICODE.findall(text)
 
-    def learn(self, unknown: set) -> list[str]:
-        """Take packed ids of the pre-tokens into ``young``; returns the long ones, not to be kept."""
+    def learn(self, unknown: set) -> list[str | bytes]:
+        """Take packed ids of what transducers emitted into ``young``; returns what is not to be kept."""
         short: dict[int, list[str]] = {}
         long = []
         for p in unknown:
@@ -222,6 +214,9 @@ class Encoder:
                 self.young[p] = known
             elif isinstance(p, int):
                 self.young[p] = np.array([p], "<u4").tobytes()
+            elif isinstance(p, bytes):
+                self.young[p] = p
+                long.append(p)
             elif len(data := p.encode()) <= SHORT_BYTES:
                 short.setdefault((len(data) + 3) // 4, []).append(p)
             else:
@@ -233,25 +228,114 @@ class Encoder:
                 self.young.update(zip(some, self.merged_many([p.encode() for p in some])))
         return long
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str], block: int = BLOCK_CHARS) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        table = self.table
-        parts: list[list] = []      # a text's pre-tokens; a special token is its id
-        for text in texts:
-            if table.special_pattern is None or not any(map(text.__contains__, table.specials)):
-                parts.append(self.pieces(text))
+        packed: list[list[bytes]] = [[] for _ in texts]
+        going = [(text, Transducer(self), out) for text, out in zip(texts, packed)]
+        start = 0
+        while going:
+            end = start + block
+            emitted = [reader.feed(text[start:end], end >= len(text)) for text, reader, _ in going]
+            if len(self.young) > CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            once = self.learn(set().union(*emitted).difference(self.young))
+            for (_, _, out), parts in zip(going, emitted):
+                out.append(b"".join(map(self.young.__getitem__, parts)))
+            for p in once:
+                del self.young[p]
+            going = [g for g in going if len(g[0]) > end]
+            start = end
+        return [b"".join(out) for out in packed]
+
+
+class Merger:
+    """Token ids of one pre-token that comes in blocks, each emitted once it is stable."""
+
+    def __init__(self, encoder: Encoder):
+        self.merged, self.table = encoder.merged, encoder.table
+        self.pending: list[int] = []
+
+    def feed(self, data: bytes) -> bytes:
+        """Packed ids of the tokens that no further byte can change."""
+        of_byte, token_bytes, ahead = self.table.of_byte, self.table.token_bytes, self.table.lookahead
+        step, emitted = max(1, ahead), []
+        for i in range(0, len(data), step):
+            self.pending += [of_byte[b] for b in data[i:i + step]]
+            if len(self.pending) < 2 * ahead:
                 continue
-            own: list = []
-            for i, part in enumerate(table.special_pattern.split(text)):
-                own += [table.specials[part]] if i % 2 else self.pieces(part)
-            parts.append(own)
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        long = self.learn(set().union(*parts).difference(self.young))
-        packed = [b"".join(map(self.young.__getitem__, own)) for own in parts]
-        for p in long:
-            del self.young[p]
-        return packed
+            stable = len(self.pending) - ahead
+            done = 0
+            for token in self.merged(self.pending.copy()):
+                if done + len(token_bytes[token]) > stable:
+                    break
+                done += len(token_bytes[token])
+                emitted.append(token)
+            del self.pending[:done]
+        return np.array(emitted, "<u4").tobytes()
+
+    def finish(self) -> bytes:
+        rest, self.pending = self.merged(self.pending), []
+        return np.array(rest, "<u4").tobytes()
+
+
+class Transducer:
+    """Reads a text in blocks and emits what further text cannot change, in order.
+
+    Emitted are pre-tokens whose end is certain (str), special tokens (int), and
+    stable tokens of a pre-token that has not ended (packed ids). A pre-token's
+    end is certain two characters behind it: one ends its run, and two tell
+    ``'r`` from ``'re`` and white space from the last of it, which goes to the
+    word that follows. No text is emitted in which a special token may begin.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.table = encoder, encoder.table
+        self.held = ""
+        self.run: regex.Pattern | None = None     # how the pre-token in ``merger`` goes on
+        self.merger = Merger(encoder)
+
+    def feed(self, block: str, last: bool) -> list[str | int | bytes]:
+        text, specials, emitted = self.held + block, self.table.specials, []
+        longest = self.table.longest_special
+        while specials and any(map(text.__contains__, specials)):
+            found = self.table.special_pattern.search(text)
+            if not last and found.start() + longest > len(text):      # a longer one may begin here
+                break
+            parts, _ = self._plain(text[:found.start()], found.start(), True)
+            emitted += parts
+            emitted.append(specials[found.group()])
+            text = text[found.end():]
+        sure = len(text) if last else max(0, len(text) - max(0, longest - 1))
+        parts, self.held = self._plain(text, sure, last)
+        return emitted + parts if emitted else parts
+
+    def _plain(self, text: str, sure: int, ended: bool) -> tuple[list[str | int | bytes], str]:
+        """What is certain of ``text``, of which ``sure`` characters hold no special token, and the rest."""
+        parts: list[str | int | bytes] = []
+        if self.run:
+            end = stop = self.run.match(text, 0, sure).end()
+            over = end < sure or ended
+            if self.run is _SPACES and not (ended and end == sure):
+                stop = max(0, end - 1)
+            parts.append(self.merger.feed(text[:stop].encode()))
+            text, sure = text[stop:], sure - stop
+            if not over:
+                return parts, text
+            parts.append(self.merger.finish())
+            self.run = None
+        if ended:
+            return parts + self.encoder.pieces(text) if parts else self.encoder.pieces(text), ""
+        found, end, first = self.encoder.pieces(text[:sure]), sure, ""
+        while found and end > sure - 2:
+            first = found.pop()
+            end -= len(first)
+        parts += found
+        if len(first) >= OPEN_CHARS:
+            self.run = next(run for run in _RUNS if run.fullmatch(first[-1]))
+            begun = first[:-1] if self.run is _SPACES else first
+            parts.append(self.merger.feed(begun.encode()))
+            end += len(begun)
+        return parts, text[end:]
 
 
 class Decoder:

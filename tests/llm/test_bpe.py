@@ -4,6 +4,8 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from hearsay.llm import bpe
 from hearsay.llm.queries import BYTE_TOKENIZER
@@ -33,16 +35,55 @@ def test_ids_and_decoding_match_the_library(encoder, library, text):
     assert bpe.decode(encoder.table, np.array(want, "<u4").tobytes()) == library.decode(want, skip_special_tokens=False) == text
 
 
-def test_long_pretokens_pass_the_transducer_in_blocks(encoder, library):
+def test_long_pretokens_are_merged_as_they_are_read(encoder, library):
     rng = random.Random(3)
-    for letters in ("ab", "etaoin", "=-", "aA"):
+    for letters in ("ab", "etaoin", "=-", "aA", " ", "\n ", "日本", "12"):
         text = "".join(rng.choice(letters) for _ in range(4000))
-        want = library.encode(text, add_special_tokens=False).ids
-        assert ids(encoder, text) == want
+        for whole in (text, text + "x", "I'" + text + " y", text + "'re <|endoftext|>" + text):
+            want = library.encode(whole, add_special_tokens=False).ids
+            for block in (1000, 4096):
+                assert np.frombuffer(encoder.encode_all([whole], block)[0], "<u4").tolist() == want
+        data = text.encode()
+        want = encoder.merged([encoder.table.of_byte[b] for b in data])
         for step in (1, 7, 1000):
-            data = text.encode()
-            if len(encoder.pieces(text)) == 1:
-                assert list(encoder.transduce(data[i:i + step] for i in range(0, len(data), step))) == want
+            merger = bpe.Merger(encoder)
+            got = b"".join([*(merger.feed(data[i:i + step]) for i in range(0, len(data), step)), merger.finish()])
+            assert np.frombuffer(got, "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 13, 200])
+def test_any_cut_into_blocks_gives_the_same(encoder, library, block):
+    texts = [t or "" for t in ODD_TEXTS] + [
+        "'r", "'re", "x'", "''s 'll 'l", "a  b", "a   ", " \n\n x", "<|endoftext|><|endoftext|>", "<|endoftex", "a <|<|endoftext|> b", "é 's  日本"]
+    for text, got in zip(texts, encoder.encode_all(texts, block)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab're ls\n\t1é日<|endoftext|>!"), max_size=60), st.integers(1, 9))
+def test_mixed_texts_in_blocks(encoder, library, text, block):
+    assert np.frombuffer(encoder.encode_all([text], block)[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_all_text_passes_the_transducer_and_little_is_held(encoder, library, small):
+    """Every character of the documents comes out of a transducer, in order; what it holds between blocks is bounded."""
+    texts = [t or "" for t in small[1].values()] + ["z" * 20_000 + " " * 20_000]
+    token_bytes, passed, held = encoder.table.token_bytes, 0, 0
+    for text in texts:
+        reader, said = bpe.Transducer(encoder), b""
+        for i in range(0, len(text), 500):
+            for part in reader.feed(text[i:i + 500], i + 500 >= len(text)):
+                if isinstance(part, bytes):
+                    said += b"".join(token_bytes[t] for t in np.frombuffer(part, "<u4").tolist())
+                else:
+                    said += token_bytes[part] if isinstance(part, int) else part.encode()
+            held = max(held, len(reader.held.encode()) + len(reader.merger.pending))
+        assert said == text.encode()
+        passed += len(said)
+    assert passed == sum(len(t.encode()) for t in texts)
+    assert held <= 4 * (bpe.OPEN_CHARS + encoder.table.longest_special + 2) + 2 * encoder.table.lookahead
+    for text, got in zip(texts, encoder.encode_all(texts, 500)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_lookahead_bounds_what_more_text_changes(encoder):
