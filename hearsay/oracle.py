@@ -199,6 +199,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT (SELECT count(*) FROM c_norm)::BIGINT, 'b3', (SELECT count(*) FROM c_norm)::BIGINT""",
     "r1_ingest_stream": f"WITH {INDEX} SELECT file, num_terms FROM nd",
     "r2_document_frequency_stream": f"WITH {INDEX} SELECT term, df FROM lex",
+    "r2_frequency_from_index": f"""WITH {INDEX}, {_index_ctes(CONV_CORPUS, 'c_')}
+        SELECT term, count(*)::BIGINT AS df FROM (SELECT term FROM postings UNION ALL SELECT term FROM c_postings)
+        GROUP BY term""",
     "r3_search_stream": f"WITH {INDEX}, {QUERY_SIDE} SELECT query_id, rank, file, score FROM top",
     "s7_import_index": f"""WITH {INDEX}
         SELECT k.file, count(tf.term)::BIGINT AS num_terms, {_tf_map_text()}

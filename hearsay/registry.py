@@ -441,6 +441,21 @@ def r2_document_frequency_stream(spark, sf_dir):
     return read_frequency_state(spark, out_path)
 
 
+def r2_frequency_from_index(spark, sf_dir):
+    """The documents are indexed; a stream brings them again, and the conversations."""
+    from hearsay.plans.ingest import ingest_corpus
+    from hearsay.session import scratch_path
+    from hearsay.streaming.frequency import FrequencyTable, frequency_from_index
+    from hearsay.streaming.sources import conversations_corpus_stream, documents_corpus_stream
+
+    store = _store(spark, "r2i")
+    ingest_corpus(store, documents_corpus(spark, sf_dir), batch_id="documents")
+    table = FrequencyTable(spark, scratch_path(spark, "r2i-table"))
+    stream = documents_corpus_stream(spark, sf_dir).union(conversations_corpus_stream(spark, sf_dir))
+    frequency_from_index(stream, store, table, scratch_path(spark, "r2i-ckpt"), name="r2_from_index").awaitTermination()
+    return table.read()
+
+
 def r3_search_stream(spark, sf_dir):
     from hearsay.plans.ingest import ingest_corpus
     from hearsay.session import scratch_path
@@ -513,5 +528,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r1_ingest_media_stream": r1_ingest_media_stream,
     "r1_ingest_stream": r1_ingest_stream,
     "r2_document_frequency_stream": r2_document_frequency_stream,
+    "r2_frequency_from_index": r2_frequency_from_index,
     "r3_search_stream": r3_search_stream,
 }

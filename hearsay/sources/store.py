@@ -218,6 +218,11 @@ class IndexStore:
         documents = self._committed("documents", rows).select(*ix.DOCUMENTS_SCHEMA.names)
         return TfIdfIndex(documents, postings.select(*ix.POSTINGS_SCHEMA.names), self._sum_df(lexicon), n_df, blocks)
 
+    def counted(self) -> tuple[DataFrame, DataFrame]:
+        """``(term, df)`` of one snapshot, and ``(file, digest)`` of the documents counted there."""
+        rows = self.visible_batches()
+        return self._sum_df(self._committed("lexicon", rows)), self.known_files(rows)
+
     # ---- S5 / U2 --------------------------------------------------------
     def known_files(self, rows: list[Row]) -> DataFrame:
         """``(file, digest)`` of the given committed batches; no transcript is read."""

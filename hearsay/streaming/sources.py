@@ -35,6 +35,11 @@ DOCUMENTS_TABLE_SCHEMA = T.StructType([
     T.StructField("n_chars", T.LongType()),
 ])
 
+CONVERSATIONS_TABLE_SCHEMA = T.StructType([
+    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+    T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
+])
+
 BENCHMARK_TABLE_SCHEMA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
@@ -43,6 +48,12 @@ def documents_corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("transcript"))
 
 
+def conversations_corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table_stream(spark, sf_dir, CONVERSATIONS_TABLE_SCHEMA, "conversations.parquet")
+    return turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file"),
+                        F.col("text").alias("transcript"))
+
+
 def benchmark_query_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, terms)`` per benchmark line, as ``benchmark_queries`` but streaming."""
     from hearsay.operators.scoring import parse_query

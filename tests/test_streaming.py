@@ -1,12 +1,15 @@
 """A stream's final state equals the batch result."""
 
 import os
+import shutil
+
+import pytest
 
 from hearsay.plans.ingest import ingest_corpus
 from hearsay.plans.search import search_batch
 from hearsay.sources.store import IndexStore
-from hearsay.streaming import (document_frequency_stream, ingest_stream, read_frequency_state, search_stream,
-                               write_frequency_updates)
+from hearsay.streaming import (FrequencyTable, document_frequency_stream, frequency_from_index, ingest_stream,
+                               read_frequency_state, search_stream, write_frequency_updates)
 
 from conftest import GOLDEN, GOLDEN_STOP_WORDS
 
@@ -73,3 +76,67 @@ def test_ingest_stream_compacts(spark, workdir):
     ingest_corpus(batch, spark.createDataFrame(GOLDEN, CORPUS_SCHEMA), "b")
     assert sorted(tuple(r) for r in store.postings().collect()) == sorted(tuple(r) for r in batch.postings().collect())
     assert store.index().documents.count() == 4
+
+
+ALL_DF = {"ice": 2, "hockey": 1, "puck": 1, "stick": 1, "score": 2, "baby": 1, "dont": 1}
+
+
+def test_frequency_starts_from_the_index_and_outlives_its_checkpoint(spark, workdir):
+    src = os.path.join(workdir, "in")
+    write_parts(spark, src, GOLDEN + [GOLDEN[1], ("/v/n.mp4", None)], CORPUS_SCHEMA, [[0, 1], [2], [3, 4, 5]])
+    stream = spark.readStream.schema(CORPUS_SCHEMA).option("maxFilesPerTrigger", "1").parquet(src)
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    ingest_corpus(store, spark.createDataFrame(GOLDEN[:1], CORPUS_SCHEMA), "b0")
+    table = FrequencyTable(spark, workdir + "/df", fan_in=2)
+    assert table.read().count() == 0
+
+    def run(checkpoint):
+        frequency_from_index(stream, store, table, workdir + checkpoint).awaitTermination()
+        return {r["term"]: r["df"] for r in table.read().collect()}
+
+    assert run("/ckpt") == ALL_DF
+    # Indexed after the start: a restart neither counts it twice nor begins a new run.
+    ingest_corpus(store, spark.createDataFrame(GOLDEN[1:3], CORPUS_SCHEMA), "b1")
+    store.compact()
+    store.vacuum()
+    assert run("/ckpt") == ALL_DF and len(table.runs()) == 1
+    write_parts(spark, src, [("/v/e.mp4", "ice puck"), ("/v/a.mp4", "other words")], CORPUS_SCHEMA, [[0, 1]])
+    after = {**ALL_DF, "ice": 3, "puck": 2}
+    assert run("/ckpt") == after and len(table.runs()) == 1
+    # The checkpoint is lost: a new run from the index of now gives the same.
+    shutil.move(workdir + "/ckpt", workdir + "/lost")
+    assert run("/ckpt") == after and len(table.runs()) == 2
+
+
+def test_frequency_over_an_empty_index(spark, workdir):
+    write_parts(spark, workdir + "/in", GOLDEN, CORPUS_SCHEMA, [[0, 1, 2, 3]])
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    table = FrequencyTable(spark, workdir + "/df")
+    frequency_from_index(spark.readStream.schema(CORPUS_SCHEMA).parquet(workdir + "/in"), store, table,
+                         workdir + "/ckpt").awaitTermination()
+    assert dict(tuple(r) for r in table.read().collect()) == ALL_DF
+
+
+def test_old_epochs_are_folded(spark, workdir):
+    store = IndexStore(spark, workdir + "/ix", GOLDEN_STOP_WORDS).create()
+    ingest_corpus(store, spark.createDataFrame(GOLDEN[:2], CORPUS_SCHEMA), "b0")
+    table = FrequencyTable(spark, workdir + "/df", fan_in=3)
+    run = table.begin(store, workdir + "/ckpt")
+    assert table.begin(store, workdir + "/ckpt") == run
+    for epoch in range(20):
+        since = [("ice", epoch + 1), (f"t{epoch}", 1)]
+        table.add(run, spark.createDataFrame(since, "term string, df long"), epoch)
+        kept = table.updates(run)
+        assert [e for a, b in kept for e in range(a, b + 1)] == list(range(epoch + 1))      # each epoch once
+        assert len(kept) <= 2 * (len(kept) and table._tier((0, epoch)) + 1)
+        assert len(table._updates(run)) <= 2 * 3 + 9
+    # A replayed epoch, folded or not, changes nothing.
+    for epoch in (0, 7, 19):
+        table.add(run, spark.createDataFrame([("ice", epoch + 1)], "term string, df long"), epoch)
+    got = dict(tuple(r) for r in table.read().collect())
+    assert got == {"ice": 22, "baby": 1, "hockey": 1, "puck": 1, "stick": 1, "score": 1, **{f"t{e}": 1 for e in range(20)}}
+
+
+def test_fold_needs_two(spark, workdir):
+    with pytest.raises(ValueError):
+        FrequencyTable(spark, workdir, fan_in=1)
