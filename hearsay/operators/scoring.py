@@ -102,11 +102,27 @@ def query_term_frequencies(matched: DataFrame, candidates: DataFrame, qterms: Da
 
     Dense form: one row per (query, candidate, query term). Counts come from
     the matched postings, so no document's term map is moved or searched.
+    Only these and the candidates are shuffled: a candidate's postings are
+    gathered in one row, and the dense rows are made from it and the query's
+    terms last of all.
     """
-    per_query = candidates.join(qterms, "query_id")
-    counts = matched.select("query_id", "file", "term", "tf_count")
-    return per_query.join(counts, ["query_id", "file", "term"], "left").select(
-        "query_id", "file", "term", F.coalesce("tf_count", F.lit(0)).cast("bigint").alias("tf_count"))
+    keys = ["query_id", "file"]
+    counted = matched.where(F.col("file").isNotNull()).select(
+        *keys, F.struct("term", F.col("tf_count").cast("bigint").alias("tf_count")).alias("found"), F.lit(0).alias("asked"))
+    asked = candidates.select(*keys, F.lit(None).cast(counted.schema["found"].dataType).alias("found"), F.lit(1).alias("asked"))
+    # Dealt out before they are gathered: collecting on the map side would sort and spill whole partitions.
+    gathered = counted.union(asked).repartition(*keys).groupBy(*keys).agg(
+        F.collect_list("found").alias("found"), F.sum("asked").cast("int").alias("asked")).where(F.col("asked") > 0)
+    terms = qterms.groupBy("query_id").agg(F.collect_list(F.struct("term")).alias("terms"))
+
+    def rows(t: Column) -> Column:
+        held = F.filter("found", lambda f: f["term"] == t["term"])
+        absent = F.array(F.struct(t["term"].alias("term"), F.lit(0).cast("bigint").alias("tf_count")))
+        return F.when(F.size(held) > 0, held).otherwise(absent)
+
+    dense = gathered.join(terms, "query_id").select(
+        *keys, F.explode(F.flatten(F.array_repeat(F.flatten(F.transform("terms", rows)), F.col("asked")))).alias("d"))
+    return dense.select(*keys, "d.term", "d.tf_count")
 
 
 def rank_key(score: Column, round_to: int | None) -> Column:

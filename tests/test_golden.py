@@ -149,3 +149,15 @@ def test_group_of_copies_keeps_k_rows_in_file_order(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["file"]))
     assert sorted(got["q1"]) == [(1, "/v/copy000.mp4"), (2, "/v/copy001.mp4"), (3, "/v/copy002.mp4")]
     assert sorted(got["q2"]) == [(1, "/v/other007.mp4"), (2, "/v/copy000.mp4"), (3, "/v/copy001.mp4")]
+
+
+def test_dense_frequencies_are_made_last(golden_index, spark):
+    """No join meets a row for each query term, and repeated rows count as in a join."""
+    q = spark.createDataFrame([("q", "ice"), ("q", "zzzz"), ("r", "puck")], "query_id string, term string")
+    matched = sc.match_terms(q, golden_index.postings)
+    dense = sc.query_term_frequencies(matched.union(matched), sc.candidate_documents(matched), q)
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "file#" in line]
+    got = sorted(map(tuple, dense.collect()))
+    assert got == sorted([("q", "/v/a.mp4", "ice", 1)] * 2 + [("q", "/v/b.mp4", "ice", 2)] * 2
+                         + [("q", f"/v/{f}.mp4", "zzzz", 0) for f in "ab"] + [("r", "/v/a.mp4", "puck", 2)] * 2)
