@@ -9,24 +9,31 @@ from pyspark.sql import types as T
 
 def table_stream(spark: SparkSession, folder: str, schema: T.StructType, file_glob: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file-source stream over ``folder`` (new files become new micro-batches)."""
+    """A file-source stream over ``folder`` (new files become new micro-batches).
+
+    ``file_glob`` picks a table by name: a file of the folder, or a folder of part files.
+    """
     reader = spark.readStream.schema(schema)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.parquet(folder)
+    if not file_glob:
+        return reader.parquet(folder)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file_glob}")
+    found = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(named)
+    if any(f.isDirectory() for f in found or []):
+        return reader.parquet(f"{folder}/{file_glob}")      # the filter below is for names of files alone
+    return reader.option("pathGlobFilter", file_glob).parquet(folder)
 
 
 def media_stream(spark: SparkSession, directory: str, fmt: str = "mp4", max_files_per_trigger: int | None = None) -> DataFrame:
     """``(file)`` of the recordings that appear in ``directory``; their contents are not read."""
-    from hearsay.sources.media import listed_sources, sources_pattern
+    from hearsay.sources.media import folder_pattern, listed_sources
 
-    reader = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = (spark.readStream.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=f"*.{fmt}")
               .schema("path string, modificationTime timestamp, length long, content binary"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return listed_sources(reader.load(sources_pattern(directory, fmt)), directory)
+    return listed_sources(reader.load(folder_pattern(directory)), directory)
 
 
 DOCUMENTS_TABLE_SCHEMA = T.StructType([

@@ -140,3 +140,16 @@ def test_old_epochs_are_folded(spark, workdir):
 def test_fold_needs_two(spark, workdir):
     with pytest.raises(ValueError):
         FrequencyTable(spark, workdir, fan_in=1)
+
+
+def test_a_table_of_part_files_is_streamed(spark, workdir):
+    from hearsay.streaming.sources import documents_corpus_stream
+
+    rows = [(i, f"word{i} ice", "en", "s", 9) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(
+        f"{workdir}/sf/documents.parquet")
+    q = write_frequency_updates(document_frequency_stream(documents_corpus_stream(spark, f"{workdir}/sf")),
+                                f"{workdir}/state", f"{workdir}/ckpt", name="r2_parts")
+    q.awaitTermination()
+    state = {r["term"]: r["df"] for r in read_frequency_state(spark, f"{workdir}/state").collect()}
+    assert state == {"ice": 4, **{f"word{i}": 1 for i in range(4)}}
