@@ -378,12 +378,33 @@ MEDIA = "txt"
 
 
 def _recordings(spark, sf_dir, name):
-    """A folder with one plain-text recording per document; a recording ends with a line feed."""
-    from hearsay.session import scratch_path
+    """A folder with one plain-text recording per document; a recording ends with a line feed.
+
+    Extractors open local paths, so tasks write them plainly. Spark's writer
+    takes many milliseconds for each file, and the driver then moves them one by one.
+    """
+    import os
+
+    from hearsay.session import local_path, scratch_path
 
     folder = scratch_path(spark, name)
     docs = documents_corpus(spark, sf_dir).where(F.col("transcript").isNotNull())
-    docs.select("transcript").write.option("maxRecordsPerFile", 1).text(folder)
+    local = local_path(folder)
+    os.makedirs(local)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            for transcript in pdf["transcript"]:
+                # A task that runs again writes the same names.
+                with open(f"{local}/part-{part:05d}-{n:09d}.txt", "wb") as recording:
+                    recording.write(transcript.encode() + b"\n")
+                n += 1
+            yield pdf[:0]
+
+    docs.select("transcript").mapInPandas(write, "transcript string").write.format("noop").mode("overwrite").save()
     return folder
 
 

@@ -17,34 +17,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.session import scratch_path, ship_package
+from hearsay.session import default_parallelism, scratch_path, ship_package
 
 
 FILES_PER_TASK = 8
+TASKS_PER_CORE = 32         # at most: very many files make longer tasks, not ever more of them
+ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
 
 
 def list_sources(spark: SparkSession, directory: str, fmt: str = "mp4") -> DataFrame:
     """``(file)`` for ``directory/*.fmt``, not recursive, absolute local paths.
 
     Only the ``path`` column is selected, so file contents are never read, and
-    only direct children are listed.
+    only direct children stay.
     """
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sources_pattern(directory, fmt))
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder_pattern(directory))
     if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
         return spark.createDataFrame([], "file string")
+    # The folder is listed at once: a pattern for its files would make each of them a folder to list.
     # Lookup is recursive so that no folder name is taken for a partition (k=v);
     # a folder that matches the pattern is left out with all that it holds.
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sources_pattern(directory, fmt))
-    return listed_sources(listed, directory)
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=f"*.{fmt}")
+    return listed_sources(listed.load(folder_pattern(directory)), directory)
 
 
-def sources_pattern(directory: str, fmt: str) -> str:
-    """A pattern for the direct children; the exact parent is checked afterwards.
+def folder_pattern(directory: str) -> str:
+    """A pattern for the folder; the exact parent of what it finds is checked afterwards.
 
     Pattern characters in the folder's own path match any character.
     """
-    loose = re.sub(r"[\\*?\[\]{}]", "?", directory.rstrip("/"))
-    return f"{loose}/*.{fmt}"
+    return re.sub(r"[\\*?\[\]{}]", "?", directory.rstrip("/"))
 
 
 def listed_sources(listed: DataFrame, directory: str) -> DataFrame:
@@ -63,18 +65,26 @@ def _extracted(sources: DataFrame, make_extractor: Callable[[], Callable[[str],
     """``(file, transcript, message)`` of each path, over ``num_tasks`` tasks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = make_extractor()
+        done, chars = [], 0
         for pdf in batches:
             for file in pdf["file"].tolist():
                 try:
-                    yield pd.DataFrame({"file": [file], "transcript": [extract(file)], "message": [None]})
+                    done.append((file, extract(file), None))
                 except Exception as failed:  # noqa: BLE001  (any error of the user's extractor concerns this file alone)
                     if not keep_errors:
                         raise
-                    yield pd.DataFrame({"file": [file], "transcript": [None], "message": [f"{type(failed).__name__}: {failed}"]})
+                    done.append((file, None, f"{type(failed).__name__}: {failed}"))
+                chars += len(done[-1][1] or "")
+                if len(done) >= ROWS_AT_ONCE or chars >= CHARS_AT_ONCE:
+                    yield pd.DataFrame(done, columns=["file", "transcript", "message"], dtype=object)
+                    done, chars = [], 0
+        if done:
+            yield pd.DataFrame(done, columns=["file", "transcript", "message"], dtype=object)
 
     ship_package(sources.sparkSession)
     paths = sources.select("file")
-    count = num_tasks or max(1, math.ceil(paths.count() / FILES_PER_TASK))
+    most = TASKS_PER_CORE * default_parallelism(sources.sparkSession)
+    count = num_tasks or max(1, min(most, math.ceil(paths.count() / FILES_PER_TASK)))
     return paths.repartition(count).mapInPandas(run, "file string, transcript string, message string")
 
 
@@ -83,7 +93,7 @@ def extract_transcripts(sources: DataFrame, make_extractor: Callable[[], Callabl
     """``(file, transcript)`` for each path, by a user extractor.
 
     The files, few and slow, are spread over ``num_tasks`` tasks, by default
-    one for every ``FILES_PER_TASK`` of them. Nothing is kept, and an extractor
+    one for every ``FILES_PER_TASK`` of them up to ``TASKS_PER_CORE`` for each core. Nothing is kept, and an extractor
     error fails the job that asks for the rows; ``TranscriptStage`` keeps what
     was extracted.
     """

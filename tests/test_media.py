@@ -126,3 +126,18 @@ def test_a_polled_folder_is_extracted_once_across_two_checkpoints(spark, workdir
     poll("/c1")                                         # the failed file is tried again
     assert noted(log)[-4:] == ["d.mp4", "e.mp4", "e.mp4", "f.mp4"]
     assert sorted(r["file"][-5:] for r in store.documents().collect()) == [f"{c}.mp4" for c in "abcdef"]
+
+
+def test_very_many_files_make_longer_tasks(spark, workdir, monkeypatch):
+    from hearsay.sources import media
+
+    os.makedirs(f"{workdir}/many")
+    for i in range(60):
+        with open(f"{workdir}/many/{i}.txt", "w") as f:
+            f.write(f"word{i}")
+    monkeypatch.setattr(media, "FILES_PER_TASK", 1)
+    monkeypatch.setattr(media, "TASKS_PER_CORE", 2)
+    got = media.extract_transcripts(media.list_sources(spark, f"{workdir}/many", "txt"), media.text_file_extractor)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {2 * spark.sparkContext.defaultParallelism}," in plan
+    assert sorted(r["transcript"] for r in got.collect()) == sorted(f"word{i}" for i in range(60))
