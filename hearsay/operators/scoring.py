@@ -55,9 +55,11 @@ def match_terms(qterms: DataFrame, postings: DataFrame, literal_query: bool = Fa
 
     ``literal_query`` says that the terms are those of one call, which are
     broadcast. For a query table AQE picks the join from its real size.
+    An ``idf`` of the query terms (``query_idf``) is carried along.
     """
     q = F.broadcast(qterms) if literal_query else qterms
-    return postings.join(q, "term").select("query_id", "term", "file", "tf_count", "num_terms")
+    more = [c for c in ("idf",) if c in qterms.columns]
+    return postings.join(q, "term").select("query_id", "term", "file", "tf_count", "num_terms", *more)
 
 
 def query_idf(qterms: DataFrame, lexicon: DataFrame, n_documents: Column, literal_query: bool = False) -> DataFrame:
@@ -73,12 +75,12 @@ def query_idf(qterms: DataFrame, lexicon: DataFrame, n_documents: Column, litera
     )
 
 
-def term_tf_idf(matched: DataFrame, idfs: DataFrame) -> DataFrame:
+def term_tf_idf(matched: DataFrame, idfs: DataFrame | None = None) -> DataFrame:
     """M3 + M4 per matched posting: ``(query_id, file, term, tf, idf, tf_idf)``.
 
-    ``idfs`` holds one row per (query, term).
+    ``idfs`` holds one row per (query, term); without it ``matched`` has the idf already.
     """
-    j = matched.join(idfs.select("query_id", "term", "idf"), ["query_id", "term"])
+    j = matched if idfs is None else matched.join(idfs.select("query_id", "term", "idf"), ["query_id", "term"])
     t = tf(F.col("tf_count"), F.col("num_terms"))
     return j.select("query_id", "file", "term", t.alias("tf"), "idf", tf_idf(t, F.col("idf")).alias("tf_idf"))
 

@@ -7,8 +7,9 @@ One query (Q2), one plan:
     tf·idf per posting, sum per file, TakeOrderedAndProject        M3, M4, A7, K1
     one distinct term: no sum, top-k directly                      K1
 
-A table of queries (Q3, K2) over an unsaved index is one plan: term maps
-exploded ⋈ query terms, sum per (query, file), WindowGroupLimit.
+A table of queries (Q3, K2) over an unsaved index is two plans: the idf of the
+query terms is written, then term maps exploded ⋈ these, sum per (query, file),
+WindowGroupLimit.
 
 A table of queries over a stored index skips blocks of documents that cannot
 reach a query's k best. Since idf is never negative, the sum of idf · greatest tf
@@ -41,8 +42,14 @@ QUERY_SCHEMA = T.StructType([
 ])
 
 
-def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Sequence[str] | None = None) -> DataFrame:
-    """``(query_id, file, score)`` for every candidate of every query."""
+def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Sequence[str] | None = None,
+                      scratch: str | None = None) -> DataFrame:
+    """``(query_id, file, score)`` for every candidate of every query.
+
+    For a table of queries over an index that is not stored, the query terms with
+    their idf are written to ``scratch`` first. From their real size Spark picks
+    the join, and postings meet them once: nothing is shuffled before the sums.
+    """
     qterms = sc.query_terms(queries)
     literal = pushdown_terms is not None
     lexicon = index.lexicon
@@ -57,11 +64,12 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Seq
         # task, so the partial aggregate finishes each (query, file) sum before
         # the shuffle.
         postings = ix.postings_from_documents(index.documents.select("file", "term_frequencies", "num_terms"))
-    matched = sc.match_terms(qterms, postings, literal)
     idfs = sc.query_idf(qterms, lexicon, index.n_documents(), literal)
     if literal:
-        idfs = F.broadcast(idfs)
-    return sc.score_documents(sc.term_tf_idf(matched, idfs))
+        return sc.score_documents(sc.term_tf_idf(sc.match_terms(qterms, postings, True), F.broadcast(idfs)))
+    idfs = _written(idfs.where(F.col("query_id").isNotNull()),
+                    f"{scratch or scratch_path(index.documents.sparkSession, 'scores')}/idfs")
+    return sc.score_documents(sc.term_tf_idf(sc.match_terms(idfs, postings)))
 
 
 # ---- stored index: bounds by block ---------------------------------------------
@@ -157,11 +165,11 @@ def search_batch(index: TfIdfIndex, queries: DataFrame, k: int = 3, round_to: in
     with no known term produce no rows. Result ``(query_id, rank, file, score)``.
     Over a stored index the query terms, the blocks' bounds and the blocks left
     open are written to ``scratch`` first (a new folder of the checkpoint root by default); over
-    another nothing runs before the result is asked for.
+    another the query terms with their idf are.
     """
     if index.blocks is not None and k > 0:
         return _search_stored(index, queries, k, round_to, scratch or scratch_path(index.postings.sparkSession, "search"))
-    scores = scored_candidates(index, queries)
+    scores = scored_candidates(index, queries, scratch=scratch)
     return sc.top_k_per_query(scores, k, round_to)
 
 

@@ -61,3 +61,12 @@ def test_single_term_search_has_no_shuffle_of_postings(spark, workdir):
     assert "TakeOrderedAndProject" in p
     main = p.split("Subquery")[0]
     assert "Exchange hashpartitioning(file" not in main
+
+
+def test_a_table_of_queries_meets_the_postings_once(spark, golden_index):
+    """The idf comes with the query's terms: one join, and none before the sums that shuffles matched postings."""
+    queries = spark.createDataFrame([("q", ["ice", "puck"]), (None, ["ice"])], "query_id string, terms array<string>")
+    found = search_batch(golden_index, queries, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {r["query_id"] for r in found.collect()} == {"q"}
