@@ -29,8 +29,15 @@ def _char_class(chars: str, escape: str) -> str:
     return "[" + "".join(escape.format(ord(c)) for c in chars) + "]+"
 
 
+def _ranges(chars: str) -> str:
+    """The same class by ranges of neighbours: Java tries each member of a class on each character."""
+    starts = [c for c in chars if chr(ord(c) - 1) not in chars]
+    ends = [c for c in chars if chr(ord(c) + 1) not in chars]
+    return "[" + "".join(f"\\u{ord(a):04x}" + (f"-\\u{ord(b):04x}" if a != b else "") for a, b in zip(starts, ends)) + "]+"
+
+
 # Java regex (Spark) and RE2 (DuckDB) spellings of the same class.
-WHITESPACE_REGEX: str = _char_class(WHITESPACE, "\\u{:04x}")
+WHITESPACE_REGEX: str = _ranges(WHITESPACE)
 WHITESPACE_REGEX_RE2: str = _char_class(WHITESPACE, "\\x{{{:04x}}}")
 
 
@@ -82,17 +89,18 @@ def path_display(path: Column | str) -> Column:
 # Run-length encoding of a sorted token array: one struct per distinct term with
 # its count, in term order. Every lambda reads only its own arguments, so the
 # sorted array is computed once per row and the work is O(n log n) per document,
-# with no shuffle. `p.<column>` is the token, `p.`1`` the token before it;
-# arrays_zip and zip_with pad the shorter side with NULLs, which are skipped.
+# with no shuffle. Each token is zipped with the one before it and its place;
+# arrays_zip pads the tokens with one NULL, which marks the end of the last run.
+# `st` binds the starts of the runs, so that they are found once, and each run
+# ends where the next one starts.
 _RUN_STARTS = (
-    "filter(transform(arrays_zip({s}, concat(array(CAST(NULL AS STRING)), {s})),"
-    " (p, i) -> named_struct('term', p.{name}, 'first', p.{name} IS NOT NULL AND (i = 0 OR p.{name} <> p.`1`), 'i', i)),"
-    " r -> r.first)"
+    "filter(arrays_zip({s}, concat(array(CAST(NULL AS STRING)), {s}), sequence(0, size({s}))),"
+    " p -> NOT (p.{name} <=> p.`1`))"
 )
 _RUNS = (
-    "filter(zip_with({starts}, concat(slice(transform({starts}, r -> r.i), 2, size({s})), array(size({s}))),"
-    " (r, nx) -> named_struct('term', r.term, 'tf_count', CAST(nx - r.i AS BIGINT))),"
-    " e -> e.term IS NOT NULL)"
+    "transform(array({starts}), st -> zip_with("
+    "slice(st, 1, greatest(size(st) - 1, 0)), slice(st, 2, greatest(size(st) - 1, 0)),"
+    " (r, nx) -> named_struct('term', r.{name}, 'tf_count', CAST(nx.`2` - r.`2` AS BIGINT))))[0]"
 )
 
 
@@ -105,4 +113,4 @@ def term_runs(sorted_tokens_col: str) -> Column:
     """
     s = f"`{sorted_tokens_col}`"
     starts = _RUN_STARTS.format(s=s, name=s)
-    return F.expr(_RUNS.format(starts=starts, s=s))
+    return F.expr(_RUNS.format(starts=starts, name=s))

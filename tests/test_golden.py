@@ -161,3 +161,9 @@ def test_dense_frequencies_are_made_last(golden_index, spark):
     got = sorted(map(tuple, dense.collect()))
     assert got == sorted([("q", "/v/a.mp4", "ice", 1)] * 2 + [("q", "/v/b.mp4", "ice", 2)] * 2
                          + [("q", f"/v/{f}.mp4", "zzzz", 0) for f in "ab"] + [("r", "/v/a.mp4", "puck", 2)] * 2)
+
+
+def test_runs_are_found_once():
+    from hearsay.functions.text import term_runs
+
+    assert str(term_runs("sorted_tokens")).count("arrays_zip") == 1
