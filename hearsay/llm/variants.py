@@ -40,8 +40,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = 13
 NODE_WORDS = 1 << 16
 LEAF = 32
-ASKERS = 1 << 17            # searched at once
-PAIR_LETTERS = 1 << 24      # compared at once
+ASKERS = 1 << 15            # searched at once
+PAIR_LETTERS = 1 << 21      # compared at once
 TARGET, PLAIN, SURPLUS, SPENT = -1, 0, 1, 2     # a target; what an asker has spent
 
 
