@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     empty = np.zeros(4, np.int64)
 
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_bytes=1 << 20):
             sets = shingles(*words([t or "" for t in part.column(1).to_pylist()], lower=True), size)
             n = np.array([len(s) for s in sets], np.int64)
             prints = np.array([(mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         yield batch.slice(start)
 
 
+def _trimmed() -> None:
+    """Give memory that a task has freed back to the system: the worker stays, and others run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand in every Python worker."""
+    """``mapInArrow`` with the package at hand in every Python worker, which holds no freed memory between tasks."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        _trimmed()
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
