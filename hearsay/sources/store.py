@@ -4,7 +4,7 @@ Layout under ``root``::
 
     documents/batch_id=<folder>/          (file, transcription, term_frequencies, num_terms, doc)
     paths/batch_id=<folder>/bucket=<p>/   (file, digest, doc): known paths, and names by document number
-    postings/batch_id=<folder>/bucket=<b>/  (term, file, tf_count, num_terms, doc, block), sorted by (term, doc)
+    postings/batch_id=<folder>/bucket=<b>/  (term, file, tf_count, num_terms, doc, block), by (term, doc) in stripes of blocks
     blocks/batch_id=<folder>/bucket=<b>/  (term, block, n, max_tf): postings of a term in a block, and the best tf
     lexicon/batch_id=<folder>/bucket=<b>/ (term, df) of that batch
     commits/<number>.json                 one row per batch, written last; a merge's row lists what it replaces
@@ -33,16 +33,20 @@ import uuid
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.functions.tfidf import tf
 from hearsay.operators import indexing as ix
 from hearsay.plans.index import BLOCK_BITS, BlockIndex, TfIdfIndex, bucket_of
-from hearsay.session import scratch_path
+from hearsay.session import default_parallelism, scratch_path
 
 TERM_BUCKETS = 32
+TASK_POSTINGS = 1_500_000       # what a task sorts and writes, on average
+LEAST_POSTINGS = 50_000         # fewer are not worth another task
+TASK_BITS = 33                  # document numbers of one writing task differ in as many lower bits
+TASK_STRIPES = 4                # stripes dealt to a task, on average: more of them are dealt more evenly
 
 COMMITS_SCHEMA = T.StructType([
     T.StructField("number", T.LongType(), False),
@@ -75,6 +79,9 @@ TABLES = {
     "lexicon": _table(ix.LEXICON_SCHEMA, True),
 }
 
+# Of postings as they are written: a block's first has these, the others null.
+BLOCK_FIELDS = T.StructType([T.StructField("n", T.LongType(), True), T.StructField("max_tf", T.DoubleType(), True)])
+
 
 class CommitConflict(Exception):
     """Another writer took the number of a commit."""
@@ -179,10 +186,11 @@ class IndexStore:
         need = "n_documents" if table in ("documents", "paths") else "n_postings"
         return self._folders(table, [r["folder"] for r in rows if r[need] > 0])
 
-    def _folders(self, table: str, folders: list[str]) -> DataFrame:
+    def _folders(self, table: str, folders: list[str], more: T.StructType | None = None) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return (self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
+        schema = T.StructType(TABLES[table].fields + (more.fields if more else []))
+        return (self.spark.read.schema(schema).option("basePath", self.path(table))
                 .parquet(*(f"{self.path(table)}/batch_id={f}" for f in folders)))
 
     def documents(self, ids: list[str] | None = None) -> DataFrame:
@@ -309,41 +317,60 @@ class IndexStore:
             raise ValueError("the index was created with another stop-word list")
         return fixed
 
-    def _write(self, df: DataFrame, table: str, folder: str) -> DataFrame:
-        """Write one table of a batch and read it back from its own folder."""
+    def _write(self, df: DataFrame, table: str, folder: str, more: T.StructType | None = None) -> DataFrame:
+        """Write one table of a batch and read it back from its own folder, with the columns ``more`` besides its own."""
         out = f"{self.path(table)}/batch_id={folder}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy("bucket") if "bucket" in df.columns else writer).parquet(out)
-        return self._folders(table, [folder])
+        return self._folders(table, [folder], more)
+
+    def _by_bucket(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Few files to a bucket, none of them unbounded: AQE splits large buckets and puts small ones together; sorted."""
+        count = self.postings_partitions
+        dealt = df.repartition(count, "bucket") if count else df.hint("rebalance", F.col("bucket"))
+        return dealt.sortWithinPartitions("bucket", *columns)
 
-    def _ranged(self, df: DataFrame, *columns: str) -> DataFrame:
-        """Few files to a bucket, none of them unbounded: ranges of bucket and key, sorted."""
-        # Without an explicit count AQE sizes the range partitions from the data.
-        count = [self.postings_partitions] if self.postings_partitions else []
-        return df.repartitionByRange(*count, "bucket", *columns).sortWithinPartitions("bucket", *columns)
+    def _striped(self, postings: DataFrame, n: int) -> DataFrame:
+        """``n`` postings by bucket and stripe, sorted by term and number within; each block's first has its ``n`` and ``max_tf``.
+
+        A stripe of a bucket has the postings of some blocks: a hot term lies in several files, and the postings
+        of a term in a block in one task, which counts them without another shuffle. The number of
+        tasks follows ``n``, so that none sorts more than memory holds however large a batch is.
+        """
+        fewest = min(default_parallelism(self.spark), -(-n // LEAST_POSTINGS))
+        tasks = self.postings_partitions or max(1, fewest, -(-n // TASK_POSTINGS))
+        stripes = max(min(tasks, 2), -(-tasks * TASK_STRIPES // self._settings()["term_buckets"]))
+        # Blocks in turn, and from task to task (the upper bits of its numbers) one further.
+        turn = F.pmod(F.col("block") + F.shiftright("doc", TASK_BITS), F.lit(stripes)).cast("int")
+        dealt = postings.withColumn("stripe", turn).repartition(tasks, "bucket", "stripe")
+        met = Window.partitionBy("bucket", "stripe", "term", "block").orderBy("doc").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+        first = F.col("doc") == F.min("doc").over(met)
+        best = F.max(tf(F.col("tf_count"), F.col("num_terms"))).over(met)
+        return (dealt.withColumns({"n": F.when(first, F.count(F.lit(1)).over(met)), "max_tf": F.when(first, best)})
+                .sortWithinPartitions("bucket", "stripe", "term", "block", "doc").drop("stripe"))
 
     def _write_batch(self, documents: DataFrame, folder: str) -> tuple[int, int]:
         """Write all tables of a batch; returns the numbers of documents and postings.
 
         Both are counted from the written files, not from task accumulators, so
         retried tasks cannot skew them. Postings come from the written
-        documents' term maps: transcripts are not tokenised twice.
+        documents' term maps: transcripts are not tokenised twice. Blocks come
+        from the written postings, in the order in which these lie.
         """
         buckets = self._settings()["term_buckets"]
         numbered = documents.sortWithinPartitions("num_terms").withColumn("doc", F.monotonically_increasing_id())
         written = self._write(numbered, "documents", folder)
         block = F.shiftright("doc", BLOCK_BITS)
         paths = written.select("file", F.xxhash64("file").alias("digest"), "doc", F.pmod(block, F.lit(buckets)).cast("int").alias("bucket"))
-        n = self._write(self._ranged(paths, "doc"), "paths", folder).count()
-        # Range partitioning on (bucket, term, doc) splits a hot term over several
-        # files; sorting gives row groups narrow term ranges.
+        self._write(self._by_bucket(paths, "doc"), "paths", folder)
+        n, n_terms = written.agg(F.count(F.lit(1)), F.sum("num_terms")).first()
         postings = ix.postings_from_documents(written, "doc").withColumns({"block": block, "bucket": bucket_of("term", buckets)})
-        postings = self._write(self._ranged(postings, "term", "doc"), "postings", folder)
-        blocks = postings.groupBy("bucket", "term", "block").agg(
-            F.count(F.lit(1)).alias("n"), F.max(tf(F.col("tf_count"), F.col("num_terms"))).alias("max_tf"))
-        blocks = self._write(self._ranged(blocks, "term", "block"), "blocks", folder)
+        postings = self._write(self._striped(postings, n_terms or 0), "postings", folder, BLOCK_FIELDS)
+        blocks = postings.where(F.col("n").isNotNull()).select("bucket", "term", "block", "n", "max_tf")
+        blocks = self._write(blocks.sortWithinPartitions("bucket", "term", "block"), "blocks", folder)
         lexicon = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-        lexicon = self._write(self._ranged(lexicon, "term"), "lexicon", folder)
+        lexicon = self._write(self._by_bucket(lexicon, "term"), "lexicon", folder)
         return n, lexicon.agg(F.sum("df")).first()[0] or 0
 
     # ---- maintenance ------------------------------------------------------

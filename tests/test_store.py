@@ -214,3 +214,27 @@ def test_batch_with_documents_but_no_postings(spark, workdir, golden_corpus):
     assert ingest_corpus(store, golden_corpus, "rest") == 3
     assert store.documents().count() == 4
     assert [r["file"][-5] for r in search(store.index(), ["ice"], 3).collect()] == ["b", "a"]
+
+
+def test_tasks_follow_the_postings_and_blocks_come_from_them(spark, workdir, monkeypatch):
+    from hearsay.functions.tfidf import tf
+    from hearsay.sources import store as st
+
+    monkeypatch.setattr(st, "TASK_POSTINGS", 100, raising=False)
+    monkeypatch.setattr(st, "LEAST_POSTINGS", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")     # what a task sorts must not depend on it
+    try:
+        store = st.IndexStore(spark, workdir + "/ix", stop_words=[]).create()
+        rows = [(f"f{i}", "hot " * (1 + i % 5) + " ".join(f"w{i + j}" for j in range(i % 4))) for i in range(600)]
+        assert store.append(spark.createDataFrame(rows, "file string, transcript string"), "b") == 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    index = store.index()
+    postings = index.blocks.postings
+    assert postings.where("term = 'hot'").select(F.input_file_name().alias("f")).distinct().count() > 1
+    expected = postings.groupBy("bucket", "term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max(tf(F.col("tf_count"), F.col("num_terms"))).alias("max_tf"))
+    written = index.blocks.blocks.select(*expected.columns)
+    assert sorted(written.collect()) == sorted(expected.collect())
+    assert store.visible_batches()[0]["n_postings"] == postings.count() == 600 + sum(i % 4 for i in range(600))
