@@ -148,7 +148,9 @@ def inverted_index(postings: DataFrame, chunk_size: int = 10_000, lexicon: DataF
     salted = postings.select("term", "file", F.pmod(F.xxhash64("file", F.lit(1)), F.lit(salts)).cast("int").alias("salt"))
     keyed = salted.join(heavy, ["term", "salt"], "left").select(
         "term", "file", F.pmod(F.xxhash64("file"), F.coalesce("n_chunks", F.lit(1))).alias("chunk"))
-    return keyed.groupBy("term", "chunk").agg(F.sort_array(F.collect_list("file")).alias("documents"))
+    # Dealt out before they are gathered: collecting on the map side would sort and spill whole partitions.
+    return keyed.repartition("term", "chunk").groupBy("term", "chunk").agg(
+        F.sort_array(F.collect_list("file")).alias("documents"))
 
 
 def is_indexed(sources: DataFrame, documents: DataFrame) -> DataFrame:

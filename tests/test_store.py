@@ -238,3 +238,29 @@ def test_tasks_follow_the_postings_and_blocks_come_from_them(spark, workdir, mon
     written = index.blocks.blocks.select(*expected.columns)
     assert sorted(written.collect()) == sorted(expected.collect())
     assert store.visible_batches()[0]["n_postings"] == postings.count() == 600 + sum(i % 4 for i in range(600))
+
+
+def test_an_index_tokenises_once_if_its_documents_are_written(spark, workdir, golden_corpus, golden_index):
+    from hearsay.plans.index import build_index
+
+    index = build_index(golden_corpus, GOLDEN_STOP_WORDS, scratch=workdir + "/documents")
+    whole, plain = (interchange.import_index(*interchange.export_index(i)) for i in (index, golden_index))
+    for table in ("documents", "postings", "lexicon"):
+        columns = [c for c in getattr(plain, table).columns if c != "term_frequencies"]
+        assert sorted(getattr(whole, table).select(*columns).collect()) == sorted(getattr(plain, table).select(*columns).collect())
+    joined = whole.postings.join(whole.lexicon, "term")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in joined
+
+
+def test_lists_are_dealt_out_before_they_are_gathered(golden_index):
+    view = ix.inverted_index(golden_index.postings, 1)
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" not in plan.split("Exchange hashpartitioning(term")[1]
+    got = {}
+    for r in view.collect():
+        assert list(r["documents"]) == sorted(r["documents"])
+        got.setdefault(r["term"], []).extend(r["documents"])
+    wanted = {}
+    for r in golden_index.postings.select("term", "file").collect():
+        wanted.setdefault(r["term"], []).append(r["file"])
+    assert {t: sorted(f) for t, f in got.items()} == {t: sorted(f) for t, f in wanted.items()}
