@@ -72,13 +72,17 @@ class TfIdfIndex:
         return found.groupBy("term").agg(F.sum("df").cast("bigint").alias("df")) if self.blocks else found
 
 
-def build_index(corpus: DataFrame, stop_words: Iterable[str] | None = None) -> TfIdfIndex:
-    """Index a corpus ``(file, transcript)`` without writing anything.
+def build_index(corpus: DataFrame, stop_words: Iterable[str] | None = None, scratch: str | None = None) -> TfIdfIndex:
+    """Index a corpus ``(file, transcript)`` without writing anything but, if asked for, its documents.
 
     Each file must appear once (``hearsay.operators.indexing.new_sources``
-    does that for ingest).
+    does that for ingest). With a new folder ``scratch`` the documents are written
+    there first: transcripts are tokenised once, however many tables are used.
     """
     documents = ix.build_documents(corpus, stop_words)
+    if scratch:
+        documents.write.parquet(scratch)
+        documents = documents.sparkSession.read.schema(documents.schema).parquet(scratch)
     postings = ix.postings_from_documents(documents)
     return TfIdfIndex(documents, postings, ix.document_frequency(postings))
 

@@ -289,7 +289,11 @@ def s7_import_terms(spark, sf_dir):
 
 
 def s7_import_whole_index(spark, sf_dir):
-    idx = interchange.import_index(*interchange.export_index(_index(spark, sf_dir)))
+    from hearsay.session import scratch_path
+
+    # Three tables are made from the documents.
+    index = build_index(documents_corpus(spark, sf_dir), scratch=scratch_path(spark, "s7"))
+    idx = interchange.import_index(*interchange.export_index(index))
     return idx.postings.join(idx.lexicon, "term").select("term", "file", "tf_count", "num_terms", "df")
 
 
