@@ -275,7 +275,9 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=0)
-    return top + np.log(np.exp(logits - top).sum(axis=0))
+    powers = logits - top
+    np.exp(powers, out=powers)
+    return top + np.log(powers.sum(axis=0))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
