@@ -35,6 +35,7 @@ class BlockIndex:
     lexicon: DataFrame     # (term, df, bucket), a row per batch
     names: DataFrame       # (batch, doc, file, bucket), the bucket being the block's
     buckets: int
+    n_postings: int
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,9 @@ One query (Q2), one plan:
     tf·idf per posting, sum per file, TakeOrderedAndProject        M3, M4, A7, K1
     one distinct term: no sum, top-k directly                      K1
 
+Every score of a table of queries (A7) over a stored index: postings of the query
+terms are dealt out by document, then meet the queries and are summed in place.
+
 A table of queries (Q3, K2) over an unsaved index is two plans: the idf of the
 query terms is written, then term maps exploded ⋈ these, sum per (query, file),
 WindowGroupLimit.
@@ -33,7 +36,7 @@ from hearsay.functions.tfidf import idf
 from hearsay.operators import indexing as ix
 from hearsay.operators import scoring as sc
 from hearsay.plans.index import BLOCK_BITS, TfIdfIndex, bucket_of
-from hearsay.session import scratch_path
+from hearsay.session import default_parallelism, scratch_path
 
 # The shape of a query table.
 QUERY_SCHEMA = T.StructType([
@@ -46,9 +49,10 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Seq
                       scratch: str | None = None) -> DataFrame:
     """``(query_id, file, score)`` for every candidate of every query.
 
-    For a table of queries over an index that is not stored, the query terms with
-    their idf are written to ``scratch`` first. From their real size Spark picks
-    the join, and postings meet them once: nothing is shuffled before the sums.
+    For a table of queries the query terms with their idf are written to ``scratch``
+    first. From their real size Spark picks the join. Over an index that is not stored
+    postings meet them once, and nothing is shuffled before the sums; over a stored one
+    postings are dealt out by document first, and nothing is after that.
     """
     qterms = sc.query_terms(queries)
     literal = pushdown_terms is not None
@@ -57,8 +61,8 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Seq
         terms = sorted(set(pushdown_terms))
         postings, lexicon = index.postings_of(terms), index.lexicon_of(terms)
     elif index.blocks is not None:
-        qterms = _bucketed(index, qterms)
-        return _sums(index, _weighted(index, qterms)).join(index.blocks.names, ["batch", "doc"]).select("query_id", "file", "score")
+        weighted = _written(_weighted(index, _bucketed(index, qterms)), f"{scratch or scratch_path(lexicon.sparkSession, 'scores')}/terms")
+        return _document_sums(index, _pruning(weighted))
     else:
         # Nothing is stored by term: all of a document's terms reach the same
         # task, so the partial aggregate finishes each (query, file) sum before
@@ -72,6 +76,9 @@ def scored_candidates(index: TfIdfIndex, queries: DataFrame, pushdown_terms: Seq
     return sc.score_documents(sc.term_tf_idf(sc.match_terms(idfs, postings)))
 
 
+TASK_POSTINGS = 1_500_000       # of a stored index, for each task that sums scores by document
+
+
 # ---- stored index: bounds by block ---------------------------------------------
 
 # Bounds and scores may add the same terms in another order: bounds get this much more.
@@ -111,6 +118,23 @@ def _sums(index: TfIdfIndex, wanted: DataFrame) -> DataFrame:
     return postings.join(wanted, keys).groupBy("query_id", "batch", "doc").agg(F.sum(part).alias("score"))
 
 
+def _document_sums(index: TfIdfIndex, weighted: DataFrame) -> DataFrame:
+    """``(query_id, file, score)`` of every document with a term of ``weighted``, ``(query_id, term, bucket, idf)``.
+
+    A stored index's postings lie by term. Those of the query terms are dealt out by document, each once however
+    many queries have its term: the pairs of query and document are made and summed where they are, without a shuffle.
+    The number of tasks follows the index, so that none sums more pairs as it grows.
+    """
+    blocks = index.blocks
+    asked = weighted.select("bucket", "term").distinct()
+    postings = blocks.postings.select("bucket", "term", "batch", "doc", "file", "tf_count", "num_terms")
+    tasks = max(default_parallelism(postings.sparkSession), -(-blocks.n_postings // TASK_POSTINGS))
+    met = postings.join(asked, ["bucket", "term"], "left_semi").drop("bucket").repartition(tasks, "batch", "doc")
+    part = sc.tf_idf(sc.tf(F.col("tf_count"), F.col("num_terms")), F.col("idf"))
+    sums = met.join(weighted.select("query_id", "term", "idf"), "term").groupBy("query_id", "batch", "doc", "file").agg(F.sum(part).alias("score"))
+    return sums.select("query_id", "file", "score")
+
+
 def block_bounds(index: TfIdfIndex, weighted: DataFrame) -> DataFrame:
     """``(query_id, batch, block, bound, terms)``: no document of the block scores more than ``bound``.
 

@@ -222,7 +222,7 @@ class IndexStore:
 
         postings, lexicon = numbered("postings"), self._committed("lexicon", rows).select("term", "df", "bucket")
         blocks = BlockIndex(postings, numbered("blocks"), lexicon, numbered("paths").select("batch", "doc", "file", "bucket"),
-                            self._settings()["term_buckets"])
+                            self._settings()["term_buckets"], sum(r["n_postings"] for r in rows))
         documents = self._committed("documents", rows).select(*ix.DOCUMENTS_SCHEMA.names)
         return TfIdfIndex(documents, postings.select(*ix.POSTINGS_SCHEMA.names), self._sum_df(lexicon), n_df, blocks)
 

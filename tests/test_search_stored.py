@@ -60,6 +60,15 @@ def test_all_scores_of_a_stored_index(stored, queries):
     assert got == want
 
 
+def test_pairs_of_query_and_document_are_not_shuffled(stored, queries):
+    """A posting is dealt out by its document before it meets the queries; nothing is shuffled by pair."""
+    scores = scored_candidates(stored[0], queries)
+    assert scores.count()
+    p = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(batch" in p and "hashpartitioning(query_id" not in p
+    assert "paths" not in "".join(scores.inputFiles())
+
+
 def test_blocks_that_cannot_reach_the_best_are_skipped(stored, queries, workdir):
     index, _ = stored
     weighted = S._written(S._weighted(index, S._bucketed(index, sc.query_terms(queries))), workdir + "/terms")
