@@ -3,7 +3,7 @@
 Order matters and is part of the semantics: punctuation is *deleted* (not
 replaced by a space) before lowercasing, tokens split on runs of Unicode
 whitespace, and stop words are tested afterwards, so ``don't`` survives as
-``dont``. All of it stays JVM-side (translate / lower / split / filter).
+``dont``. All of it stays JVM-side (regexp_replace / lower / split / filter).
 """
 
 from __future__ import annotations
@@ -29,16 +29,19 @@ def _char_class(chars: str, escape: str) -> str:
     return "[" + "".join(escape.format(ord(c)) for c in chars) + "]+"
 
 
-def _ranges(chars: str) -> str:
-    """The same class by ranges of neighbours: Java tries each member of a class on each character."""
-    starts = [c for c in chars if chr(ord(c) - 1) not in chars]
-    ends = [c for c in chars if chr(ord(c) + 1) not in chars]
-    return "[" + "".join(f"\\u{ord(a):04x}" + (f"-\\u{ord(b):04x}" if a != b else "") for a, b in zip(starts, ends)) + "]+"
+def _tabled(chars: str) -> str:
+    """The same class for Java, which looks up members below 256 in a table and tries all others one by one.
+
+    Those lie behind one range, so that most characters are tried against that alone.
+    """
+    low, high = "".join(f"\\x{ord(c):02x}" for c in chars if ord(c) < 256), [f"\\u{ord(c):04x}" for c in chars if ord(c) >= 256]
+    return f"[{low}" + (f"[{high[0]}-{high[-1]}&&[{''.join(high)}]]" if high else "") + "]+"
 
 
 # Java regex (Spark) and RE2 (DuckDB) spellings of the same class.
-WHITESPACE_REGEX: str = _ranges(WHITESPACE)
+WHITESPACE_REGEX: str = _tabled(WHITESPACE)
 WHITESPACE_REGEX_RE2: str = _char_class(WHITESPACE, "\\x{{{:04x}}}")
+PUNCTUATION_REGEX: str = _tabled(PUNCTUATION)
 
 
 def _col(c: Column | str) -> Column:
@@ -46,8 +49,11 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_punctuation(text: Column | str) -> Column:
-    """Delete the ASCII punctuation characters; other symbols stay."""
-    return F.translate(_col(text), PUNCTUATION, "")
+    """Delete the ASCII punctuation characters; other symbols stay.
+
+    By a regular expression: ``translate`` makes a string of each character and looks it up in a hash map.
+    """
+    return F.regexp_replace(_col(text), PUNCTUATION_REGEX, "")
 
 
 def normalize(text: Column | str) -> Column:

@@ -38,6 +38,21 @@ def test_whitespace_29_characters(spark):
     assert one(spark, tx.tokenize, "") == []
 
 
+def test_every_character_as_python_takes_it(spark):
+    # 256 texts of 256 characters each, every one between two letters; no surrogates.
+    texts = ["".join(f"a{chr(c)}b" for c in range(256 * i, 256 * i + 256)) for i in range(256) if not 0xd8 <= i <= 0xdf]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(
+        "v", tx.strip_punctuation("v").alias("s"), tx.tokenize("v").alias("t")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["s"] == r["v"].translate({ord(c): None for c in string.punctuation}) and r["t"] == r["v"].split()
+
+
+def test_characters_are_not_looked_up_one_by_one(spark):
+    df = spark.createDataFrame([("a-b",)], "v string").select(tx.normalize("v"))
+    assert "translate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stop_words_after_apostrophes(spark):
     toks = spark.createDataFrame([("Don't stop the music",)], "v string").select(
         tx.remove_stop_words(tx.tokenize(tx.normalize("v"))).alias("o")).first()["o"]
