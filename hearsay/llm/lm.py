@@ -65,6 +65,8 @@ GROUPS = 64
 BATCH = 4096
 RATE = 0.1
 SEED = 5
+LARGE = 60.0                        # below it, sums of exponentials of 32-bit numbers neither overflow nor vanish
+OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 
 @dataclass
@@ -188,76 +190,122 @@ class Network:
             self.views["class_bias"][:] = np.log(by_class.sum(axis=1))
             self.views["word_bias"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
 
-    def hidden(self, context: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
-        """``rare``: for each place of a context, the two buckets of the word if it is one of the others."""
-        v = self.views
-        total = np.repeat(v["bias"][None, :], len(context), axis=0)
-        for k in range(2 * REACH):
-            total += v["embed"][k].take(context[:, k], axis=0)
-            if rare is not None:
-                some = np.flatnonzero(context[:, k] == 0)
-                total[some] += v["rare"].take(rare[0, some, k], axis=0) + v["rare"].take(rare[1, some, k], axis=0)
+    def hidden(self, context: np.ndarray, pairs: np.ndarray | None, at: np.ndarray) -> np.ndarray:
+        """Of the places ``at``, in rising order, of a row of words whose ``context`` and ``pairs`` ``Lexicon.spread`` gave."""
+        v, low, n = self.views, at[0] - REACH, at[-1] - at[0] + 1
+        if pairs is None:
+            total = np.repeat(v["bias"][None, :], len(at), axis=0)
+        else:
+            # A hashed word is looked up once, and added to all places that it is near.
+            rare = np.zeros((n + 2 * REACH, WIDTH), np.float32)
+            some = np.flatnonzero(context[low:low + len(rare)] == 0)
+            rare[some] = v["rare"].take(pairs[0, low + some], axis=0) + v["rare"].take(pairs[1, low + some], axis=0)
+            summed = rare[:n] + v["bias"]
+            for k in OFFSETS[1:] + REACH:
+                summed += rare[k:k + n]
+            total = summed.take(at - at[0], axis=0)
+        for embed, k in zip(v["embed"], OFFSETS):
+            total += embed.take(context[at + k], axis=0)
         return np.tanh(total, out=total)
 
-    def _classes(self, h: np.ndarray) -> np.ndarray:
-        """Logits of the classes, one column for each row of ``h``."""
-        return self.views["to_class"].T @ h.T + self.views["class_bias"][:, None]
-
-    def _within(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Logits of the words of each row's class, one column for each row; rows are sorted by class."""
-        v, logits = self.views, np.empty((self.within, len(h)), np.float32)
+    def _output(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of classes and words with their biases as one input more, and whether any of their logits may be large."""
+        v = self.views
+        classes = np.concatenate([v["to_class"], v["class_bias"][None, :]])
+        within = np.concatenate([v["to_word"], v["word_bias"][:, None, :]], axis=1)
+        # The hidden layer lies between -1 and 1.
+        return classes, within, not max(np.abs(classes).sum(axis=0).max(), np.abs(within).sum(axis=1).max()) < LARGE
+
+    def _within(self, within: np.ndarray, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Logits of the words of each row's class; rows are sorted by class."""
+        logits = np.empty((len(h), self.within), np.float32)
         for c, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                logits[:, a:b] = v["to_word"][c].T @ h[a:b].T
-                logits[:, a:b] += v["word_bias"][c][:, None]
+                np.matmul(h[a:b], within[c], out=logits[a:b])
         return logits
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        """``rare``: for each place of a context, the two buckets of the word if it is one of the others."""
+        return self.log_probabilities_at(*_as_row(context, rare), target)
+
+    def log_probabilities_at(self, context: np.ndarray, pairs: np.ndarray | None, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         order, cls, edges = _by_class(target)
-        h, word = self.hidden(context, rare)[order], target[order] // CLASSES
+        h, word = _with_one(self.hidden(context, pairs, at).take(order, axis=0)), target[order] // CLASSES
+        classes, within, large = self._output()
         every, out = np.arange(len(h)), np.empty(len(h), np.float32)
-        logits, within = self._classes(h), self._within(h, edges)
-        out[order] = logits[cls, every] - _log_sum(logits) + within[word, every] - _log_sum(within)
+        logits, inner = h @ classes, self._within(within, h, edges)
+        found = logits[every, cls] + inner[every, word]
+        out[order] = found - _log_sum(logits, large) - _log_sum(inner, large)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         """Gradient of the summed negative log-probability."""
+        return self.gradient_at(*_as_row(context, rare), target)
+
+    def gradient_at(self, context: np.ndarray, pairs: np.ndarray | None, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         order, cls, edges = _by_class(target)
-        context, word = context[order], target[order] // CLASSES
-        rare = None if rare is None else rare[:, order]
-        v, h = self.views, self.hidden(context, rare)
+        word, v = target[order] // CLASSES, self.views
+        h = _with_one(self.hidden(context, pairs, at).take(order, axis=0))
+        classes, within, large = self._output()
         grown = np.zeros_like(self.flat)
-        g = Network.__new__(Network)
-        g.flat, g.views, at = grown, {}, 0
+        g, first = {}, 0
         for name, view in v.items():
-            g.views[name] = grown[at:at + view.size].reshape(view.shape)
-            at += view.size
+            g[name] = grown[first:first + view.size].reshape(view.shape)
+            first += view.size
         every = np.arange(len(h))
-        error = _softmax(self._classes(h))
-        error[cls, every] -= 1
-        g.views["to_class"][:], g.views["class_bias"][:] = (error @ h).T, error.sum(axis=1)
-        back = error.T @ v["to_class"].T
-        error = _softmax(self._within(h, edges))
-        error[word, every] -= 1
+        error = _softmax(h @ classes, large)
+        error[every, cls] -= 1
+        moved = h.T @ error
+        g["to_class"][:], g["class_bias"][:] = moved[:WIDTH], moved[WIDTH]
+        back = error @ v["to_class"].T
+        error = _softmax(self._within(within, h, edges), large)
+        error[every, word] -= 1
+        moved, inner = np.zeros_like(within), np.empty_like(back)
         for c, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                part = error[:, a:b]
-                g.views["to_word"][c], g.views["word_bias"][c] = (part @ h[a:b]).T, part.sum(axis=1)
-                back[a:b] += part.T @ v["to_word"][c].T
-        back *= 1 - h * h
-        g.views["bias"][:] = back.sum(axis=0)
-        for k in range(2 * REACH):
-            near = context[:, k]
-            known, some = np.flatnonzero(near), np.flatnonzero(near == 0)
-            _add_rows(g.views["embed"][k], near.take(known), back.take(known, axis=0))
-            moved = back.take(some, axis=0)
-            g.views["embed"][k][0] += moved.sum(axis=0)
-            if rare is not None:
-                for each in rare:
-                    _add_rows(g.views["rare"], each[:, k].take(some), moved)
+                np.matmul(h[a:b].T, error[a:b], out=moved[c])
+                np.matmul(error[a:b], v["to_word"][c].T, out=inner[a:b])
+        g["to_word"][:], g["word_bias"][:] = moved[:, :WIDTH], moved[:, WIDTH]
+        back += inner
+        back *= 1 - h[:, :WIDTH] ** 2
+        at = at[order]
+        g["bias"][:] = back.sum(axis=0)
+        for embed, k in zip(g["embed"], OFFSETS):
+            near = context[at + k]
+            known = np.flatnonzero(near)
+            _add_rows(embed, near.take(known), back.take(known, axis=0))
+            embed[0] += (near == 0).astype(np.float32) @ back
+        if pairs is not None:
+            # What all places near a hashed word move it by is summed first.
+            low, n = at.min() - REACH, at.max() - at.min() + 1 + 2 * REACH
+            placed = np.zeros((n + 2 * REACH, WIDTH), np.float32)
+            placed[at - low + REACH] = back
+            some = np.flatnonzero(context[low:low + n] == 0)
+            moved = placed[REACH - OFFSETS[0]:REACH - OFFSETS[0] + n].copy()
+            for k in REACH - OFFSETS[1:]:
+                moved += placed[k:k + n]
+            moved = moved.take(some, axis=0)
+            for each in pairs:
+                _add_rows(g["rare"], each[low + some], moved)
         return grown
 
 
+def _as_row(context: np.ndarray, rare: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Contexts, a row of words on both sides for each, as one row, with the places they are the contexts of."""
+    at = np.arange(len(context)) * (2 * REACH + 1) + REACH
+    row, around = np.ones((2 * REACH + 1) * len(context), np.int64), at[:, None] + OFFSETS
+    row[around] = context
+    if rare is None:
+        return row, None, at
+    pairs = np.zeros((2, len(row)), np.int64)
+    pairs[:, around] = rare
+    return row, pairs, at
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """``to[at] += rows``, where places may repeat."""
     # In one dimension, and two numbers at a time as the halves of a complex one: many times faster.
@@ -273,17 +321,23 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, cls, np.searchsorted(cls, np.arange(CLASSES + 1))
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=0)
-    powers = logits - top
-    np.exp(powers, out=powers)
-    return top + np.log(powers.sum(axis=0))
+def _exp(logits: np.ndarray, large: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """Exponentials in place, of what is left of each row above its greatest, if ``large``; returns that and the rows' sums."""
+    top = logits.max(axis=1) if large else None
+    if large:
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top, logits @ np.ones(logits.shape[1], np.float32)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=0)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=0)
+def _log_sum(logits: np.ndarray, large: bool) -> np.ndarray:
+    """Of each row; overwrites them."""
+    top, total = _exp(logits, large)
+    return np.log(total) + top if large else np.log(total)
+
+
+def _softmax(logits: np.ndarray, large: bool) -> np.ndarray:
+    logits *= (1 / _exp(logits, large)[1])[:, None]
     return logits
 
 
@@ -303,9 +357,6 @@ def _turns(row: np.ndarray, rounds: int) -> np.ndarray:
     return turns
 
 
-OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
-
-
 def shards(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """Stored ``(shard, codes)``: the words of each shard in one row of 32-bit codes, with pads around each text."""
     number = max(1, round(lexicon.counts.sum() / shard_words))
@@ -356,8 +407,7 @@ def train_shard(lexicon: Lexicon, begun: np.ndarray, row: np.ndarray, turn: int,
     context, target, pairs = lexicon.spread(row)
     for i in range(0, len(some), BATCH):
         at = some[i:i + BATCH]
-        around = at[:, None] + OFFSETS
-        change = model.gradient(context[around], target[at], pairs[:, around])
+        change = model.gradient_at(context, pairs, at, target[at])
         np.multiply(change, change, out=spare)
         moved += spare
         np.sqrt(moved, out=spare)
@@ -425,8 +475,7 @@ def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, key: str = "doc_i
             each = np.zeros(len(place) + 1)
             for i in range(0, len(place), 4 * BATCH):
                 at = place[i:i + 4 * BATCH]
-                around = at[:, None] + OFFSETS
-                each[i + 1:i + 1 + len(at)] = model.log_probabilities(context[around], target[at], pairs[:, around])
+                each[i + 1:i + 1 + len(at)] = model.log_probabilities_at(context, pairs, at, target[at])
             # A word outside the vocabulary has its share of its tail; the counts that the tasks lack come below.
             other = np.flatnonzero(codes >= OTHER)
             times = lexicon.common_count(hashes[other])

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 15             # bytes of text that are hashed at once: their arrays stay in a core's cache
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -39,15 +40,43 @@ def powers(n: int) -> np.ndarray:
     return _powers(max(1024, 1 << (n - 1).bit_length()))[:n] if n else np.zeros(0, np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _there_and_back() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE``, and of its inverse modulo 2**64, for the places of a block."""
+    inverse = np.uint64(pow(int(BASE), -1, 2**64))
+    return _powers(BLOCK), np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK - 1, inverse, np.uint64)]), dtype=np.uint64)
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The polynomial of each word: a difference of running sums over its block, moved back to the block's start."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    there, back = _there_and_back()
+    while first < len(starts):
+        begin = int(starts[first])
+        last = int(np.searchsorted(stops, begin + BLOCK, side="right"))
+        if last > first:
+            sums = np.zeros(int(stops[last - 1]) - begin + 1, np.uint64)
+            np.add(data[begin:begin + len(sums) - 1], np.uint64(1), out=sums[1:])
+            sums[1:] *= there[:len(sums) - 1]
+            np.cumsum(sums, out=sums)
+            at = starts[first:last] - begin
+            out[first:last] = (sums[stops[first:last] - begin] - sums[at]) * back[at]
+        else:       # a word longer than a block
+            last = first + 1
+            long = data[begin:int(stops[first])].astype(np.uint64) + np.uint64(1)
+            out[first] = (long * powers(len(long))).sum(dtype=np.uint64)
+        first = last
+    return out
+
+
 def words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, ends)``: hashes of all words of all texts, and where each text's words end.
 
     ``lower`` maps A-Z to a-z first.
     """
     coded = [t.encode() for t in texts]
-    data = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data)
+    joined = b" ".join([*coded, b""])
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)     # of bytes, lower() maps only A-Z
     inside = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, stops = edges[::2], edges[1::2]
@@ -55,13 +84,7 @@ def words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray
     ends = np.searchsorted(starts, limits)
     if not len(starts):
         return np.zeros(0, np.uint64), ends
-    lengths = stops - starts
-    kept = data[inside].astype(np.uint64)
-    begins = np.cumsum(lengths) - lengths
-    place = np.arange(len(kept)) - np.repeat(begins, lengths)
-    kept += np.uint64(1)
-    kept *= powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(kept, begins) + lengths.astype(np.uint64) * BASE), ends
+    return mix(_polynomials(data, starts, stops) + (stops - starts).astype(np.uint64) * BASE), ends
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

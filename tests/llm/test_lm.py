@@ -188,3 +188,46 @@ def test_words_of_the_tails_share_their_tails(spark):
     unseen = np.exp([n for n in ()]).sum()
     assert abs(sum(math.exp(r["log_likelihood"]) for r in found) + unseen - 1) < 0.05
     assert known.counts.sum() == 6000
+
+
+def test_a_hashed_word_moves_its_embeddings_once_a_batch(monkeypatch):
+    """Not once for each place that it is near."""
+    known, added = lexicon(), []
+    codes = lm.OTHER | np.arange(3000, dtype=np.uint32)
+    row, place = lm._padded(codes, np.array([1000, 3000]))
+    monkeypatch.setattr(lm, "_add_rows", lambda to, at, rows, old=lm._add_rows: added.append((len(to), len(at))) or old(to, at, rows))
+    lm.train_shard(known, lm.Network(known).flat, row, 0, 1)
+    assert sum(n for entries, n in added if entries == known.buckets) == 2 * len(codes)
+    monkeypatch.undo()
+    net, (context, target, pairs) = lm.Network(known), known.spread(row)
+    around = place[:, None] + lm.OFFSETS
+    at_once, by_context = net.gradient_at(context, pairs, place, target[place]), net.gradient(context[around], target[place], pairs[:, around])
+    assert np.allclose(at_once, by_context, rtol=1e-3, atol=1e-2)
+
+
+def test_large_logits_neither_overflow_nor_vanish():
+    net = lm.Network(lexicon())
+    net.flat *= 2000
+    assert net._output()[2] and not lm.Network(lexicon())._output()[2]
+    context = np.tile([[1, 2, 3, net.pad]], (lm.VOCABULARY + 1, 1))
+    p = np.exp(net.log_probabilities(context, np.arange(lm.VOCABULARY + 1)))
+    assert abs(p.sum() - 1) < 1e-3
+    assert np.isfinite(net.gradient(context, np.arange(lm.VOCABULARY + 1))).all()
+
+
+def test_hashes_of_words_across_blocks_and_longer_than_one():
+    from hearsay.llm import wordhash
+
+    rng = np.random.default_rng(3)
+    sizes = [*rng.integers(1, 4000, 60).tolist(), wordhash.BLOCK - 1, wordhash.BLOCK, wordhash.BLOCK + 1, 3 * wordhash.BLOCK, 2]
+    plain = ["".join(chr(c) for c in rng.choice([65, 90, 97, 122, 48, 233, 8364, 128512], n // 3 + 1)) for n in sizes]
+    texts = [" \t".join(plain[:20]), "", " ", "\n".join(plain[20:]) + " "]
+    want = []
+    for word in plain:
+        total, power = 0, 1
+        for b in word.encode().lower():
+            total, power = (total + (b + 1) * power) % 2**64, power * int(wordhash.BASE) % 2**64
+        want.append((total + len(word.encode()) * int(wordhash.BASE)) % 2**64)
+    hashes, ends = lm.words(texts, lower=True)
+    assert ends.tolist() == [20, 20, 20, len(plain)]
+    assert hashes.tolist() == lm.mix(np.array(want, np.uint64)).tolist()
