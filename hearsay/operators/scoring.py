@@ -104,27 +104,34 @@ def query_term_frequencies(matched: DataFrame, candidates: DataFrame, qterms: Da
 
     Dense form: one row per (query, candidate, query term). Counts come from
     the matched postings, so no document's term map is moved or searched.
-    Only these and the candidates are shuffled: a candidate's postings are
-    gathered in one row, and the dense rows are made from it and the query's
-    terms last of all.
+    Only these and the candidates are shuffled, with the place of their term
+    in the query: a candidate's rows are sorted by place, after one for the
+    candidate itself, and each is followed by the zeros up to the next, which
+    are read off the query's terms last of all.
     """
     keys = ["query_id", "file"]
-    counted = matched.where(F.col("file").isNotNull()).select(
-        *keys, F.struct("term", F.col("tf_count").cast("bigint").alias("tf_count")).alias("found"), F.lit(0).alias("asked"))
-    asked = candidates.select(*keys, F.lit(None).cast(counted.schema["found"].dataType).alias("found"), F.lit(1).alias("asked"))
-    # Dealt out before they are gathered: collecting on the map side would sort and spill whole partitions.
-    gathered = counted.union(asked).repartition(*keys).groupBy(*keys).agg(
-        F.collect_list("found").alias("found"), F.sum("asked").cast("int").alias("asked")).where(F.col("asked") > 0)
-    terms = qterms.groupBy("query_id").agg(F.collect_list(F.struct("term")).alias("terms"))
-
-    def rows(t: Column) -> Column:
-        held = F.filter("found", lambda f: f["term"] == t["term"])
-        absent = F.array(F.struct(t["term"].alias("term"), F.lit(0).cast("bigint").alias("tf_count")))
-        return F.when(F.size(held) > 0, held).otherwise(absent)
-
-    dense = gathered.join(terms, "query_id").select(
-        *keys, F.explode(F.flatten(F.array_repeat(F.flatten(F.transform("terms", rows)), F.col("asked")))).alias("d"))
-    return dense.select(*keys, "d.term", "d.tf_count")
+    # Sorted, so that a term has the same place wherever the list is made.
+    terms = qterms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term"))).alias("terms"))
+    places = terms.select("query_id", F.posexplode("terms").alias("place", "t")).select("query_id", "place", "t.term")
+    counted = matched.where(F.col("file").isNotNull()).join(places, ["query_id", "term"]).select(
+        *keys, "place", F.col("tf_count").cast("bigint").alias("tf_count"), F.lit(0).alias("asked"))
+    asked = candidates.select(*keys, F.lit(-1).alias("place"), F.lit(None).cast("bigint").alias("tf_count"), F.lit(1).alias("asked"))
+    within = Window.partitionBy(*keys).orderBy("place")
+    # A candidate's own rows come first: all others see how often it was asked for.
+    met = counted.union(asked).withColumns({
+        "next": F.lead("place").over(within),
+        "asked": F.sum("asked").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"),
+    }).where(F.col("asked") > 0)
+    counts, end = F.col("place") >= 0, F.coalesce("next", F.size("terms"))
+    # Of rows of one place the last is followed by the zeros.
+    length = F.when(counts, F.greatest(end - F.col("place"), F.lit(1))).otherwise(F.greatest(end, F.lit(0)))
+    held = met.join(terms, "query_id").select(
+        *keys, "tf_count", "asked", counts.alias("counts"), length.alias("length"),
+        F.slice("terms", F.when(counts, F.col("place") + 1).otherwise(1), length).alias("row"))
+    often = F.when(F.col("asked") == 1, F.col("row")).otherwise(F.flatten(F.array_repeat("row", F.col("asked"))))
+    dense = held.select(*keys, "tf_count", "counts", "length", F.posexplode(often).alias("n", "t"))
+    own = F.col("counts") & (F.pmod("n", "length") == 0)
+    return dense.select(*keys, "t.term", F.when(own, F.col("tf_count")).otherwise(F.lit(0).cast("bigint")).alias("tf_count"))
 
 
 def rank_key(score: Column, round_to: int | None) -> Column:

@@ -163,6 +163,34 @@ def test_dense_frequencies_are_made_last(golden_index, spark):
                          + [("q", f"/v/{f}.mp4", "zzzz", 0) for f in "ab"] + [("r", "/v/a.mp4", "puck", 1)] * 2)
 
 
+def test_dense_frequencies_without_collected_rows(spark):
+    """Zeros fill the places between found terms; repeats on every side count as in a join."""
+    counts = "query_id string, term string, file string, tf_count long, num_terms long"
+    matched = spark.createDataFrame([("q", "b", "f", 2, 9), ("q", "b", "f", 3, 9), ("q", "d", "f", 4, 9), ("q", "other", "f", 5, 9),
+                                     ("q", "a", "not asked", 6, 9), ("q", "a", None, 7, 9)], counts)
+    asked = spark.createDataFrame([("q", "f"), ("q", "nothing"), ("r", "f"), ("r", "f"), ("no terms", "f"), (None, "f"), ("r", None)],
+                                  "query_id string, file string")
+    q = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c"), ("q", "d"), ("q", "d"), ("r", "b"), ("r", None)],
+                              "query_id string, term string")
+    dense = sc.query_term_frequencies(matched, asked, q)
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(found" not in plan and "filter(found" not in plan
+    got = sorted(map(str, map(tuple, dense.collect())))
+    assert got == sorted(map(str, [
+        ("q", "f", "a", 0), ("q", "f", "b", 2), ("q", "f", "b", 3), ("q", "f", "c", 0), ("q", "f", "d", 4), ("q", "f", "d", 4),
+        *[("q", "nothing", t, 0) for t in "abcdd"], *[("r", "f", t, 0) for t in ("b", None)] * 2, *[("r", None, t, 0) for t in ("b", None)]]))
+
+
+def test_query_frequencies_tokenise_once(spark, workdir):
+    from hearsay import registry
+
+    spark.createDataFrame([(1, "ice hockey"), (2, "puck ice ice")], "doc_id long, text string").write.parquet(workdir + "/documents.parquet")
+    spark.createDataFrame([(7, "Ice puck")], "item_id long, text string").write.parquet(workdir + "/benchmark.parquet")
+    dense = registry.j6_query_term_frequencies(spark, workdir)
+    assert "regexp_replace(transcript" not in dense._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, dense.collect())) == [("7:0", "1", "ice", 1), ("7:0", "1", "puck", 0), ("7:0", "2", "ice", 2), ("7:0", "2", "puck", 1)]
+
+
 def test_runs_are_found_once():
     from hearsay.functions.text import term_runs
 
