@@ -361,7 +361,7 @@ def u2_compacted_postings(spark, sf_dir):
 
 
 def u2_tiered_postings(spark, sf_dir):
-    """Four batches, merged by size in tiers of two while they come."""
+    """Four batches, merged by size in tiers of two while they come; what was merged goes before the next comes."""
     from hearsay.plans.ingest import ingest_corpus
 
     store = _store(spark, "u2t")
@@ -369,7 +369,7 @@ def u2_tiered_postings(spark, sf_dir):
     for part in range(4):
         ingest_corpus(store, corpus.where(F.pmod(F.xxhash64("file"), F.lit(4)) == part), batch_id=f"part-{part}")
         store.compact_tiers(2)
-    store.vacuum()
+        store.vacuum()
     return store.postings()
 
 

@@ -320,7 +320,7 @@ class IndexStore:
     def _write(self, df: DataFrame, table: str, folder: str, more: T.StructType | None = None) -> DataFrame:
         """Write one table of a batch and read it back from its own folder, with the columns ``more`` besides its own."""
         out = f"{self.path(table)}/batch_id={folder}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("bucket") if "bucket" in df.columns else writer).parquet(out)
         return self._folders(table, [folder], more)
 
@@ -331,7 +331,7 @@ class IndexStore:
         return dealt.sortWithinPartitions("bucket", *columns)
 
     def _striped(self, postings: DataFrame, n: int) -> DataFrame:
-        """``n`` postings by bucket and stripe, sorted by term and number within; each block's first has its ``n`` and ``max_tf``.
+        """``n`` postings with their block, by bucket and stripe, sorted by term and number within; each block's first has its ``n`` and ``max_tf``.
 
         A stripe of a bucket has the postings of some blocks: a hot term lies in several files, and the postings
         of a term in a block in one task, which counts them without another shuffle. The number of
@@ -341,8 +341,10 @@ class IndexStore:
         tasks = self.postings_partitions or max(1, fewest, -(-n // TASK_POSTINGS))
         stripes = max(min(tasks, 2), -(-tasks * TASK_STRIPES // self._settings()["term_buckets"]))
         # Blocks in turn, and from task to task (the upper bits of its numbers) one further.
-        turn = F.pmod(F.col("block") + F.shiftright("doc", TASK_BITS), F.lit(stripes)).cast("int")
-        dealt = postings.withColumn("stripe", turn).repartition(tasks, "bucket", "stripe")
+        block, bucket = F.shiftright("doc", BLOCK_BITS), bucket_of("term", self._settings()["term_buckets"])
+        turn = F.pmod(block + F.shiftright("doc", TASK_BITS), F.lit(stripes)).cast("int")
+        # What follows from a row's term and number is not shuffled with it.
+        dealt = postings.repartition(tasks, bucket, turn).withColumns({"block": block, "bucket": bucket, "stripe": turn})
         met = Window.partitionBy("bucket", "stripe", "term", "block").orderBy("doc").rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)
         first = F.col("doc") == F.min("doc").over(met)
@@ -365,13 +367,16 @@ class IndexStore:
         paths = written.select("file", F.xxhash64("file").alias("digest"), "doc", F.pmod(block, F.lit(buckets)).cast("int").alias("bucket"))
         self._write(self._by_bucket(paths, "doc"), "paths", folder)
         n, n_terms = written.agg(F.count(F.lit(1)), F.sum("num_terms")).first()
-        postings = ix.postings_from_documents(written, "doc").withColumns({"block": block, "bucket": bucket_of("term", buckets)})
-        postings = self._write(self._striped(postings, n_terms or 0), "postings", folder, BLOCK_FIELDS)
+        postings = self._striped(ix.postings_from_documents(written, "doc"), n_terms or 0)
+        postings = self._write(postings, "postings", folder, BLOCK_FIELDS)
         blocks = postings.where(F.col("n").isNotNull()).select("bucket", "term", "block", "n", "max_tf")
         blocks = self._write(blocks.sortWithinPartitions("bucket", "term", "block"), "blocks", folder)
         lexicon = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         lexicon = self._write(self._by_bucket(lexicon, "term"), "lexicon", folder)
-        return n, lexicon.agg(F.sum("df")).first()[0] or 0
+        n_postings = lexicon.agg(F.sum("df")).first()[0] or 0
+        # What this batch shuffled would else lie on the executors' disks until the driver happens to collect its garbage.
+        self.spark.sparkContext._jvm.System.gc()
+        return n, n_postings
 
     # ---- maintenance ------------------------------------------------------
     def compact(self, batch_id: str | None = None) -> str | None:
@@ -388,25 +393,34 @@ class IndexStore:
 
         A batch's tier is the logarithm of its size (documents and postings) to
         the base ``fan_in``; merged batches are at least a tier higher. So a row
-        is rewritten once for each tier at most, however many batches come.
+        is rewritten once for each tier at most, however many batches come. Where
+        a merge fills the tier that it comes to, that one is merged with it at once.
         Returns the ids of the merged batches.
         """
         made = []
         while True:
             tiers: dict[int, list[Row]] = {}
             for r in self.visible_batches():
-                size, tier = r["n_documents"] + r["n_postings"], 0
-                while size >= fan_in ** (tier + 1):
-                    tier += 1
-                tiers.setdefault(tier, []).append(r)
+                tiers.setdefault(self._tier(r["n_documents"] + r["n_postings"], fan_in), []).append(r)
             full = [tier for tier, rows in sorted(tiers.items()) if len(rows) >= fan_in]
             if not full:
                 return made
-            merged = self._merge(tiers[full[0]], None)
+            rows = tiers.pop(full[0])
+            # Batches hold disjoint files, so the sizes add up. A merge that would only be merged again takes that tier, too.
+            while len(more := tiers.pop(self._tier(sum(r["n_documents"] + r["n_postings"] for r in rows), fan_in), [])) + 1 >= fan_in:
+                rows = rows + more
+            merged = self._merge(rows, None)
             if merged is None:
                 return made
             made.append(merged)
 
+    @staticmethod
+    def _tier(size: int, fan_in: int) -> int:
+        tier = 0
+        while size >= fan_in ** (tier + 1):
+            tier += 1
+        return tier
+
     def _merge(self, rows: list[Row], batch_id: str | None) -> str | None:
         """Rewrite the given batches as one whose commit names them.
 

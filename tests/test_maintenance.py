@@ -48,6 +48,45 @@ def test_tiers_keep_every_row(spark, workdir):
     assert [r["file"] for r in search(store.index(), ["w5"], 3).collect()] == ["f5"]
 
 
+def test_a_merge_that_would_be_merged_again_is_not_written(spark, workdir, monkeypatch):
+    store = IndexStore(spark, workdir + "/ix", []).create()
+    wrote, write = [], IndexStore._write_batch
+    monkeypatch.setattr(IndexStore, "_write_batch", lambda self, *a: (wrote.append(write(self, *a)), wrote[-1])[1])
+    made = []
+    for i in range(4):
+        store.append(spark.createDataFrame([(f"f{i}", f"common w{i}")], CORPUS), f"b{i}", assume_new=True)
+        made.append(len(store.compact_tiers(2)))
+    assert made == [0, 1, 0, 1]                        # the last takes all three batches that are left
+    assert [n for n, _ in wrote] == [1, 1, 2, 1, 1, 4]
+    assert len(store.committed_ids()) == 1 and store.documents().count() == 4
+    assert len(store.vacuum()) == 5 and dict(tuple(r) for r in store.lexicon().collect())["common"] == 4
+
+
+def test_postings_are_shuffled_without_what_follows_from_them(spark, workdir):
+    store = IndexStore(spark, workdir + "/ix", []).create()
+    postings = spark.createDataFrame([("t", "f", 1, 1, 5)], "term string, file string, tf_count long, num_terms long, doc long")
+    striped = store._striped(postings, 10_000_000)
+    plan = striped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and " AS block" not in plan.split("Exchange")[1]
+    row = striped.first()
+    assert (row["term"], row["block"], row["n"], row["max_tf"]) == ("t", 0, 1, 1.0) and 0 <= row["bucket"] < 32
+
+
+def test_tiered_query_leaves_no_merged_batch_behind(spark, workdir, monkeypatch):
+    from hearsay import registry
+
+    spark.createDataFrame([(i, f"word{i} common") for i in range(40)], "doc_id long, text string").write.parquet(workdir + "/documents.parquet")
+    there, append = [], IndexStore.append
+
+    def noting(self, *a, **b):
+        there.append(len(self._commit_rows()))
+        return append(self, *a, **b)
+
+    monkeypatch.setattr(IndexStore, "append", noting)
+    assert registry.u2_tiered_postings(spark, workdir).count() == 80
+    assert there == [0, 1, 1, 2]
+
+
 def test_a_large_batch_is_not_merged_with_small_ones(spark, workdir):
     store = IndexStore(spark, workdir + "/ix", []).create()
     big = spark.range(500).select(F.concat(F.lit("big"), "id").alias("file"), F.lit("a b c").alias("transcript"))
