@@ -67,14 +67,18 @@ def ingest_media_stream(spark: SparkSession, directory: str, store: IndexStore,
     Transcripts are kept as they come (``ingest_sources``), so an epoch that is
     replayed extracts only what it had not. A file whose extractor raises is
     tried again with later epochs, ``tries`` times in all; ``stage.errors()``
-    lists it.
+    lists it. Only the first epoch of a new checkpoint tries those again that
+    had as many. The driver holds no list of the files (``media_stream``).
     """
     stage = stage or transcript_stage(store)
     batch_id = _epochs(spark, name, checkpoint)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        again = stage.errors().where(F.col("tries") < tries).select("file")
-        ingest_sources(store, batch.select("file").union(again), make_extractor, batch_id(epoch_id), num_tasks, stage)
+        failed, files = stage.errors(), batch.select("file")
+        if epoch_id > 0 and not max_files:      # an epoch brings all files of the folder
+            files = files.join(failed.where(F.col("tries") >= tries).select("file"), "file", "left_anti")
+        again = failed.where(F.col("tries") < tries).select("file")
+        ingest_sources(store, files.union(again), make_extractor, batch_id(epoch_id), num_tasks, stage)
         _tidy(store, compact_after, vacuum)
 
     stream = media_stream(spark, directory, fmt, max_files)

@@ -128,6 +128,52 @@ def test_a_polled_folder_is_extracted_once_across_two_checkpoints(spark, workdir
     assert sorted(r["file"][-5:] for r in store.documents().collect()) == [f"{c}.mp4" for c in "abcdef"]
 
 
+def test_a_polled_folder_is_not_listed_on_the_driver(spark, workdir):
+    folder = workdir + "/a [x] {y}"
+    record(folder, ["one.mp4", "two two.mp4", "three+%20.mp4", "four.txt", "_x.mp4", ".y.mp4", "_k=v.mp4"])
+    record(folder, ["empty.mp4"], "")
+    record(folder + "/sub.mp4", ["deep.mp4"])
+    store, log = IndexStore(spark, workdir + "/ix", []).create(), workdir + "/log"
+    plans = []
+
+    def noting(batch, epoch):
+        plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        got.update(r["file"] for r in batch.collect())
+
+    from hearsay.streaming.sources import media_stream
+
+    got = set()
+    media_stream(spark, folder).writeStream.foreachBatch(noting).option("checkpointLocation", workdir + "/c").trigger(availableNow=True).start().awaitTermination()
+    assert got == {f"{folder}/{n}" for n in ("one.mp4", "two two.mp4", "three+%20.mp4", "_k=v.mp4")}
+    assert got == {r["file"] for r in list_sources(spark, folder).collect()}
+    assert len(plans) == 1 and "binaryFile" not in plans[0] and "path#" not in plans[0]
+    assert not os.path.exists(workdir + "/c/sources")          # the file source writes every name there
+    ingest_media_stream(spark, folder, store, counting(log), workdir + "/c1").awaitTermination()
+    assert {r["file"] for r in store.documents().collect()} == got
+    record(folder, ["empty.mp4"])                               # filled since
+    ingest_media_stream(spark, folder, store, counting(log), workdir + "/c1").awaitTermination()
+    with open(log) as lines:
+        assert store.documents().count() == 5 and len(list(lines)) == 5
+
+
+def test_a_failing_recording_is_not_tried_for_ever(spark, workdir):
+    folder, log = workdir + "/m", workdir + "/log"
+    store = IndexStore(spark, workdir + "/ix", []).create()
+    for i in range(4):
+        record(folder, [f"{i}.mp4", "bad.mp4"])
+        ingest_media_stream(spark, folder, store, counting(log, bad=["bad.mp4"]), workdir + "/c", tries=2).awaitTermination()
+    assert noted(log) == ["0.mp4", "1.mp4", "2.mp4", "3.mp4", "bad.mp4", "bad.mp4"]
+    assert store.documents().count() == 4
+
+
+def test_a_limit_of_files_to_an_epoch(spark, workdir):
+    folder, log = workdir + "/m", workdir + "/log"
+    store = IndexStore(spark, workdir + "/ix", []).create()
+    record(folder, ["a.mp4", "b.mp4", "c.mp4"])
+    ingest_media_stream(spark, folder, store, counting(log), workdir + "/c", max_files=2).awaitTermination()
+    assert sorted(r["n_documents"] for r in store._commit_rows()) == [1, 2] and noted(log) == ["a.mp4", "b.mp4", "c.mp4"]
+
+
 def test_very_many_files_make_longer_tasks(spark, workdir, monkeypatch):
     from hearsay.sources import media
 
